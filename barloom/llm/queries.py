@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, packing, sentencepiece_codec, token_counts
+from barloom.llm import chat, minhash, packing, sentencepiece_codec, token_counts
 from barloom.llm.common import table
 
 
@@ -33,3 +33,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_sentencepiece, op5_packing)
 }
 SQL: dict[str, str] = {}
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES["op4_minhash"] = op4_minhash
