@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, minhash, packing, sentencepiece_codec, token_counts
+from barloom.llm import chat, minhash, packing, sentencepiece_codec, suffix_array, token_counts
 from barloom.llm.common import table
 
 
@@ -40,3 +40,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_minhash"] = op4_minhash
+
+
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.removal_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_suffix_array"] = op6_suffix_array
