@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, minhash, packing, sentencepiece_codec, suffix_array, token_counts
+from barloom.llm import chat, minhash, packing, sentencepiece_codec, simhash, suffix_array, token_counts, topk
 from barloom.llm.common import table
 
 
@@ -47,3 +47,17 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_suffix_array"] = op6_suffix_array
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op7_topk"] = op7_topk
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_simhash"] = op9_simhash
