@@ -49,8 +49,55 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _encode_new(words: list[str], path: str) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray | None:
+    """Which ids end a word, if the vocabulary marks them."""
+    t = tokenizer(path)
+    suffix = getattr(t.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    out = np.zeros(t.get_vocab_size(), dtype=bool)
+    out[[i for w, i in t.get_vocab().items() if w.endswith(suffix)]] = True
+    return out
+
+
+def _encode_new(words: list[bytes], path: str) -> list[bytes]:
+    """Ids of words. Words of letters only are one pre-token each; some of them share a call, and their marked ends part the ids."""
+    t, ends = tokenizer(path), _word_ends(path)
+    texts = [w.decode() for w in words]
+    out: list[bytes] = [b""] * len(words)
+    plain = [i for i, w in enumerate(texts) if ends is not None and w.isalpha()]
+    groups = [plain[i : i + 50] for i in range(0, len(plain), 50)] + [[i] for i, w in enumerate(texts) if ends is None or not w.isalpha()]
+    for group, e in zip(groups, t.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        data = ids.tobytes()
+        if len(group) == 1:
+            out[group[0]] = data
+            continue
+        cut = [0, *((np.flatnonzero(ends[ids]) + 1) * 4).tolist()]
+        if len(cut) != len(group) + 1:
+            raise ValueError("the tokenizer's words don't end where its marks say")
+        for i, p, q in zip(group, cut[:-1], cut[1:], strict=True):
+            out[i] = data[p:q]
+    return out
+
+
+def _words(text: str) -> list[bytes]:
+    """What lies between spaces and line ends, A-Z lower-cased as the tokenizer does, unless a special token may stand there."""
+    data = text.encode()
+    if b"<|" not in data:
+        data = data.lower()
+    return data.replace(b"\n", b" ").split(b" ")
+
+
+def _learn(new: set[bytes], cache: dict, path: str) -> None:
+    """Ids of new words. Letters with one stop or comma behind are two pre-tokens, whose ids follow each other."""
+    marked = {w for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()}
+    todo = (new - marked) | {w[:-1] for w in marked} | {b".", b","}
+    for part in by_bytes(todo.difference(cache), CHUNK_BYTES // 4):
+        cache.update(zip(part, _encode_new(part, path), strict=True))
+    for w in marked:
+        cache[w] = cache[w[:-1]] + cache[w[-1:]]
 
 
 _CACHES: dict[str, dict] = {}
@@ -61,13 +108,12 @@ def token_bytes(texts: list[str], path: str, end_id: int = 1):
     cache = _CACHES.setdefault(path, {})
     end = np.array([end_id], dtype="<u4").tobytes()
     for chunk in by_bytes(texts, CHUNK_BYTES):
-        cut = [t.replace("\n", " ").split(" ") for t in chunk]
+        cut = [_words(t) for t in chunk]
         new = set(chain.from_iterable(cut)).difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = set(chain.from_iterable(cut))
-        for part in by_bytes(new, CHUNK_BYTES // 4):
-            cache.update(zip(part, _encode_new(part, path), strict=True))
+        _learn(new, cache, path)
         get = cache.__getitem__
         for words in cut:
             yield b"".join(map(get, words)) + end
