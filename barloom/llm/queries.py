@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, minhash, packing, sentencepiece_codec, simhash, suffix_array, token_counts, topk
+from barloom.llm import chat, minhash, packing, sentencepiece_codec, simhash, suffix_array, token_counts, topk, toxicity
 from barloom.llm.common import table
 
 
@@ -61,3 +61,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_simhash"] = op9_simhash
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op10_toxicity"] = op10_toxicity
