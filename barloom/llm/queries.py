@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, minhash, packing, sentencepiece_codec, simhash, suffix_array, token_counts, topk, toxicity
+from barloom.llm import chat, minhash, packing, pii, sentencepiece_codec, simhash, suffix_array, token_counts, topk, toxicity
 from barloom.llm.common import table
 
 
@@ -68,3 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_toxicity"] = op10_toxicity
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_pii"] = op8_pii
