@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(2**63) + 1)), "__sig": F.xxhash64(t)})
     joined = marked.join(runs.withColumnsRenamed({"id": "__id", "sig": "__sig", "runs": "__runs"}), ["__id", "__sig"], "left")
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
         for b in batches:
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
                     data = texts[k].encode()
                     a, e = cover(data, [p["start"] for p in parts], [p["windows"] for p in parts], span)
                     texts[k] = kept_bytes(data, a, e).decode(errors="ignore")
-            cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.select(*docs.columns, "__runs").mapInArrow(run, docs.schema)
