@@ -26,7 +26,7 @@ SPACE = "▁"
 CACHE_WORDS = 400_000
 CALL_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
-_SPACED = re.compile(r" *[^ ]+(?: +$)?")
+_SPACED = re.compile(r" *[^ ]+(?: +\Z)?")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
