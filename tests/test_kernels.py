@@ -102,3 +102,22 @@ def test_implied_volatility_round_trip():
     american = D._american(s, k, np.full(5, 0.03), np.full(5, 0.01), t, v, call)
     assert (american >= price - 1e-9).all()
     assert math.isnan(D._implied(np.array([-1.0]), s[:1], k[:1], np.full(1, 0.03), np.full(1, 0.01), t[:1], call[:1])[0])
+
+
+def test_dtw_is_the_plain_recursion():
+    from barloom.operators.series_pairs import dtw_distance
+
+    def plain(a, b, w):
+        best = {}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if w is not None and abs(i - j) >= w:
+                    continue
+                came = [best.get(k, math.inf) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1))]
+                best[i, j] = (a[i] - b[j]) ** 2 + (0 if i == j == 0 else min(came))
+        return math.sqrt(best.get((len(a) - 1, len(b) - 1), math.inf))
+
+    for n, m, w in ((1, 1, None), (5, 9, None), (12, 12, 3), (7, 4, 5), (3, 9, 2)):
+        a, b = RNG.normal(size=n), RNG.normal(size=m)
+        assert dtw_distance(a, b, w) == pytest.approx(plain(a, b, w))
+    assert math.isnan(dtw_distance(np.array([]), np.array([1.0])))
