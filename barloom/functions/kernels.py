@@ -187,25 +187,63 @@ def supertrend(h, l, c, p: int = 7, m: float = 3.0) -> tuple[np.ndarray, np.ndar
 
 
 def sar(h, l, step: float = 0.02, most: float = 0.2) -> np.ndarray:
+    return sarext(h, l, long=(step, step, most), short=(step, step, most))
+
+
+def sarext(h, l, start: float = 0.0, offset: float = 0.0, long=(0.02, 0.02, 0.2), short=(0.02, 0.02, 0.2)) -> np.ndarray:
+    """Stop and reverse; long and short are (first, step, most) of the acceleration.
+
+    Short legs are long legs of the mirrored prices, so one set of rules serves both: the stop follows the best price, never
+    passes the last two bars, and turns where a bar crosses it.
+    """
     n = len(h)
     out = np.full(n, NAN)
     if n < 2:
         return out
-    long = h[1] >= h[0]
-    s, best, k = (l[0], h[1], step) if long else (h[0], l[1], step)
-    out[1] = s
+    ahead, behind, pace = {1: h, -1: -l}, {1: l, -1: -h}, {1: long, -1: short}
+    side = 1 if h[1] >= h[0] else -1
+    stop, best, k = start or behind[side][0], ahead[side][1], pace[side][0]
+    out[1] = side * stop
     for i in range(2, n):
-        s = s + k * (best - s)
-        s = min(s, l[i - 1], l[i - 2]) if long else max(s, h[i - 1], h[i - 2])
-        if (l[i] < s) if long else (h[i] > s):
-            long, s, k = not long, best, step
-            best = h[i] if long else l[i]
-        elif (h[i] > best) if long else (l[i] < best):
-            best, k = (h[i] if long else l[i]), min(k + step, most)
-        out[i] = s
+        stop = min(stop + k * (best - stop), behind[side][i - 1], behind[side][i - 2])
+        if behind[side][i] < stop:
+            stop, side = -(best + abs(stop) * offset), -side
+            best, k = ahead[side][i], pace[side][0]
+        elif ahead[side][i] > best:
+            best, k = ahead[side][i], min(k + pace[side][1], pace[side][2])
+        out[i] = side * stop
     return out
 
 
+def wma(x: np.ndarray, p: int) -> np.ndarray:
+    return rolling(x, p, lambda v, axis: (v * np.arange(1, p + 1)).sum(axis=axis) / (p * (p + 1) / 2))
+
+
+def trima(x: np.ndarray, p: int) -> np.ndarray:
+    w = np.minimum(np.arange(1, p + 1), np.arange(p, 0, -1))
+    return rolling(x, p, lambda v, axis: (v * w).sum(axis=axis) / w.sum())
+
+
+def moving_average(x: np.ndarray, p: int, kind: int = 0) -> np.ndarray:
+    """0 simple, 1 exponential, 2 weighted, 3 double, 4 triple exponential, 5 triangular, 6 adaptive, 7 T3; a leading gap stays one."""
+    s = first_valid(x)
+    y = x[s:]
+    e = [y]
+    for _ in range(3 if kind in (3, 4) else 0):
+        e.append(ema(e[-1], p))
+    got = [
+        lambda: rolling(y, p, np.mean), lambda: ema(y, p), lambda: wma(y, p), lambda: 2 * e[1] - e[2], lambda: 3 * e[1] - 3 * e[2] + e[3], lambda: trima(y, p), lambda: kama(y, p), lambda: t3(y, p),
+    ][kind]()
+    return np.concatenate((np.full(s, NAN), got))
+
+
+def macdext(c: np.ndarray, fast: int = 12, fast_kind: int = 1, slow: int = 26, slow_kind: int = 1, signal: int = 9, signal_kind: int = 1) -> tuple[np.ndarray, ...]:
+    line = moving_average(c, fast, fast_kind) - moving_average(c, slow, slow_kind)
+    sig = moving_average(line, signal, signal_kind)
+    line = np.where(np.isnan(sig), NAN, line)
+    return line, sig, line - sig
+
+
 def cusum_breaks(x: np.ndarray, w: int = 20, limit: float = 5.0, slack: float = 0.5) -> np.ndarray:
     """1 where a two-sided sum of z scores (against the w bars before) passes the limit; it starts anew there."""
     out, up, down = np.zeros(len(x)), 0.0, 0.0

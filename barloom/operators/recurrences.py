@@ -85,6 +85,8 @@ RECURRENCES: dict[str, tuple[tuple[str, ...], Kernel, tuple[str, ...]]] = {
     "KELTNER_CHANNELS": (HLC, _keltner, ("upper", "middle", "lower")),
     "CHANDELIER_EXIT": (HLC, _chandelier, ("long_exit", "short_exit")),
     "SAR": (("high", "low"), lambda high, low, step=0.02, most=0.2: {"sar": K.sar(high, low, step, most)}, ("sar",)),
+    "SAREXT": (("high", "low"), lambda high, low, **kw: {"sarext": K.sarext(high, low, **kw)}, ("sarext",)),
+    "MACDEXT": (("close",), _macd_like(K.macdext, ("macd", "signal", "hist")), ("macd", "signal", "hist")),
     "REGIME_ADX": (HLC, _regime, ("regime",)),
     "CUSUM_BREAKS": (("close",), lambda close, w=20, limit=5.0, slack=0.5: {"break": K.cusum_breaks(close, w, limit, slack)}, ("break",)),
 }

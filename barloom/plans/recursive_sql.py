@@ -90,6 +90,7 @@ def recursive_sql(bars: str) -> dict[str, str]:
         q = new().ema("f", "close", 12).ema("s", "close", 26).add(m=first).ema("sig", "m", 9, 25)
         line = "ppo" if name == "PPO" else "macd"
         out[name] = q.select(**{line: "CASE WHEN sig IS NOT NULL THEN m END", "signal": "sig", "hist": "m - sig"})
+    out["MACDEXT"] = out["MACD"]  # with exponential averages it is the plain one
     q = new()
     for i in range(6):
         q.follow(f"e{i + 1}", f"e{i}" if i else "close", 0, 1, 1 - 1 / 3, 1 / 3)

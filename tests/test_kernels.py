@@ -121,3 +121,13 @@ def test_dtw_is_the_plain_recursion():
         a, b = RNG.normal(size=n), RNG.normal(size=m)
         assert dtw_distance(a, b, w) == pytest.approx(plain(a, b, w))
     assert math.isnan(dtw_distance(np.array([]), np.array([1.0])))
+
+
+def test_extended_forms_reduce_to_the_plain_ones():
+    same(K.sarext(HIGH, LOW), K.sar(HIGH, LOW))
+    for a, b in zip(K.macdext(CLOSE), K.macd(CLOSE), strict=True):
+        same(a, b)
+    for kind in range(8):
+        got = K.moving_average(CLOSE, 5, kind)
+        assert len(got) == len(CLOSE) and not np.isnan(got[40:]).any()
+    same(K.wma(np.array([1.0, 2, 3]), 3), [np.nan, np.nan, 14 / 6])
