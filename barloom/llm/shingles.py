@@ -13,7 +13,7 @@ import numpy as np
 
 from barloom.llm.common import U64, mix64
 
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C13  # 3 mod 8: base - 1 is divisible by 2 just once
 
 
