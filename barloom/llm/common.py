@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,35 +46,9 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-ARROW_ROWS = 2000
-
-
-def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it, and get rows in batches of modest size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = ":".join([ROOT, *paths])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='barloom-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    # Shuffle files of what is no longer referred to go when the driver collects its garbage.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, materialize, mix64, workers_import
+from barloom.llm.common import U64, discard, materialize, mix64, workers_import
 from barloom.llm.shingles import chunks, powers, prefix_sums
 
 SPAN, GRAM, HOT = 200, 16, 2000
@@ -253,13 +253,15 @@ def repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str = "text
     workers_import(docs.sparkSession)
     keyed = _keyed(docs, text)
     segments = materialize(_find_segments(keyed, span))
-    by_content = segments.groupBy("mark", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "sig", "first")).alias("one"))
+    by_content = segments.groupBy("mark", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first")).alias("one"))
     by_mark = by_content.groupBy("mark").agg(F.count("*").alias("kinds"))
     kinds = by_content.join(by_mark, "mark").filter("copies > 1 or kinds > 1")
     known = F.col("copies") > 1
-    is_one = (F.col("one.id") == F.col("id")) & (F.col("one.sig") == F.col("sig")) & (F.col("one.first") == F.col("first"))
+    is_one = (F.col("one.id") == F.col("id")) & (F.col("one.first") == F.col("first"))  # or several, if texts share an id: no harm
     suspects = segments.join(kinds, ["mark", "content"]).select("id", "sig", "first", "windows", "mark", known.alias("known"), ((F.col("kinds") > 1) & (~known | is_one)).alias("compare"), (F.col("kinds") > hot).alias("hot"))
     suspects = materialize(suspects)
+    discard(segments)
+    del by_content, by_mark, kinds, segments
     cut = materialize(_cut_out(keyed, suspects.filter("compare"), span))
     size = cut.agg(F.sum(F.length("data"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // (4 * SHARD_BYTES)) + 1)
