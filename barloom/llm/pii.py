@@ -14,7 +14,8 @@ in every document and spelling, different values stay different, and the pseudon
   hexadecimal among hexadecimal), blocks of up to 20 characters; a domain, and what names the secret, stays
 
 Edge cases: null texts stay null and count nothing; empty ones are unchanged. Rows are kept as they are, repeated ones too;
-other columns stay. Numbers that fail their validation are left alone.
+other columns stay. Numbers that fail their validation are left alone, and so is what stands after a digit, after a digit
+with '.' or '-' (a part of a longer number), and phones and cards after '+' (numbers of other plans).
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ IP = r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"\d{4}-\d{2}-\d{2}(?![-\d])|\d{1,2}/\d{1,2}/\d{4}(?![/\d])"
 PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\d])"
-PATTERN = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL})|(?<![A-Za-z0-9])(?:{SECRET})|(?<![\d.(+-])(?:{SSN}|{IP}|{DATE}|{PHONE}|{CARD})|(?<![\w.])(?:\+1[ .-]?)?\(\d{{3}}\) ?[2-9]\d{{2}}[ .-]\d{{4}}(?!\d)|(?<![\w.])\+1[ .-]?[2-9]\d{{2}}[ .-][2-9]\d{{2}}[ .-]\d{{4}}(?!\d)"
+#: No part of a longer number: after brackets, signs and full stops values count, unless those follow a digit.
+START = r"(?<!\d)(?<!\d[.-])"
+PATTERN = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL})|(?<![A-Za-z0-9])(?:{SECRET})|{START}(?:{SSN}|{IP}|{DATE}|(?<!\+)(?:{PHONE}|{CARD}))|(?<![\w.])(?:\+1[ .-]?)?\(\d{{3}}\) ?[2-9]\d{{2}}[ .-]\d{{4}}(?!\d)|(?<![\w.])\+1[ .-]?[2-9]\d{{2}}[ .-][2-9]\d{{2}}[ .-]\d{{4}}(?!\d)"
 DAYS, FIRST_DAY = (189, 773), "1700-01-01"  # 189 * 773 days: four centuries
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 

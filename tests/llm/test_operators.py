@@ -287,6 +287,20 @@ def test_pseudonyms_keep_their_format(spark):
     assert again != one
 
 
+VALUES = {"ssn": "123-45-6789", "ip": "10.0.0.1", "date": "2021-03-04", "phone": "555-234-4567", "card": "4111 1111 1111 1111"}
+
+
+def test_values_after_brackets_and_signs(spark):
+    texts = [f"a {before}{v}{after} b" for v in [*VALUES.values(), "12/25/2024"] for before, after in (("(", ")"), ("-", ""), (".", ""), ("(-", ")"), ("x.", ""))]
+    texts += [f"a +{VALUES[k]} b" for k in ("ssn", "ip", "date")] + ["a ((555) 234-4567) b", "a (+1 555-234-4567) b", "a .+1 (555) 234-4567 b"]
+    got = pii.pseudonymize(docs_of(spark, texts), found="kinds").orderBy("doc_id").collect()
+    assert [t for t, r in zip(texts, got, strict=True) if len(r.kinds) != 1 or r.text == t] == []
+    plain = {r.text[2:-2] for r in pii.pseudonymize(docs_of(spark, [f"a {v} b" for v in VALUES.values()])).collect()}
+    assert {r.text[3:-3] for t, r in zip(texts, got, strict=True) if t[:3] == "a (" and t[3:-3] in VALUES.values()} == plain
+    apart = ["a 1.10.0.0.1 b", "a 5-123-45-6789 b", "a 3.4111111111111111 b", "a +4111111111111111 b"]
+    assert [r.text for r in pii.pseudonymize(docs_of(spark, apart)).orderBy("doc_id").collect()] == apart
+
+
 def test_feistel_is_a_permutation(spark):
     m, n = 7, 11
     z = pii.feistel(F.floor(F.col("id") / n), F.lit(m), F.col("id") % n, F.lit(n), F.lit("t"), "k")
