@@ -6,7 +6,7 @@ within its format by a keyed alternating Feistel network over Z_m x Z_n: a value
 rounds add a keyed hash of b to a modulo m, odd rounds one of a to b modulo n. The same value becomes the same pseudonym
 in every document and spelling, different values stay different, and the pseudonym passes the same validation.
 
-- cards: the first digit stays, the middle ones are permuted, the check digit is made anew
+- cards: found in runs of digit groups also beside other numbers, groups whole; the first digit stays, the middle ones are permuted, the check digit is made anew
 - dates: permuted among the 146,097 days from 1700 to 2099, in the notation found
 - IPv4, social security numbers: permuted among all valid ones
 - phones: the leading digit of area and exchange stays, the other eight are permuted, marks stay
@@ -31,10 +31,13 @@ SSN = r"\d{3}-\d{2}-\d{4}(?![-\d])"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"\d{4}-\d{2}-\d{2}(?![-\d])|\d{1,2}/\d{1,2}/\d{4}(?![/\d])"
 PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
-CARD = r"\d(?:[ -]?\d){12,18}(?![\d])"
+#: 13 digits or more in groups, up to where another kind begins: `cards_in` finds the cards in it.
+RUN = rf"(?=\d(?:[ -]?\d){{12}})\d++(?:-\d++| (?!{SSN}|{IP}|{DATE}|{PHONE})\d++)*+"
+SHAPES = (r"[2-5]\d{3}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{1,3}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{6}\1\d{4,5}", r"\d{13,19}")
+NETWORK = r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|220[0-4]\d{12,15}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|5[06-9]\d{11,17}|6\d{12,18})$"
 #: No part of a longer number: after brackets, signs and full stops values count, unless those follow a digit.
 START = r"(?<!\d)(?<!\d[.-])"
-PATTERN = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL})|(?<![A-Za-z0-9])(?:{SECRET})|{START}(?:{SSN}|{IP}|{DATE}|(?<!\+)(?:{PHONE}|{CARD}))|(?<![\w.])(?:\+1[ .-]?)?\(\d{{3}}\) ?[2-9]\d{{2}}[ .-]\d{{4}}(?!\d)|(?<![\w.])\+1[ .-]?[2-9]\d{{2}}[ .-][2-9]\d{{2}}[ .-]\d{{4}}(?!\d)"
+PATTERN = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL})|(?<![A-Za-z0-9])(?:{SECRET})|{START}(?:{SSN}|{IP}|{DATE}|(?<!\+)(?:{PHONE}|{RUN}))|(?<![\w.])(?:\+1[ .-]?)?\(\d{{3}}\) ?[2-9]\d{{2}}[ .-]\d{{4}}(?!\d)|(?<![\w.])\+1[ .-]?[2-9]\d{{2}}[ .-][2-9]\d{{2}}[ .-]\d{{4}}(?!\d)"
 DAYS, FIRST_DAY = (189, 773), "1700-01-01"  # 189 * 773 days: four centuries
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -155,6 +158,83 @@ def _respell(found: Column, digits: Column) -> Column:
     return F.aggregate(F.filter(F.split(found, ""), lambda c: c != ""), zero, step)["s"]
 
 
+def _groups(m: Column) -> Column:
+    """A run's groups of digits, each with the separator after it."""
+    return F.split(m, "(?<=[ -])")
+
+
+def _joined(groups: Column, at: Column, n: Column) -> Column:
+    return F.array_join(F.slice(groups, at + 1, n), "")
+
+
+def _valid_card(digits: Column) -> Column:
+    return F.pmod(_luhn_sum(digits, False), F.lit(10)) == 0
+
+
+def cards_in(m: Column) -> Column:
+    """The cards of a run, from left to right, as an array of structs: first group and number of groups.
+
+    At each group the windows that are spelt as cards are and begin as a network's cards do come first. Where none of those
+    is touched, other windows of a network's numbers follow, the longest first, then at the run's start what is
+    spelt as a card or is longest, and groups that are a number by themselves.
+    """
+    none = F.array().cast("array<struct<at:int,n:int>>")
+
+    def spelt(groups, i):
+        w = _joined(groups, i, F.lit(19))
+        shaped = F.array(*[F.regexp_extract(w, rf"^(?:{x})(?!\d)", 0) for x in SHAPES])
+        good = F.filter(shaped, lambda x: (x != "") & _digits(x).rlike(NETWORK) & _valid_card(_digits(x)))
+        n = F.coalesce(F.size(F.split(F.get(good, F.lit(0)), "[ -]")), F.lit(0))
+        return F.when(w.rlike(r"^(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|\d{4}[ -]\d{6}[ -]\d|\d{13})"), n).otherwise(0)
+
+    def other(groups, first, i):
+        def window(n):
+            text = F.regexp_replace(_joined(groups, i, n), "[ -]$", "")
+            return F.struct(n.alias("n"), text.alias("text"), _digits(text).alias("digits"))
+
+        most = F.least(F.size(groups) - i, F.lit(19))
+        windows = F.filter(
+            F.transform(F.reverse(F.sequence(F.lit(1), most)), window),
+            lambda x: F.length(x["digits"]).between(13, 19) & ~F.exists(F.slice(first, i + 2, x["n"] - 1), lambda k: k > 0),
+        )
+
+        def likely(x, j):
+            spelling = F.lit(False)
+            for shape in SHAPES[1:4]:
+                spelling = spelling | x["text"].rlike(f"^{shape}$")
+            return x["digits"].rlike(NETWORK) | (x["n"] == 1) | ((i == 0) & ((j == 0) | spelling))
+
+        good = F.filter(windows, lambda x, j: likely(x, j) & _valid_card(x["digits"]))
+        return F.coalesce(F.get(good, F.lit(0))["n"], F.lit(0))
+
+    def picked(groups, first):
+        picks = F.transform(first, lambda k, i: F.struct(i.alias("at"), F.when(k > 0, k).otherwise(other(groups, first, i)).alias("n")))
+
+        def step(acc, x):
+            free = (F.size(acc) == 0) | (x["at"] >= F.coalesce(F.element_at(acc, -1)["at"] + F.element_at(acc, -1)["n"], F.lit(0)))
+            return F.when(free, F.concat(acc, F.array(x).cast("array<struct<at:int,n:int>>"))).otherwise(acc)
+
+        return F.aggregate(F.filter(picks, lambda x: x["n"] > 0), none, step)
+
+    found = _let(_groups(m), lambda g: _let(F.transform(g, lambda _, i: spelt(g, i)), lambda first: picked(g, first)))
+    return F.when(m.rlike("^[0-9][0-9 -]*$") & (F.length(_digits(m)) >= 13), found).otherwise(none)
+
+
+def _run(m: Column, key: str) -> Column:
+    """The run with its cards permuted, the other numbers as they are."""
+
+    def made(groups, cards):
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"))
+
+        def step(acc, x):
+            s = F.concat(acc["s"], _joined(groups, acc["at"], x["at"] - acc["at"]), _card(_joined(groups, x["at"], x["n"]), key))
+            return F.struct((x["at"] + x["n"]).alias("at"), s.alias("s"))
+
+        return _let(F.aggregate(cards, zero, step), lambda z: F.concat(z["s"], _joined(groups, z["at"], F.size(groups))))
+
+    return _let(_groups(m), lambda g: _let(cards_in(m), lambda c: made(g, c)))
+
+
 def _card(m: Column, key: str) -> Column:
     def made(d):
         middle = F.substr(d, F.lit(2), F.length(d) - 2)
@@ -221,7 +301,7 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of a candidate that passes validation, or null."""
+    """The kind of a candidate that passes validation, or null; a run with cards in it is a card."""
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     area = F.substr(m, F.lit(1), F.lit(3))
     day = _day(m)
@@ -232,12 +312,12 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(f"^(?:{IP})$"), F.when(F.forall(octets, lambda x: x <= 255), F.lit("ip")))
         .when(m.rlike(f"^(?:{DATE})$"), F.when((F.year(day) >= 1700) & (F.year(day) <= 2099), F.lit("date")))
         .when(m.rlike(f"^(?:{PHONE})$"), "phone")
-        .when(F.pmod(_luhn_sum(_digits(m), False), F.lit(10)) == 0, "card")
+        .when(F.size(cards_in(m)) > 0, "card")
     )
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    made = {"email": _email, "secret": _secret, "ssn": _ssn, "ip": _ip, "date": _date, "phone": _phone, "card": _card}
+    made = {"email": _email, "secret": _secret, "ssn": _ssn, "ip": _ip, "date": _date, "phone": _phone, "card": _run}
     out = None
     for name in KINDS:
         out = F.when(kind == name, made[name](m, key)) if out is None else out.when(kind == name, made[name](m, key))
@@ -255,7 +335,8 @@ def pseudonymize(docs: DataFrame, key: str = "a key of your own", text: str = "t
     joined = F.array_join(F.transform(F.arrays_zip("__rest", "__new"), lambda z: F.concat(z["__rest"], F.coalesce(z["__new"], F.lit("")))), "")
     out = done.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(t))
     if found:
-        out = out.withColumn(found, F.filter("__kinds", lambda k: k.isNotNull()))
+        each = lambda z: F.when(z["__kinds"] == "card", F.array_repeat(z["__kinds"], F.size(cards_in(z["__found"])))).otherwise(F.array(z["__kinds"]))
+        out = out.withColumn(found, F.flatten(F.transform(F.filter(F.arrays_zip("__found", "__kinds"), lambda z: z["__kinds"].isNotNull()), each)))
     return out.select(*names, *([found] if found else []))
 
 

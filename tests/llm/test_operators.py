@@ -301,6 +301,27 @@ def test_values_after_brackets_and_signs(spark):
     assert [r.text for r in pii.pseudonymize(docs_of(spark, apart)).orderBy("doc_id").collect()] == apart
 
 
+def test_cards_beside_other_numbers(spark):
+    card, spaced, amex = "4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"
+    want = {
+        f"{card} 233.254.104.120": ["card", "ip"], f"{card} 12/25/2024": ["card", "date"], f"{card} 2024-12-25": ["card", "date"], f"{card} 123-45-6789": ["card", "ssn"],
+        f"{spaced} 555-234-4567": ["card", "phone"], f"{spaced} 1 555-234-4567 {card}": ["card", "phone", "card"], f"7 555-234-4567 {spaced}": ["phone", "card"], "12345 555-234-4567": ["phone"],
+        f"{spaced} 123": ["card"], f"7 {spaced}": ["card"], f"1235 {spaced} 12 123": ["card"], f"{amex} 1234": ["card"], f"99 {amex}": ["card"], f"{spaced} {card} {amex}": ["card"] * 3,
+        f"{spaced} 12/25 123": ["card"], "4111-1111-1111-1111 4": ["card"], "12 41111111 11111111 123": ["card"], "41 111111-1111 1111": ["card"], "9041894974608794": ["card"],
+        " ".join(map(str, range(1950, 2030))): [], "4111 1111 1111 1112 123": [], "41111111111111114111": [], "100 " * 3000: [],
+    }
+    got = pii.pseudonymize(docs_of(spark, [f"a {t} b" for t in want]), found="kinds").orderBy("doc_id").collect()
+    assert {t: r.kinds for t, r in zip(want, got, strict=True)} == want
+    one, *_ = (r.text[2:-2] for r in pii.pseudonymize(docs_of(spark, [f"a {card} b"])).collect())
+    for t, r in zip(want, got, strict=True):
+        assert want[t] or r.text == f"a {t} b"
+        assert not want[t] or (card not in r.text and spaced not in r.text and "555-234-4567" not in r.text)
+        assert not (want[t] and (card in t or spaced in t)) or one in r.text.replace(" ", "")
+    assert luhn(one)
+    digits = {"".join(c for c in r.text if c.isdigit()) for t, r in zip(want, got, strict=True) if t in (f"{spaced} 123", f"7 {spaced}")}
+    assert digits == {one + "123", "7" + one}
+
+
 def test_feistel_is_a_permutation(spark):
     m, n = 7, 11
     z = pii.feistel(F.floor(F.col("id") / n), F.lit(m), F.col("id") % n, F.lit(n), F.lit("t"), "k")
