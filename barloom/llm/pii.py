@@ -7,7 +7,9 @@ rounds add a keyed hash of b to a modulo m, odd rounds one of a to b modulo n. T
 in every document and spelling, different values stay different, and the pseudonym passes the same validation.
 
 - cards: found in runs of digit groups also beside other numbers, groups whole; the first digit stays, the middle ones are permuted, the check digit is made anew
-- dates: permuted among the 146,097 days from 1700 to 2099, in the notation found
+- dates: permuted among the 146,097 days from 1700 to 2099, in the notation found (yyyy-MM-dd, M/d/yyyy, d.M.yyyy, and
+  d/M/yyyy where M/d/yyyy makes no date; a slashed date that could be both is read month first, so slashed
+  pseudonyms of the two notations can be spelt alike)
 - IPv4, social security numbers: permuted among all valid ones
 - phones: the leading digit of area and exchange stays, the other eight are permuted, marks stay
 - e-mail addresses, key-like tokens and passwords: letters permuted among letters of their case, digits among digits (or
@@ -29,7 +31,7 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"AKIA[A-Z0-9]{16}|(?i:password|passwd|secret|token|api_key)(?: ?[=:] ?)\"?[A-Za-z0-9+/_-]{8,}"
 SSN = r"\d{3}-\d{2}-\d{4}(?![-\d])"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-DATE = r"\d{4}-\d{2}-\d{2}(?![-\d])|\d{1,2}/\d{1,2}/\d{4}(?![/\d])"
+DATE = r"\d{4}-\d{2}-\d{2}(?![-\d])|\d{1,2}/\d{1,2}/\d{4}(?![/\d])|\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)"
 PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
 #: 13 digits or more in groups, up to where another kind begins: `cards_in` finds the cards in it.
 RUN = rf"(?=\d(?:[ -]?\d){{12}})\d++(?:-\d++| (?!{SSN}|{IP}|{DATE}|{PHONE})\d++)*+"
@@ -276,16 +278,27 @@ def _ssn(m: Column, key: str) -> Column:
     return _let(F.transform(F.split(m, "-"), lambda x: x.cast("int")), made)
 
 
+def _notation(m: Column) -> Column:
+    """How the date is written, or null if it's none: month first wherever that makes a date."""
+    slashed = F.when(F.try_to_date(m, "M/d/yyyy").isNotNull(), "MM/dd/yyyy").when(F.try_to_date(m, "d/M/yyyy").isNotNull(), "dd/MM/yyyy")
+    return F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("/"), slashed).otherwise("dd.MM.yyyy")
+
+
 def _day(m: Column) -> Column:
     """The date that is written, or null."""
-    return F.when(m.contains("-"), F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "M/d/yyyy"))
+    slashed = F.coalesce(F.try_to_date(m, "M/d/yyyy"), F.try_to_date(m, "d/M/yyyy"))
+    return F.when(m.contains("-"), F.try_to_date(m, "yyyy-MM-dd")).when(m.contains("/"), slashed).otherwise(F.try_to_date(m, "d.M.yyyy"))
 
 
 def _date(m: Column, key: str) -> Column:
+    def written(d):
+        notation = _notation(m)
+        return F.when(notation == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(notation == "MM/dd/yyyy", F.date_format(d, "MM/dd/yyyy")).when(notation == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+
     def made(n):
         z = feistel(F.floor(n / DAYS[1]), F.lit(DAYS[0]), n % DAYS[1], F.lit(DAYS[1]), F.lit("date"), key)
         day = _let(z, lambda z: F.date_add(F.lit(FIRST_DAY).cast("date"), (z["x"] * DAYS[1] + z["y"]).cast("int")))
-        return _let(day, lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+        return _let(day, written)
 
     return _let(F.datediff(_day(m), F.lit(FIRST_DAY).cast("date")), made)
 

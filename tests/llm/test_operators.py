@@ -322,6 +322,17 @@ def test_cards_beside_other_numbers(spark):
     assert digits == {one + "123", "7" + one}
 
 
+def test_dates_with_the_day_first(spark):
+    same, none = ["2024-12-25", "12/25/2024", "25/12/2024", "25.12.2024"], ["32/12/2024", "13/13/2024", "31.02.2024", "29.02.2023", "1.2.2024.5", "25.13.2024", "31/02/2024"]
+    more = ["5.1.2024", "05.01.2024", "(31/1/2023)", "31.01.2023."]
+    got = pii.pseudonymize(docs_of(spark, [f"a {t} b" for t in same + none + more]), found="kinds").orderBy("doc_id").collect()
+    text = {t: r.text[2:-2] for t, r in zip(same + none + more, got, strict=True)}
+    assert [t for t, r in zip(same + none + more, got, strict=True) if r.kinds == ["date"]] == same + more and all(text[t] == t for t in none)
+    y, m, d = text["2024-12-25"].split("-")
+    assert [text[t] for t in same[1:]] == [f"{m}/{d}/{y}", f"{d}/{m}/{y}", f"{d}.{m}.{y}"]
+    assert text["5.1.2024"] == text["05.01.2024"] != "05.01.2024" and text["(31/1/2023)"][1:-1].split("/") == text["31.01.2023."][:-1].split(".")
+
+
 def test_feistel_is_a_permutation(spark):
     m, n = 7, 11
     z = pii.feistel(F.floor(F.col("id") / n), F.lit(m), F.col("id") % n, F.lit(n), F.lit("t"), "k")
