@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     # What two sets of the least linked similarity fulfil: surely in size, but for one case in millions in their sketches.
     # Documents of several texts have no size here and are always compared.
     most = F.least("ua", "ub")
-    alike = F.coalesce((100 * most >= percent * (F.col("na") + F.col("nb") - most)) & (_agreeing(coords) >= _least_agreeing(coords, percent)), F.lit(True))
+    bounded = (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & (_agreeing(coords) >= _least_agreeing(coords, percent))
+    alike = F.col("na").isNull() | F.col("nb").isNull() | bounded
     weighed = materialize(members.select("key", "node").join(central, "node"))
     tested = None
     label = components(links)

@@ -171,6 +171,25 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_repeated_ids_with_different_texts_are_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 60, 10):  # an id of several texts, and a near copy of each of them
+        texts = [prose(120, rng) for _ in range(2 + i % 20 // 10)]
+        rows += [(i, t) for t in texts] + [(i + 1 + j, t.rsplit(" ", rng.randint(1, 9))[0]) for j, t in enumerate(texts)]
+    rows += [(100 + i, prose(120, rng)) for i in range(5)] + [(0, rows[10][1]), (31, prose(90, rng))]
+    sets = [set(x.tolist()) for x in shingles.shingle_sets([t for _, t in rows], 4)]
+    root = {i: i for i, _ in rows}
+    for (a, _), x in zip(rows, sets, strict=True):
+        for (b, _), y in zip(rows, sets, strict=True):
+            if root[a] != root[b] and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = minhash.near_duplicates(docs_of(spark, [t for _, t in rows], [i for i, _ in rows]), width=4, percent=80).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == root and len(set(root.values())) < 15
+    assert all(r.kept == (r.component_id == r.doc_id) for r in got)
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(1, 2**63, 500).astype(np.uint64)
