@@ -3,8 +3,8 @@
 Voters are patterns that fire or don't: a fixed lexicon of insults, words and beginnings of words that the labelled sample
 shows far more often in toxic texts, and a few marks of style. A generative label model estimates by
 expectation-maximization how often each voter fires in toxic and in other texts and how voters depend on each
-other; a voter's say is divided by what it shares with others. A logistic regression is trained on the
-posterior labels, with the voters' hits and their density as features, and scores every text in one pass of
+other; a voter's say is divided by what it shares with others. A logistic regression is trained on
+targets that are half the labels and half the model's posteriors, with the voters' hits and their density as features, and scores every text in one pass of
 an Aho-Corasick automaton.
 
 Bound: the model is fitted on at most `MOST_TOXIC` + `MOST_CLEAN` labelled rows, chosen by a hash of doc_id among the rows
