@@ -1,4 +1,4 @@
-"""Options and futures as expressions: Black-Scholes-Merton, Black-76, greeks, digitals, bounds, chains, curves.
+"""Options and futures as expressions: Black-Scholes-Merton, Black-76, greeks, digitals, bounds, chains.
 
 Expressions are SQL text over the columns spot, strike, rate, carry, t, vol, is_call (0 or 1), so that they stay inside
 generated code. Implied volatility and American prices iterate, and run in Arrow batches.
