@@ -3,7 +3,7 @@
 Each round every node hooks to its smallest neighbour, pointers are followed to their roots by doubling, and the
 edges are drawn between roots; a round at least halves the components that are not yet whole. Minima
 are taken by partial aggregation and the joins are on single keys, so Spark can split a node with very many
-neighbours. All tables go through the shared folder.
+neighbours. All tables go through the shared folder, and those of a round are deleted after it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize
+from barloom.llm.common import discard, materialize
 
 
 def _follow(parents: DataFrame) -> DataFrame:
@@ -19,6 +19,7 @@ def _follow(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
         step = materialize(parents.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("next"), "parent"))
+        discard(parents)
         moved = not step.filter(F.col("next") != F.col("parent")).isEmpty()
         parents = step.select("node", F.col("next").alias("parent"))
         if not moved:
@@ -34,12 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent"))
         roots = _follow(materialize(hooks))
         if labels is None:
-            labels = roots.select("node", F.col("root").alias("label"))
+            labels = materialize(roots.select("node", F.col("root").alias("label")))
         else:
-            up = roots.select(F.col("node").alias("label"), "root")
-            labels = labels.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-        labels = materialize(labels)
+            up, before = roots.select(F.col("node").alias("label"), "root"), labels
+            labels = materialize(labels.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+            discard(before)
         ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         drawn = todo.join(ra, "a").join(rb, "b").filter("ra <> rb")
-        todo = materialize(drawn.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+        left = materialize(drawn.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+        discard(todo)
+        discard(roots)
+        todo = left
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)

@@ -7,10 +7,19 @@ coordinate is filled after 2 * coords rounds at the latest, and two sketches agr
 that is the sets' similarity. Bands of `rows` coordinates are bucket keys.
 
 Texts with equal sets are one class, represented by its smallest doc_id. Within a bucket not all pairs are drawn. Each
-class is first compared with its buckets' hub (the class that shares most buckets with others), and only classes that
-are not yet in one component are compared further: with the buckets' other hubs, at last with every class of
-another component in the same bucket whose sizes (without the shingles that no other candidate has) and sketches (five
-standard deviations) allow a link, so no such pair is left out unless its component is already known. Links are confirmed on the full sets of 64-bit shingle hashes.
+class is first compared with one hub (of its buckets' hubs, the classes that share most buckets with others, the one it meets most). Classes
+that share a bucket of more than one component after that form a group with the bucket's hub, and the group's consensus, the shingles that
+more than half of it have, stands for a centre: a set's difference from it is small, and so are the differences of two sets.
+
+- A similarity of p means that two sets differ in at most q = (1 - p) / (1 + p) of their sizes' sum. Sets whose differences from
+  the consensus stay below that together (by the triangle inequality of the symmetric difference) are linked, known without a comparison:
+  all are linked with the one that has most room.
+- A pair with a set beyond that has to share part of the two differences, at least half of what they have too much. What only one
+  component differs in can't be shared, and of what is left a set's rarest elements suffice to meet every partner (prefix filter, with
+  the places at which two meet bounding what can follow). Only such pairs are compared.
+
+So edits that no two copies share cost nothing, however many copies there are and however close to the threshold, and no pair of a bucket is
+left out. What is compared is confirmed on the full sets of 64-bit shingle hashes, and the differences are of full sets too.
 With 6 rows and 48 bands a pair of similarity 0.8 shares no bucket with probability 5e-7.
 
 Edge cases: null, empty and wordless texts have an empty set and are linked with nothing. Rows that repeat a doc_id count as one
@@ -21,10 +30,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, materialize, mix64, workers_import
+from barloom.llm.common import U64, discard, materialize, mix64, workers_import
 from barloom.llm.components import components
 from barloom.llm.shingles import shingle_sets
 
@@ -64,8 +73,8 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _digests(docs: DataFrame, width: int, rows: int, bands: int, text: str) -> DataFrame:
-    """doc_id, n, lo, hi (a digest of the set), bucket keys, and eight bits of each coordinate, eight to a number."""
-    schema = "doc_id long, n long, lo long, hi long, keys array<long>, marks array<long>"
+    """doc_id, n, lo, hi (a digest of the set) and bucket keys."""
+    schema = "doc_id long, n long, lo long, hi long, keys array<long>"
     coords = rows * bands
 
     def run(batches):
@@ -74,11 +83,8 @@ def _digests(docs: DataFrame, width: int, rows: int, bands: int, text: str) -> D
             n = np.array([len(s) for s in sets], dtype=np.int64)
             items = np.concatenate([*sets, np.empty(0, dtype=U64)])
             keys = np.empty((len(sets), bands), dtype=U64)
-            marks = np.zeros((len(sets), -(-coords // 8) * 8), dtype=np.uint8)
             for a in range(0, len(sets), 2000):
-                sketch = sketches(sets[a : a + 2000], coords)
-                keys[a : a + 2000] = band_keys(sketch, rows)
-                marks[a : a + 2000, :coords] = mix64(sketch) >> U64(56)
+                keys[a : a + 2000] = band_keys(sketches(sets[a : a + 2000], coords), rows)
             start = np.concatenate(([0], np.cumsum(n)))
             digest = []
             for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
@@ -87,8 +93,7 @@ def _digests(docs: DataFrame, width: int, rows: int, bands: int, text: str) -> D
             some = n > 0
             offsets = np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
-            packed = pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size // 8 + 1, marks.shape[1] // 8, dtype=np.int32)), pa.array(marks.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), lists, packed], ["doc_id", "n", "lo", "hi", "keys", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), lists], ["doc_id", "n", "lo", "hi", "keys"])
 
     return docs.select("doc_id", text).mapInArrow(run, schema)
 
@@ -107,23 +112,6 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, text: str) -> DataFr
     return found.mapInArrow(run, "node long, items array<long>")
 
 
-def _agreeing(coords: int) -> Column:
-    """In how many coordinates the marks m0.. and o0.. of two sketches agree: their bytes' differences that are zero."""
-    out = F.lit(coords - -(-coords // 8) * 8)
-    for i in range(-(-coords // 8)):
-        x = F.col(f"m{i}").bitwiseXOR(F.col(f"o{i}"))
-        for k in (4, 2, 1):  # the lowest bit of each byte becomes the union of its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        out = out + 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return out
-
-
-def _least_agreeing(coords: int, percent: int) -> int:
-    """Five standard deviations below what a pair of the least linked similarity shows."""
-    p = percent / 100
-    return int(coords * p - 5 * (coords * p * (1 - p)) ** 0.5)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked for the pairs a, b: their sets' similarity reaches the percentage."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
@@ -134,11 +122,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", F.when(small, close).otherwise(False).alias("linked"))
 
 
+def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, node, v, excess, delta for every set of the groups (hub, node): its difference from the group's consensus, and by how much
+    that exceeds what a set may differ (negative: room), times 100 + percent."""
+    rows = groups.join(sets, "node")
+    count = rows.groupBy("hub").agg(F.count("*").alias("m"))
+    often = rows.select("hub", F.explode("items").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("f"))
+    base = often.join(count, "hub").filter("2 * f > m").groupBy("hub").agg(F.collect_list("h").alias("base"))
+    both = rows.join(base, "hub", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
+    delta = F.concat(F.array_except("items", "base"), F.array_except("base", "items"))
+    excess = (100 + percent) * F.size("delta") - (100 - percent) * F.col("size")
+    return both.select("hub", "node", "v", F.size("items").alias("size"), delta.alias("delta")).select("hub", "node", "v", excess.cast("long").alias("excess"), "delta")
+
+
+def _near_consensus(deltas: DataFrame) -> DataFrame:
+    """a, b: every set that the triangle inequality links with its group's set of most room."""
+    room = deltas.groupBy("hub").agg(F.min(F.struct("excess", "node")).alias("best"))
+    sure = deltas.join(room, "hub").filter((F.col("excess") + F.col("best.excess") <= 0) & (F.col("node") != F.col("best.node")))
+    return sure.select(F.col("node").alias("a"), F.col("best.node").alias("b"))
+
+
+def _sharing(deltas: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components that can share as much of their differences as a link needs."""
+    unit = 2 * (100 + percent)
+    rows = deltas.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    room = rows.groupBy("hub").agg(F.min("excess").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("hub", "least")
+    rows = rows.join(room, "hub").withColumn("far", F.col("excess") + F.col("least") > 0)
+    # Of two sets that aren't far both are linked with the one of most room already.
+    nearest = rows.filter("far").groupBy("hub").agg(F.min("excess").alias("far_least"))
+    rows = rows.join(nearest, "hub")
+    keys = ["hub", "node", "v", "comp", "excess", "least", "far_least", "far"]
+    elements = rows.select(*keys, F.explode("delta").alias("h"))
+    shared = elements.groupBy("hub", "h").agg(F.count("*").alias("f"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("hub", "h", "f")
+    open_ = elements.join(shared, ["hub", "h"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("open"))
+    needed = F.ceil((F.col("excess") + F.when(F.col("far"), F.col("least")).otherwise(F.col("far_least"))) / F.lit(float(unit)))
+    prefix = F.slice("open", F.lit(1), F.greatest(F.lit(0), F.size("open") - needed.cast("int") + 1))
+    meet = open_.select("hub", "node", "comp", "excess", "far", F.size("open").alias("n"), F.posexplode(prefix).alias("at", "e"))
+    meet = materialize(meet.select("hub", "node", "comp", "excess", "far", (F.col("n") - F.col("at")).alias("rest"), F.col("e.h").alias("h")))
+    mine = meet.filter("far").select("hub", "h", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("excess").alias("ea"), F.col("rest").alias("ra"))
+    other = meet.select("hub", "h", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("excess").alias("eb"), F.col("rest").alias("rb"), F.col("far").alias("fb"))
+    enough = unit * F.least("ra", "rb") >= F.col("ea") + F.col("eb")
+    same = (mine["hub"] == other["hub"]) & (mine["h"] == other["h"])
+    pairs = mine.join(other, same & (F.col("ca") != F.col("cb")) & (~F.col("fb") | (F.col("a") < F.col("b"))) & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     workers_import(docs.sparkSession)
     seen = materialize(_digests(docs, width, rows, bands, text))
-    coords = rows * bands
     some = seen.filter("n > 0 and doc_id is not null")
     classes = materialize(some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("node")))
     reps = some.join(classes.select("lo", "hi", F.col("node").alias("doc_id")), ["doc_id", "lo", "hi"])
@@ -150,63 +182,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     repeated = some.join(same, "doc_id").join(classes, ["lo", "hi", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = materialize(repeated.distinct())
     central = materialize(members.groupBy("node").agg(F.sum("size").alias("weight")))
-    nodes = central.select("node")
-    sets = materialize(_sets_of(docs, nodes, width, text))
-    # Shingles that no other candidate has can't be shared: they bound what two sets have in common.
-    own = sets.select("node", F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    once = sets.groupBy("node").agg(F.max(F.size("items")).alias("size"), F.count("*").alias("texts")).filter("texts = 1").select("node", "size")
-    known = once.join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("open"))
-    marks = reps.select(F.col("doc_id").alias("node"), "marks").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    marks = materialize(marks.join(known, "node", "left"))
-    words = range(-(-coords // 8))
-    mine = marks.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("open").alias("ua"), *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in words])
-    other = marks.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("open").alias("ub"), *[F.get("marks", F.lit(i)).alias(f"o{i}") for i in words])
-    # What two sets of the least linked similarity fulfil: surely in size, but for one case in millions in their sketches.
-    # Documents of several texts have no size here and are always compared.
-    most = F.least("ua", "ub")
-    bounded = (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & (_agreeing(coords) >= _least_agreeing(coords, percent))
-    alike = F.col("na").isNull() | F.col("nb").isNull() | bounded
+    # A document of several texts has several sets, told apart by v.
+    sets = materialize(_sets_of(docs, central.select("node"), width, text).withColumn("v", F.xxhash64("items")).distinct())
     weighed = materialize(members.select("key", "node").join(central, "node"))
-    tested = None
+    discard(members)
     label = components(links)
-    for turn in ("first hub", "other hubs", "rest"):
-        # Components as they are now, and the buckets that still hold more than one.
-        now = weighed.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        now = materialize(now.join(open_, "key"))
-        if now.isEmpty():
-            break
-        if turn == "rest":
-            # Now that components are known: only shingles met in two of them can be common to a pair that is left.
-            who = now.select("node", "comp").distinct()
-            items = sets.join(who, "node").select("node", "comp", F.explode("items").alias("h"))
-            met = items.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
-            left = materialize(items.join(met, "h").groupBy("node").agg(F.count("*").alias("open")))
-            mine, other = (x.drop(u).join(left.select(F.col("node").alias(k), F.col("open").alias(u)), k, "left").withColumn(u, F.coalesce(u, F.lit(0))) for x, k, u in ((mine, "a", "ua"), (other, "b", "ub")))
-            ours = now.select("key", F.col("node").alias("a"), "comp").join(mine, "a")
-            theirs = now.select("key", F.col("node").alias("b"), F.col("comp").alias("other")).join(other, "b")
-            pairs = ours.join(theirs, (ours["key"] == theirs["key"]) & (F.col("comp") != F.col("other")) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
-            # Pairs are kept with the smaller node first here, and were tested with the hub second before.
-            tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            # The hub of a bucket is the class that shares most buckets with others.
-            hubs = now.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("by")).select("key", (-F.col("by.col2")).alias("b"))
-            comp_of = label.select(F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = now.join(hubs, "key").join(comp_of, "b", "left").filter("comp <> coalesce(other, b)")
-            pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("k")).join(other, "b").join(mine, "a").filter(alike).select("a", "b", "k")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if turn == "first hub":  # the one with most buckets in common; the others' turn comes if that leaves them apart
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("k", F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b"))
-        found = materialize(_verified(pairs.select("a", "b"), sets, percent))
-        now_tested = found.select("a", "b")
-        tested = now_tested if tested is None else tested.unionByName(now_tested)
-        new = found.filter("linked").select("a", "b")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            label = components(links)
+
+    def now() -> DataFrame:
+        """key, node, comp, hub: buckets that still hold more than one component, with their hubs."""
+        placed = weighed.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+        hub = F.max(F.struct("weight", -F.col("node"), "comp"))
+        open_ = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub.alias("by")).filter("low < high")
+        return placed.join(open_.select("key", (-F.col("by.col2")).alias("hub"), F.col("by.comp").alias("other")), "key")
+
+    met = now().filter("comp <> other").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("k"))
+    best = met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    tested = materialize(_verified(best, sets, percent))
+    links = links.unionByName(tested.filter("linked").select("a", "b"))
+    label = components(links)
+    groups = materialize(now().select("hub", "node").distinct())
+    if not groups.isEmpty():
+        deltas = materialize(_differences(groups, sets, percent))
+        links = links.unionByName(materialize(_near_consensus(deltas).distinct()))
+        label = components(links)
+        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = materialize(_verified(_sharing(deltas, label, percent).join(known, ["a", "b"], "left_anti"), sets, percent))
+        links = links.unionByName(found.filter("linked").select("a", "b"))
+        label = components(links)
+        discard(deltas)
+    discard(sets)
+    discard(weighed)
     ids = classes.join(label, "node", "left").select("lo", "hi", "n", F.coalesce("label", "node").alias("component"))
-    out = seen.drop("keys", "marks").join(ids, ["lo", "hi", "n"], "left")
+    out = seen.drop("keys").join(ids, ["lo", "hi", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

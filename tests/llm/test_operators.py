@@ -164,6 +164,39 @@ def test_near_duplicates_are_brute_force(spark):
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(n, k, k == i) for i, (n, k) in enumerate(zip(sizes, label, strict=True))]
 
 
+def linked_components(ids, sets, percent):
+    """component of every id by comparing all pairs of sets."""
+    root = {i: i for i in ids}
+    for i, (a, x) in enumerate(zip(ids, sets, strict=True)):
+        for b, y in zip(ids[:i], sets[:i], strict=True):
+            if root[a] != root[b] and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize(("with_base", "most"), [(True, 9), (False, 9), (False, 30)])
+def test_large_near_groups_are_brute_force(spark, monkeypatch, with_base, most):
+    """Groups of many texts close to the threshold, whose links are made by the consensus, by shared edits and by chains of copies."""
+    rng = random.Random(most + with_base)
+    texts = []
+    for _ in range(2):
+        base = prose(150, rng)
+        texts += [base] * with_base + [edited(base, rng.randint(1, most), rng) for _ in range(60)]
+        copy = edited(base, most, rng)
+        for _ in range(15):  # a chain: each one is near the one before only, and its edits are the next one's too
+            copy = edited(copy, rng.randint(1, 4), rng)
+            texts.append(copy)
+    sets = [set(x.tolist()) for x in shingles.shingle_sets(texts, 4)]
+    want = linked_components(list(range(len(texts))), sets, 80)
+    compared = []
+    real = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: compared.append(pairs.count()) or real(pairs, *a))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, texts), width=4).collect()}
+    assert got == want and 1 < len(set(want.values()))
+    assert sum(compared) < 6 * len(texts)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = minhash.near_duplicates(odd_docs(spark), width=4).collect()
     assert len(got) == odd_docs(spark).count()
@@ -179,12 +212,7 @@ def test_repeated_ids_with_different_texts_are_brute_force(spark):
         rows += [(i, t) for t in texts] + [(i + 1 + j, t.rsplit(" ", rng.randint(1, 9))[0]) for j, t in enumerate(texts)]
     rows += [(100 + i, prose(120, rng)) for i in range(5)] + [(0, rows[10][1]), (31, prose(90, rng))]
     sets = [set(x.tolist()) for x in shingles.shingle_sets([t for _, t in rows], 4)]
-    root = {i: i for i, _ in rows}
-    for (a, _), x in zip(rows, sets, strict=True):
-        for (b, _), y in zip(rows, sets, strict=True):
-            if root[a] != root[b] and 100 * len(x & y) >= 80 * len(x | y):
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if v == high else v for k, v in root.items()}
+    root = linked_components([i for i, _ in rows], sets, 80)
     got = minhash.near_duplicates(docs_of(spark, [t for _, t in rows], [i for i, _ in rows]), width=4, percent=80).collect()
     assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == root and len(set(root.values())) < 15
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
