@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import os
+import secrets
 import tempfile
 import uuid
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,6 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of pseudonyms: spark.barloom.pii.key, or one drawn for this session where it is unset (pseudonyms then can't be made again later)."""
+    found = spark.conf.get("spark.barloom.pii.key", None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set("spark.barloom.pii.key", found)
+    return found
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors don't matter."""
     spark = df.sparkSession
@@ -60,6 +71,25 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+class WordCache(dict):
+    """What a worker knows of words, bounded by an estimate of its bytes."""
+
+    def __init__(self, limit: int = 64 << 20):
+        super().__init__()
+        self.limit, self.size = limit, 0
+
+    def missing(self, lists: list[list], cost) -> set:
+        """The different words of the lists that aren't known; all that is known goes if they would outgrow the bound."""
+        words = set(chain.from_iterable(lists))
+        new = words.difference(self)
+        self.size += sum(map(cost, new))
+        if self.size > self.limit:
+            self.clear()
+            self.size = sum(map(cost, words))
+            return words
+        return new
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64 on an array of uint64 (a copy)."""
     x = x ^ (x >> U64(30))

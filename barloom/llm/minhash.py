@@ -126,9 +126,9 @@ def _differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """hub, node, v, excess, delta for every set of the groups (hub, node): its difference from the group's consensus, and by how much
     that exceeds what a set may differ (negative: room), times 100 + percent."""
     rows = groups.join(sets, "node")
-    count = rows.groupBy("hub").agg(F.count("*").alias("m"))
+    count = rows.groupBy("hub").agg(F.count("*").alias("m"))  # 2 at least, so what only one set has isn't in the consensus
     often = rows.select("hub", F.explode("items").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("f"))
-    base = often.join(count, "hub").filter("2 * f > m").groupBy("hub").agg(F.collect_list("h").alias("base"))
+    base = often.filter("f > 1").join(count, "hub").filter("2 * f > m").groupBy("hub").agg(F.collect_list("h").alias("base"))
     both = rows.join(base, "hub", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
     delta = F.concat(F.array_except("items", "base"), F.array_except("base", "items"))
     excess = (100 + percent) * F.size("delta") - (100 - percent) * F.col("size")

@@ -8,7 +8,7 @@ What remains at the end of a partition is cut to windows of decreasing powers of
 Each partition packs for itself as it is scanned: no shuffle, no group, memory bounded by the buffer.
 Full windows of a tier are dealt to step groups that hold the same number of tokens each.
 
-Ids come from the tokenizer library; a word's ids are kept in a bounded cache, since words between white
+Ids come from the tokenizer library; a word's ids are kept in a cache bounded by bytes, since words between white
 space are encoded independently by pre-tokenizers that never join across it.
 
 Edge cases: null and empty texts are the single end id; rows are packed as they are, repeated ones and null
@@ -20,20 +20,18 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import workers_import
+from barloom.llm.common import WordCache, workers_import
 from barloom.llm.token_counts import by_bytes
 
 TIERS = (256, 512, 1024, 2048)
 BUFFER_TOKENS = 1 << 20
 STEP_TOKENS = 16_384
-CACHE_WORDS = 300_000
 CHUNK_BYTES = 2 << 20
 SHIFT = 40  # a sequence's number is its partition's number times 2**40, plus its number there
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -61,14 +59,23 @@ def _word_ends(path: str) -> np.ndarray | None:
     return out
 
 
+def _letters(word: str) -> bool:
+    return word.isalpha() and word.lower().isalpha()
+
+
 def _encode_new(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of words. Words of letters only are one pre-token each; some of them share a call, and their marked ends part the ids."""
+    """Ids of words. Words of letters only are one pre-token each; some of them share a call, and their marked ends part the ids.
+
+    What lower-casing makes of a letter may be none (İ), so both forms are looked at; words that the marks don't part are encoded one by one.
+    """
     t, ends = tokenizer(path), _word_ends(path)
     texts = [w.decode() for w in words]
     out: list[bytes] = [b""] * len(words)
-    plain = [i for i, w in enumerate(texts) if ends is not None and w.isalpha()]
-    groups = [plain[i : i + 50] for i in range(0, len(plain), 50)] + [[i] for i, w in enumerate(texts) if ends is None or not w.isalpha()]
-    for group, e in zip(groups, t.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+    plain = [i for i, w in enumerate(texts) if ends is not None and _letters(w)]
+    groups = [plain[i : i + 50] for i in range(0, len(plain), 50)] + [[i] for i in sorted(set(range(len(texts))).difference(plain))]
+    encoded = list(zip(groups, t.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True))
+    while encoded:
+        group, e = encoded.pop()
         ids = np.array(e.ids, dtype="<u4")
         data = ids.tobytes()
         if len(group) == 1:
@@ -76,7 +83,8 @@ def _encode_new(words: list[bytes], path: str) -> list[bytes]:
             continue
         cut = [0, *((np.flatnonzero(ends[ids]) + 1) * 4).tolist()]
         if len(cut) != len(group) + 1:
-            raise ValueError("the tokenizer's words don't end where its marks say")
+            encoded += zip([[i] for i in group], t.encode_batch_fast([texts[i] for i in group], add_special_tokens=False), strict=True)
+            continue
         for i, p, q in zip(group, cut[:-1], cut[1:], strict=True):
             out[i] = data[p:q]
     return out
@@ -92,7 +100,7 @@ def _words(text: str) -> list[bytes]:
 
 def _learn(new: set[bytes], cache: dict, path: str) -> None:
     """Ids of new words. Letters with one stop or comma behind are two pre-tokens, whose ids follow each other."""
-    marked = {w for w in new if w[-1:] in (b".", b",") and w[:-1].decode().isalpha()}
+    marked = {w for w in new if w[-1:] in (b".", b",") and _letters(w[:-1].decode())}
     todo = (new - marked) | {w[:-1] for w in marked} | {b".", b","}
     for part in by_bytes(todo.difference(cache), CHUNK_BYTES // 4):
         cache.update(zip(part, _encode_new(part, path), strict=True))
@@ -100,20 +108,16 @@ def _learn(new: set[bytes], cache: dict, path: str) -> None:
         cache[w] = cache[w[:-1]] + cache[w[-1:]]
 
 
-_CACHES: dict[str, dict] = {}
+_CACHES: dict[str, WordCache] = {}
 
 
 def token_bytes(texts: list[str], path: str, end_id: int = 1):
     """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
-    cache = _CACHES.setdefault(path, {})
+    cache = _CACHES.setdefault(path, WordCache())
     end = np.array([end_id], dtype="<u4").tobytes()
     for chunk in by_bytes(texts, CHUNK_BYTES):
         cut = [_words(t) for t in chunk]
-        new = set(chain.from_iterable(cut)).difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set(chain.from_iterable(cut))
-        _learn(new, cache, path)
+        _learn(cache.missing(cut, lambda w: 250 + 4 * len(w)), cache, path)
         get = cache.__getitem__
         for words in cut:
             yield b"".join(map(get, words)) + end

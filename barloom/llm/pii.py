@@ -8,13 +8,16 @@ in every document and spelling, different values stay different, and the pseudon
 
 - cards: found in runs of digit groups also beside other numbers, groups whole; the first digit stays, the middle ones are permuted, the check digit is made anew
 - dates: permuted among the 146,097 days from 1700 to 2099, in the notation found (yyyy-MM-dd, M/d/yyyy, d.M.yyyy, and
-  d/M/yyyy where M/d/yyyy makes no date; a slashed date that could be both is read month first, so slashed
-  pseudonyms of the two notations can be spelt alike)
+  d/M/yyyy where M/d/yyyy makes no date, with leading zeros unless a part has one digit; a slashed date that could be both is
+  read month first, so slashed pseudonyms of the two notations can be spelt alike)
 - IPv4, social security numbers: permuted among all valid ones
 - phones: the leading digit of area and exchange stays, the other eight are permuted, marks stay
 - e-mail addresses, key-like tokens and passwords: letters permuted among letters of their case, digits among digits (or
   hexadecimal among hexadecimal), blocks of up to 20 characters; a domain, and what names the secret, stays
 
+Not covered, and left as they are: phone numbers of other plans (+44 20 7946 0958) and without an area code (555-0199), IBANs, IPv6
+addresses, tokens without a name before them (sk_live_...), names, street addresses, dates with month names.
+
 Edge cases: null texts stay null and count nothing; empty ones are unchanged. Rows are kept as they are, repeated ones too;
 other columns stay. Numbers that fail their validation are left alone, and so is what stands after a digit, after a digit
 with '.' or '-' (a part of a longer number), and phones and cards after '+' (numbers of other plans).
@@ -278,10 +281,15 @@ def _ssn(m: Column, key: str) -> Column:
     return _let(F.transform(F.split(m, "-"), lambda x: x.cast("int")), made)
 
 
+NOTATIONS = {"-": ("yyyy-MM-dd",), "/": ("MM/dd/yyyy", "M/d/yyyy", "dd/MM/yyyy", "d/M/yyyy"), ".": ("dd.MM.yyyy", "d.M.yyyy")}
+
+
 def _notation(m: Column) -> Column:
-    """How the date is written, or null if it's none: month first wherever that makes a date."""
-    slashed = F.when(F.try_to_date(m, "M/d/yyyy").isNotNull(), "MM/dd/yyyy").when(F.try_to_date(m, "d/M/yyyy").isNotNull(), "dd/MM/yyyy")
-    return F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("/"), slashed).otherwise("dd.MM.yyyy")
+    """How the date is written: month first wherever that makes a date, without leading zeros if a part has one digit."""
+    short = m.rlike(r"^\d[/.]|[/.]\d[/.]")
+    pick = lambda long, brief: F.when(short, brief).otherwise(long)
+    month_first = F.try_to_date(m, "M/d/yyyy").isNotNull()
+    return F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("/"), F.when(month_first, pick("MM/dd/yyyy", "M/d/yyyy")).otherwise(pick("dd/MM/yyyy", "d/M/yyyy"))).otherwise(pick("dd.MM.yyyy", "d.M.yyyy"))
 
 
 def _day(m: Column) -> Column:
@@ -292,8 +300,10 @@ def _day(m: Column) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     def written(d):
-        notation = _notation(m)
-        return F.when(notation == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(notation == "MM/dd/yyyy", F.date_format(d, "MM/dd/yyyy")).when(notation == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+        notation, out = _notation(m), F.lit(None).cast("string")
+        for known in [n for of in NOTATIONS.values() for n in of]:
+            out = F.when(notation == known, F.date_format(d, known)).otherwise(out)
+        return out
 
     def made(n):
         z = feistel(F.floor(n / DAYS[1]), F.lit(DAYS[0]), n % DAYS[1], F.lit(DAYS[1]), F.lit("date"), key)
@@ -337,8 +347,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymize(docs: DataFrame, key: str = "a key of your own", text: str = "text", found: str | None = None) -> DataFrame:
-    """The documents with pseudonyms in the text; `found` names a column for the kinds met (array<string>)."""
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
+    """The documents with pseudonyms in the text; `found` names a column for the kinds met (array<string>). Whoever has the key can undo them."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     names = docs.columns
     t = F.col(text)
     cut = docs.withColumns({"__found": F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), "__rest": F.split(t, PATTERN)})
@@ -353,7 +365,7 @@ def pseudonymize(docs: DataFrame, key: str = "a key of your own", text: str = "t
     return out.select(*names, *([found] if found else []))
 
 
-def pii_report(docs: DataFrame, key: str = "a key of your own", text: str = "text") -> DataFrame:
+def pii_report(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_found and a count for each kind."""
     out = pseudonymize(docs.select("doc_id", F.col(text).alias("text")), key, "text", "kinds")
     counts = [F.coalesce(F.size("kinds") - F.size(F.array_remove("kinds", kind)), F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS]

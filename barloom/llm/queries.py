@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import chat, minhash, packing, pii, sentencepiece_codec, simhash, suffix_array, token_counts, topk, toxicity
-from barloom.llm.common import table
+from barloom.llm.common import secret_key, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ QUERIES["op10_toxicity"] = op10_toxicity
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_report(table(spark, sf_dir, "documents"))
+    return pii.pii_report(table(spark, sf_dir, "documents"), secret_key(spark))
 
 
 QUERIES["op8_pii"] = op8_pii

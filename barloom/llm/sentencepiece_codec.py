@@ -6,8 +6,8 @@ enter the agenda. Words of up to `WIDE` symbols are merged side by side: one mat
 and each round takes the best pair of every row. Longer words have a heap of their own.
 
 Texts are cut before spaces (see `token_counts`); words that a worker has met before come from a
-bounded cache. With ``verify`` each Arrow batch's new words are compared with the library's ids, and a
-difference is an error.
+cache bounded by bytes. With ``verify`` the ids of each Arrow batch's new words are compared with the library's, and what they decode to
+with its decode; a difference is an error. Documents are decoded from all their ids.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; characters without a piece become
 their UTF-8 bytes' pieces; U+2581 is a space, as in the library. Rows are kept, repeated ones too.
@@ -24,11 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import workers_import
-from barloom.llm.token_counts import CALL_BYTES, CHUNK_BYTES, SPACE, by_bytes, fragments, processor
+from barloom.llm.common import WordCache, workers_import
+from barloom.llm.token_counts import CALL_BYTES, CHUNK_BYTES, SPACE, Part, by_bytes, cut_text, encode_parts, processor
 
 WIDE = 48
-CACHE_WORDS = 250_000
 STEP = 1 << 21  # above any symbol: a pair (a, b) is the number a * STEP + b
 NEVER = np.int32(2**31 - 1)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -181,12 +180,23 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
 
 def encode_text(text: str, path: str) -> list[int]:
     """The ids of one text."""
-    return list(chain.from_iterable(encode_words(vocabulary(path), [SPACE + w.replace(" ", SPACE) for w in fragments(text)])))
+    return list(chain.from_iterable(encode_words(vocabulary(path), [symbols_of(w) for w in cut_text(text, path)])))
+
+
+def symbols_of(part: Part) -> str:
+    """What is merged: a word after a space, a later part of a long word as it is."""
+    return (SPACE + part if isinstance(part, str) else part[1]).replace(" ", SPACE)
 
 
 def decode_ids(ids: list[int], path: str) -> str:
     """The text of ids: the dummy space goes, control pieces are empty, bytes that aren't UTF-8 become U+FFFD each."""
-    v = vocabulary(path)
+    return decode_bytes(ids, vocabulary(path)).decode()
+
+
+def decode_bytes(ids: list[int], v: Vocabulary) -> bytes:
+    """The same in UTF-8. Without byte pieces the pieces' texts just follow each other."""
+    if v.byte_ids.isdisjoint(ids) and (not ids or v.text_of[ids[0]]):
+        return b"".join([v.text_of[i] for i in ids]).removeprefix(b" ")
     raw, run = [], []
     dropped = False
 
@@ -217,22 +227,23 @@ def decode_ids(ids: list[int], path: str) -> str:
             dropped = True
         raw.append(piece)
     flush()
-    return b"".join(raw).decode()
+    return b"".join(raw)
 
 
-def _learn(v: Vocabulary, words: list[str], cache: dict, path: str, verify: bool) -> None:
-    ids = encode_words(v, [SPACE + w.replace(" ", SPACE) for w in words])
+def _learn(v: Vocabulary, words: list[Part], cache: dict, path: str, verify: bool) -> None:
+    ids = encode_words(v, [symbols_of(w) for w in words])
     if verify:
-        theirs = processor(path).encode(words, num_threads=1)
-        for w, a, b in zip(words, ids, theirs, strict=True):
+        for w, a, b, text in zip(words, ids, encode_parts(words, path), processor(path).decode(ids), strict=True):
             if a != b:
                 raise ValueError(f"ids differ from the library's: {w!r}: {a} and {b}")
-    digits, text_of = v.digits, v.text_of
+            if decode_bytes(a, v) != text.encode():
+                raise ValueError(f"the decoded text differs from the library's: {w!r}")
+    digits = v.digits
     for w, a in zip(words, ids, strict=True):
-        cache[w] = (len(a), ",".join([digits[i] for i in a]), b"".join([text_of[i] for i in a]))
+        cache[w] = (a, ",".join([digits[i] for i in a]))
 
 
-_CACHES: dict[str, dict] = {}
+_CACHES: dict[str, WordCache] = {}
 
 
 def codec_digest(docs: DataFrame, model_path: str, verify: bool = True, text: str = "text") -> DataFrame:
@@ -240,22 +251,20 @@ def codec_digest(docs: DataFrame, model_path: str, verify: bool = True, text: st
     workers_import(docs.sparkSession)
 
     def run(batches):
-        v, cache = vocabulary(model_path), _CACHES.setdefault(model_path, {})
+        v, cache = vocabulary(model_path), _CACHES.setdefault(model_path, WordCache())
         for b in batches:
             n_tokens, ids_sha, text_sha = [], [], []
             for chunk in by_bytes([t or "" for t in b.column(1).to_pylist()], CHUNK_BYTES):
-                cut = [fragments(t) for t in chunk]
-                new = set(chain.from_iterable(cut)).difference(cache)
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache.clear()
-                    new = set(chain.from_iterable(cut))
+                cut = [cut_text(t, model_path) for t in chunk]
+                new = cache.missing(cut, lambda w: 300 + 20 * len(w if isinstance(w, str) else w[1]))
                 for part in by_bytes(new, CALL_BYTES):
                     _learn(v, part, cache, model_path, verify)
                 for words in cut:
-                    counts, digits, raw = zip(*[cache[w] for w in words], strict=True) if words else ((), (), ())
-                    n_tokens.append(sum(counts))
-                    ids_sha.append(hashlib.sha256(",".join(digits).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join(raw).removeprefix(b" ")).hexdigest())
+                    known = [cache[w] for w in words]
+                    ids = list(chain.from_iterable([k[0] for k in known]))
+                    n_tokens.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join([k[1] for k in known]).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(decode_bytes(ids, v)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import U64, discard, materialize, mix64, workers_import
-from barloom.llm.shingles import chunks, powers, prefix_sums
+from barloom.llm.shingles import CHUNK, chunks, powers, prefix_sums
 
 SPAN, GRAM, HOT = 200, 16, 2000
 SHARD_BYTES = 1_500_000  # symbols and ranks of a shard have to fit into 21 bits
 FAR = U64(np.iinfo(np.uint64).max)
+PLACE_BITS = U64(22)  # of a hash, the others decide: places in two chunks and a window fit
 
 
 # --- suffix sorting --------------------------------------------------------------------------------
@@ -116,22 +117,37 @@ def _slide_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+def pieces_of(texts: list[bytes], span: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Owner, offset and bytes: texts as they are, long ones in pieces that overlap by what a window needs."""
+    owner, offset, data = [], [], []
+    for i, t in enumerate(texts):
+        for p in range(0, max(1, len(t) - span + 1), CHUNK):
+            owner.append(i)
+            offset.append(p)
+            data.append(t[p : p + CHUNK + span - 1])
+    return owner, offset, data
+
+
 def segments_of(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Owner, first window, number of windows, landmark and content digest of all segments of the texts."""
+    """Owner, first window, number of windows, landmark and content digest of all segments of the texts.
+
+    Of a gram's hash the same bits decide everywhere, so equal windows have equal landmarks wherever they lie.
+    """
+    owners, offsets, pieces = pieces_of(texts, span)
+    owners, offsets = np.array(owners, dtype=np.int64), np.array(offsets, dtype=np.int64)
     found: list[tuple[np.ndarray, ...]] = []
-    for a, b in chunks(texts):
-        data = np.frombuffer(b"\0".join(texts[a:b]) + b"\0", dtype=np.uint8)
-        sizes = np.array([len(t) for t in texts[a:b]], dtype=np.int64)
+    for a, b in chunks(pieces):
+        data = np.frombuffer(b"\0".join(pieces[a:b]) + b"\0", dtype=np.uint8)
+        sizes = np.array([len(t) for t in pieces[a:b]], dtype=np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
         if len(data) < span:
             continue
         sums, (_, down) = prefix_sums(data), powers(len(data) + 1)
         n = len(data) - gram + 1
         h = mix64((sums[gram : gram + n] - sums[:n]) * down[:n])
-        bits = U64(max(1, (len(data) - 1).bit_length()))
         place = np.arange(n, dtype=U64)
-        least = _slide_least((h >> bits << bits) | place, span - gram + 1)
-        mark = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        least = _slide_least((h >> PLACE_BITS << PLACE_BITS) | place, span - gram + 1)
+        mark = (least & ((U64(1) << PLACE_BITS) - U64(1))).astype(np.int64)
         owner = np.repeat(np.arange(b - a), sizes + 1)[: len(mark)]
         inside = np.arange(len(mark)) + span <= (starts + sizes)[owner]
         at = np.flatnonzero(inside)
@@ -143,7 +159,7 @@ def segments_of(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> tuple
         end = first + count - 1 + span
         content = mix64((sums[end] - sums[first]) * down[first] + count.astype(U64) * U64(0x2545F4914F6CDD1D))
         who = owner[first]
-        found.append((who + a, first - starts[who], count, h[mark[first]], content))
+        found.append((owners[a + who], first - starts[who] + offsets[a + who], count, h[mark[first]], content))
     if not found:
         return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, U64, U64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -157,6 +173,8 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- Spark -----------------------------------------------------------------------------------------
 
 KEYS = "id long, sig long"
+#: Bytes in another order, for a second polynomial: 167 x x + 13 modulo 256 meets each once.
+OTHER = (np.arange(256) * 167 + 13).astype(np.uint8)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -229,19 +247,31 @@ def _sort_shards(cut: DataFrame, shards: int, span: int) -> DataFrame:
     return dealt.mapInArrow(run, f"{KEYS}, start int, windows int")
 
 
+def window_digests(segments: list[bytes], span: int) -> tuple[np.ndarray, ...]:
+    """Segment, place in it and 128 bits of every window: two polynomials over different values of the bytes."""
+    data = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
+    sizes = np.array([len(x) for x in segments], dtype=np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    count = np.maximum(sizes - span + 1, 0)
+    who = np.repeat(np.arange(len(segments)), count)
+    place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+    at = starts[who] + place
+    _, down = powers(len(data) + 1)
+    halves = [mix64((sums[at + span] - sums[at]) * down[at]).view(np.int64) for sums in (prefix_sums(data), prefix_sums(OTHER[data]))]
+    return who, place, *halves
+
+
 def _count_windows(cut: DataFrame, span: int) -> DataFrame:
     """The same for windows of very common landmarks, dealt out by a digest of each."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for i, sig, first, known, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                for p in range(len(data) - span + 1):
-                    d = hashlib.blake2b(data[p : p + span], digest_size=16).digest()
-                    rows.append((i, sig, first + p, known, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "sig", "start", "known", "lo", "hi"])
+            segments = b.column(4).to_pylist()
+            for p, q in chunks(segments):
+                who, place, lo, hi = window_digests(segments[p:q], span)
+                take = pa.array(who + p)
+                start = b.column(2).take(take).to_numpy() + place
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(start.astype(np.int32)), b.column(3).take(take), pa.array(lo), pa.array(hi)], ["id", "sig", "start", "known", "lo", "hi"])
 
     all_ = cut.select("id", "sig", "first", "known", "data").mapInArrow(run, f"{KEYS}, start int, known boolean, lo long, hi long")
     twice = all_.groupBy("lo", "hi").agg(F.count("*").alias("k")).filter("k > 1").select("lo", "hi")

@@ -3,8 +3,10 @@
 Texts are cut at safe boundaries. The dummy prefix that the library puts before a text and the space
 before a word are the same symbol, and (checked on the vocabulary when it is loaded) no piece joins
 anything to a following space. So a text is the sum of its words, each encoded by the library as a text of
-its own, and a text of any length is never one long call. Calls are balanced by bytes, and a word that a
-worker has met before is not encoded again (a bounded cache).
+its own. A long word (a text without spaces) is cut further, between two characters that stand side by side in no piece:
+nothing is ever merged across such a place. Its later parts are encoded after the character before them, whose own tokens are then
+taken off. Calls are balanced by bytes, and words that a worker has met before are not encoded again: the cost of a corpus depends on how
+often its words repeat. The cache is bounded by bytes.
 
 Edge cases: null and empty texts have 0 tokens, runs of spaces and U+2581 stay with the word that
 follows (at the end of a text: that precedes), a text of spaces only is one fragment. Rows are kept as
@@ -15,15 +17,14 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import workers_import
+from barloom.llm.common import WordCache, workers_import
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+LONG = 2048  # characters of a word from which on it is cut
 CALL_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
 _SPACED = re.compile(r" *[^ ]+(?: +\Z)?")
@@ -55,37 +56,79 @@ def fragments(text: str) -> list[str]:
     return [found[0], *(f[1:] for f in found[1:])] if found else [text]
 
 
+@lru_cache(maxsize=2)
+def inner_pairs(path: str) -> frozenset[str]:
+    """Two characters that stand side by side in some piece."""
+    sp = processor(path)
+    pieces = (sp.id_to_piece(i).replace(SPACE, " ") for i in range(sp.get_piece_size()))
+    return frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1))
+
+
+Part = str | tuple[str, str]
+
+
+def parts(word: str, path: str) -> list[Part]:
+    """The word, or its parts if it is long: the first one as it is, others with the character before them."""
+    if len(word) <= LONG:
+        return [word]
+    pairs, out, start, at = inner_pairs(path), [], 0, LONG
+    while at < len(word):
+        if word[at - 1 : at + 1] in pairs:
+            at += 1
+            continue
+        out.append(word[start:at] if not start else (word[start - 1], word[start:at]))
+        start, at = at, at + LONG
+    return [*out, word[start:] if not start else (word[start - 1], word[start:])]
+
+
+def cut_text(text: str, path: str) -> list[Part]:
+    found = fragments(text)
+    if len(text) <= LONG or all(len(f) <= LONG for f in found):
+        return found
+    return [p for f in found for p in parts(f, path)]
+
+
 def by_bytes(items, limit: int):
-    """Lists of strings with about `limit` characters each; one long string is a list of its own."""
+    """Lists of strings (or parts) with about `limit` bytes in UTF-8 each; one long string is a list of its own."""
     part, size = [], 0
     for x in items:
-        if part and size + len(x) > limit:
+        n = utf8_length(x)
+        if part and size + n > limit:
             yield part
             part, size = [], 0
         part.append(x)
-        size += len(x)
+        size += n
     if part:
         yield part
 
 
-def count_texts(texts: list[str], path: str, cache: dict) -> list[int]:
-    """Tokens of each text. cache: tokens of fragments met before; cut back when it has outgrown its bound."""
+def utf8_length(x: Part) -> int:
+    if isinstance(x, tuple):
+        return utf8_length(x[1])
+    return len(x) if isinstance(x, bytes) or x.isascii() else len(x.encode())
+
+
+def encode_parts(calls: list[Part], path: str) -> list[list[int]]:
+    """The library's ids of words and parts."""
     sp = processor(path)
+    got = sp.encode([c if isinstance(c, str) else c[0] + c[1] for c in calls], num_threads=1)
+    return [ids if isinstance(c, str) else ids[len(sp.encode(c[0])) :] for c, ids in zip(calls, got, strict=True)]
+
+
+def count_texts(texts: list[str], path: str, cache: WordCache) -> list[int]:
+    """Tokens of each text. cache: tokens of fragments met before."""
     out: list[int] = []
     for chunk in by_bytes(texts, CHUNK_BYTES):
-        cut = [fragments(t) for t in chunk]
-        new = set(chain.from_iterable(cut)).difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set(chain.from_iterable(cut))
+        cut = [cut_text(t, path) for t in chunk]
+        new = cache.missing(cut, lambda w: 150 + 2 * len(w if isinstance(w, str) else w[1]))
         for call in by_bytes(new, CALL_BYTES):
-            cache.update(zip(call, map(len, sp.encode(call, num_threads=1)), strict=True))
+            cache.update(zip(call, map(len, encode_parts(call, path)), strict=True))
         get = cache.__getitem__
         out += [sum(map(get, c)) for c in cut]
     return out
 
 
-_CACHES: dict[str, dict] = {}
+_CACHES: dict[str, WordCache] = {}
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str = "text") -> DataFrame:
@@ -93,7 +136,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str
     workers_import(docs.sparkSession)
 
     def run(batches):
-        cache = _CACHES.setdefault(model_path, {})
+        cache = _CACHES.setdefault(model_path, WordCache())
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             counts = count_texts(texts, model_path, cache)

@@ -1,38 +1,42 @@
 """Toxicity by weak supervision.
 
-Voters are patterns that fire or don't: a fixed lexicon of insults, words and beginnings of words that the labelled sample
-shows far more often in toxic texts, and a few marks of style. A generative label model estimates by
-expectation-maximization how often each voter fires in toxic and in other texts and how voters depend on each
-other; a voter's say is divided by what it shares with others. A logistic regression is trained on
-targets that are half the labels and half the model's posteriors, with the voters' hits and their density as features, and scores every text in one pass of
-an Aho-Corasick automaton.
-
-Bound: the model is fitted on at most `MOST_TOXIC` + `MOST_CLEAN` labelled rows, chosen by a hash of doc_id among the rows
-whose crc32(doc_id as text) mod 5 isn't 0. Everything else reads all rows. lang, source, labels and doc_id are
-no inputs of a score.
+Voters are patterns that fire or abstain: a fixed lexicon of insults, words and beginnings of words that the labelled sample
+shows far more often in toxic texts, and a few marks of style. A generative label model estimates, by expectation-maximization
+over labelled and unlabelled documents, how often each voter fires in either class and how voters depend on each other; a voter's say is
+divided by what it shares with others. Labels fix the class of their documents in that estimation and nothing else: a logistic regression
+is trained on what the model says of all documents by their votes (its posteriors), with the voters' hits and their density
+as features, and scores every text in one pass of an Aho-Corasick automaton.
+
+Bounds: the model is fitted on at most `MOST_TOXIC` + `MOST_CLEAN` labelled and `MOST_UNLABELLED` other documents, chosen by a hash of doc_id among the
+rows whose crc32(doc_id as text) mod 5 isn't 0, and has at most `MOST_VOTERS` voters (those that tell most). Terms are counted and votes are
+taken where the texts are; the driver gets counts of the terms that qualify and, for each document of the sample, which voters fired.
+Everything else reads all rows. lang, source, labels and doc_id are no inputs of a score.
 
 Edge cases: null and empty texts score as texts in which no voter fires. Without labelled rows of both kinds the
-lexicon alone decides. Null and repeated labels: a document is toxic if any of its labels says so. Rows are kept as
-they are, repeated ones and null doc_ids too (these are held out).
+lexicon alone decides. Null and repeated labels: a document is toxic if any of its labels says so. Of rows that repeat a doc_id
+one is in the sample. Rows are kept as they are, repeated ones and null doc_ids too (these are held out).
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.llm.common import materialize, workers_import
 
-MOST_TOXIC, MOST_CLEAN, MOST_VOTERS = 3000, 5000, 400
+MOST_TOXIC, MOST_CLEAN, MOST_UNLABELLED, MOST_VOTERS = 3000, 5000, 4000, 400
+LEAST_DEPENDENCE = 0.3  # correlations below that, given the class, are taken for chance
 STEMS = (4, 5, 6, 7, 8)  # lengths of the beginnings that may become voters
 LEAST_LIFT = 30.0  # times as often in toxic texts
 # Common English insults.
@@ -90,47 +94,46 @@ class Matcher:
         return x
 
 
-def _unlike(texts: list[str]) -> list[int]:
-    """Indices of texts without those that share their rarest-looking long words with an earlier one (copies)."""
-    seen, out = set(), []
-    for i, t in enumerate(texts):
-        h = sorted({zlib.crc32(w.encode()) for w in _WORD.findall(t.lower()) if len(w) >= 7})
-        marks = {("a", *h[:2]), ("z", *h[-2:]), ("m", *h[2:4])} if len(h) >= 6 else {("t", t)}
-        if not marks & seen:
-            out.append(i)
-        seen |= marks
-    return out
-
-
-def find_voters(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words and beginnings of words that toxic texts hold much more often; a longer one goes where a shorter does as well."""
-    count = (Counter(), Counter())
-    size = [0, 0]
-    for i in _unlike(texts):
-        words = set(_WORD.findall(texts[i].lower()))
-        terms = words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
-        count[int(toxic[i])].update(terms)
-        size[int(toxic[i])] += 1
-    clean, bad = count
-    least = max(4, size[1] // 200)
-
-    def lift(t: str) -> float:
-        return (bad[t] + 0.5) / (size[1] + 1) / ((clean[t] + 0.5) / (size[0] + 1))
-
-    good = {t: lift(t) for t, k in bad.items() if k >= least and lift(t) >= LEAST_LIFT}
-    kept: list[str] = []
-    for t in sorted(good, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
-        stem = t.rstrip("*")
-        if not any(stem[:k] + "*" in good and good[stem[:k] + "*"] >= 0.5 * good[t] for k in STEMS if k < len(stem)):
-            kept.append(t)
-    kept.sort(key=lambda t: (-bad[t] * math.log(good[t]), t))
+def copy_marks(text: str) -> list[int]:
+    """Numbers that a text shares with its near copies: of the hashes of its long words the least, the greatest and two between; of a short text itself."""
+    h = sorted({zlib.crc32(w.encode()) for w in _WORD.findall(text.lower()) if len(w) >= 7})
+    if len(h) < 6:
+        return [hash64(("t", text))]
+    return [hash64(m) for m in (("a", *h[:2]), ("z", *h[-2:]), ("m", *h[2:4]))]
+
+
+def hash64(x: tuple) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def terms_of(text: str) -> set[str]:
+    """A text's words and their beginnings, which a trailing * tells from words."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+
+def lift(bad: int, clean: int, n_bad: int, n_clean: int) -> float:
+    return (bad + 0.5) / (n_bad + 1) / ((clean + 0.5) / (n_clean + 1))
+
+
+def pick_voters(counts: dict[str, tuple[int, int]], n_bad: int, n_clean: int) -> list[str]:
+    """The lexicon and the terms that tell most; a longer one goes where a shorter does as well. counts: documents by term, toxic and other."""
+    good = {t: lift(b, c, n_bad, n_clean) for t, (b, c) in counts.items()}
+    good = {t: x for t, x in good.items() if counts[t][0] >= max(4, n_bad // 200) and x >= LEAST_LIFT}
+    kept = [t for t in good if not any(good.get(t[:k] + "*", 0) >= 0.5 * good[t] for k in STEMS if k < len(t.rstrip("*")))]
+    kept.sort(key=lambda t: (-counts[t][0] * math.log(good[t]), t))
     return list(dict.fromkeys([*LEXICON, *kept]))[:MOST_VOTERS]
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12, trust: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, firing rates by class and what each voter shares. gold starts the estimation and stays half of it."""
-    p = gold.astype(float) * 0.9 + 0.05
-    rates, shared = np.empty((votes.shape[1], 2)), np.zeros(votes.shape[1])
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row by its votes, firing rates by class and what each voter shares. gold: the class of a row, -1 where it isn't known.
+
+    Rates and dependences count rows of a known class with it and others with their posterior, in turns until nothing changes. A voter
+    that doesn't fire abstains: that says nothing.
+    """
+    known, balance = gold >= 0, gold[gold >= 0].mean()
+    p = np.where(known, gold, balance).astype(float)
+    rates, shared, post = np.empty((votes.shape[1], 2)), np.zeros(votes.shape[1]), p
     for _ in range(rounds):
         for c, w in enumerate((p, 1 - p)):
             rates[:, c] = (w @ votes + 0.5) / (w.sum() + 1.0)
@@ -138,13 +141,14 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 12, trust: fl
         scale = np.sqrt((rest**2).sum(axis=0) + 1e-9)
         depends = np.clip((rest.T @ rest) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(depends, 0)
-        shared = np.where(depends > 0.1, depends, 0).sum(axis=1)
-        say = 1 / (1 + shared)
-        on, off = np.log(rates[:, 0] / rates[:, 1]), np.log((1 - rates[:, 0]) / (1 - rates[:, 1]))
+        shared = np.where(depends > LEAST_DEPENDENCE, depends, 0).sum(axis=1)
         prior = min(0.9, max(0.01, float(p.mean())))
-        z = np.clip((votes * on + (1 - votes) * off) @ say + math.log(prior / (1 - prior)), -30, 30)
-        p = trust * (gold * 0.98 + 0.01) + (1 - trust) / (1 + np.exp(-z))
-    return p, rates, shared
+        say = np.log(rates[:, 0] / rates[:, 1]) / (1 + shared)
+        post = 1 / (1 + np.exp(-np.clip(votes @ say + math.log(prior / (1 - prior)), -30, 30)))
+        before, p = p, np.where(known, gold, post)
+        if np.abs(p - before).max() < 1e-6:
+            break
+    return post, rates, shared
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -164,16 +168,16 @@ def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds:
     return w
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    if not toxic.any() or toxic.all():
-        words = list(LEXICON)
-        return Model(words, np.array([2.0] * len(words) + [0.0] * len(STYLE) + [1.0, 1.0, 0.0, -3.0]))
-    words = find_voters(texts, toxic)
-    matcher = Matcher(words)
-    x = np.array([matcher.features(t) for t in texts])
-    votes = x[:, : len(words) + len(STYLE)]
-    votes = np.hstack([votes, (x[:, -2:-1] == 0).astype(float)])  # one voter says "none of the words": the only one for clean texts
-    p, rates, shared = label_model(votes, toxic)
+def lexicon_model() -> Model:
+    words = list(LEXICON)
+    return Model(words, np.array([2.0] * len(words) + [0.0] * len(STYLE) + [1.0, 1.0, 0.0, -3.0]))
+
+
+def fit(words: list[str], x: np.ndarray, gold: np.ndarray) -> Model:
+    """x: the features of the sample's texts. A voter more says "none of the words": the only one for clean texts."""
+    none = ~x[:, : len(words)].any(axis=1)
+    votes = np.hstack([x[:, : len(words) + len(STYLE)], none[:, None]]).astype(float)
+    p, rates, shared = label_model(votes, gold)
     return Model(words, fit_linear(x, p), rates, shared)
 
 
@@ -181,28 +185,83 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _per_text(rows: DataFrame, f, schema: str) -> DataFrame:
+    """The rows that f gives for each (toxic, text)."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            out = [r for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in f(toxic, text)]
+            yield pa.RecordBatch.from_pylist([dict(zip(target.names, r, strict=True)) for r in out], target)
+
+    return rows.mapInArrow(run, schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = materialize(known.filter("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(MOST_CLEAN)))
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(picked, "doc_id").filter("text is not null").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=bool))
+    # Documents without a label take part in the label model, which guesses their class.
+    other = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct().join(known, "doc_id", "left_anti")
+    picked = picked.unionByName(other.orderBy(*order).limit(MOST_UNLABELLED).withColumn("toxic", F.lit(-1).cast(picked.schema["toxic"].dataType)))
+    found = docs.select("doc_id", F.col(text).alias("text")).join(picked, "doc_id").filter("text is not null")
+    one = materialize(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    rows = one.select(F.col("toxic").cast("int"), "text")
+    if not {0, 1} <= {r["toxic"] for r in rows.select("toxic").distinct().collect()}:
+        return lexicon_model()
+    # Terms are counted in texts that aren't near copies of one before, in the order of doc_id.
+    named = one.filter("toxic >= 0")
+    marks = _marks(named)
+    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    copies = marks.join(first, "mark").filter("first <> doc_id").select("doc_id").distinct()
+    unlike = materialize(named.join(copies, "doc_id", "left_anti").select(F.col("toxic").cast("int"), "text"))
+    n_bad, n_all = unlike.filter("toxic = 1").count(), unlike.count()
+    terms = _per_text(unlike, lambda toxic, t: [(w, toxic) for w in terms_of(t)], "term string, toxic int")
+    counts = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("clean")).filter(f"bad >= {max(4, n_bad // 200)}")
+    telling = counts.filter((F.col("bad") + 0.5) / (n_bad + 1) >= 0.99 * LEAST_LIFT * (F.col("clean") + 0.5) / (n_all - n_bad + 1))
+    words = pick_voters({r["term"]: (r["bad"], r["clean"]) for r in telling.collect()}, n_bad, n_all - n_bad)
+
+    def features(toxic, t):
+        x = _matcher(tuple(words)).features(t)
+        yield toxic, [int(i) for i in np.flatnonzero(x[:-3])], *x[-3:].tolist()
+
+    got = sorted(tuple(r) for r in _per_text(rows, features, "toxic int, hits array<int>, kinds double, total double, density double").collect())
+    x = np.zeros((len(got), len(words) + len(STYLE) + 3))
+    for i, (_, hits, *density) in enumerate(got):
+        x[i, hits] = 1
+        x[i, -3:] = density
+    return fit(words, x, np.array([r[0] for r in got]))
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            out = [(i, k) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in copy_marks(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["doc_id", "mark"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, mark long")
+
+
+@lru_cache(maxsize=4)
+def _matcher(words: tuple[str, ...]) -> Matcher:
+    return Matcher(list(words))
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The columns of docs and `score`."""
+def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """The columns of docs and one more, named by `out`, which docs must not have."""
+    if out in docs.columns:
+        raise ValueError(f"the documents have a column {out} already")
     words, weights, at = model.words, model.weights, docs.columns.index(text)
     names = docs.columns
 
     def run(batches):
-        m = Matcher(words)
+        found = Matcher(words)
         for b in batches:
-            z = np.array([m.features(t or "") @ weights[:-1] + weights[-1] for t in b.column(at).to_pylist()])
+            z = np.array([found.features(t or "") @ weights[:-1] + weights[-1] for t in b.column(at).to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(score, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(score, pa.float64())], [*names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

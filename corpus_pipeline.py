@@ -20,13 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import minhash, packing, pii, suffix_array, toxicity
-from barloom.llm.common import shared_dir, table, workers_import
+from barloom.llm.common import secret_key, shared_dir, table, workers_import
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     workers_import(spark)
-    scored = toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.filter("score < 0.5").drop("score")
+    out = free_name(docs, "score")
+    scored = toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), out=out)
+    return scored.filter(F.col(out) < 0.5).drop(out)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +48,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.pseudonymize(docs, secret_key(spark)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(106, 1), (0, 0), (1, 0)], "doc_id long, toxic int").filter("doc_id < 100").write.parquet(f"{tmp_path}/labels.parquet")
     at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.barloom.pii.key", "a key for tests")
     columns, kept = at.columns, {}
     for n, (name, stage) in enumerate(C.STAGES):
         at = stage(spark, at, str(tmp_path))
@@ -50,7 +51,7 @@ def test_stages(spark, tmp_path):
     assert at.count() == C.run(spark, str(tmp_path)).count()
 
 
-def plain_email(name, key="a key of your own"):
+def plain_email(name, key="a key for tests"):
     """The pseudonym of an e-mail's local part of at most 20 characters."""
     cut = len(name) // 2
     radix = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 1
@@ -109,6 +110,7 @@ def test_run_is_a_plain_reading(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in docs.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.barloom.pii.key", "a key for tests")
     want, pieces = plain_run(docs, {70}), {}
     for r in C.run(spark, str(tmp_path)).collect():
         pieces.setdefault(r.doc_id, []).append(r)
