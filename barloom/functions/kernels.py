@@ -244,16 +244,21 @@ def macdext(c: np.ndarray, fast: int = 12, fast_kind: int = 1, slow: int = 26, s
     return line, sig, line - sig
 
 
-def cusum_breaks(x: np.ndarray, w: int = 20, limit: float = 5.0, slack: float = 0.5) -> np.ndarray:
-    """1 where a two-sided sum of z scores (against the w bars before) passes the limit; it starts anew there."""
+def cusum_breaks(x: np.ndarray, w: int = 20, limit: float = 3.0, slack: float = 0.5) -> np.ndarray:
+    """1 where a two-sided sum of z scores (against the w bars before) passes the limit; it starts anew there.
+
+    Bars that have no score, because they or one of the bars before are missing or those don't vary, leave the sums as they are.
+    """
     out, up, down = np.zeros(len(x)), 0.0, 0.0
-    for i in range(w, len(x)):
-        part = x[i - w : i]
-        sd = part.std(ddof=1) if w > 1 else 0.0
-        z = (x[i] - part.mean()) / sd if sd > 0 else 0.0
-        up, down = max(0.0, up + z - slack), max(0.0, down - z - slack)
+    if w < 2 or len(x) <= w:
+        return out
+    parts = np.lib.stride_tricks.sliding_window_view(x, w)[:-1]
+    with np.errstate(all="ignore"):
+        scores = (x[w:] - parts.mean(axis=1)) / parts.std(axis=1, ddof=1)
+    for i in np.flatnonzero(np.isfinite(scores)).tolist():
+        up, down = max(0.0, up + scores[i] - slack), max(0.0, down - scores[i] - slack)
         if up > limit or down > limit:
-            out[i], up, down = 1, 0.0, 0.0
+            out[i + w], up, down = 1, 0.0, 0.0
     return out
 
 

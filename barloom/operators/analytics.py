@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.operators.adjust import adjust_for_splits
 from barloom.plans.frames import CUM, L, W, div, fixed, full, lag
 from barloom.plans.staged import Stages, apply_stages, as_sql, outputs, rounded
 
@@ -97,13 +98,6 @@ def portfolio_volatility(bars: DataFrame, weights: dict[str, float], periods: fl
     return each.agg(F.sqrt(F.var_samp("wr") * periods).alias("portfolio_vol"))
 
 
-def adjust_splits(bars: DataFrame, splits: DataFrame) -> DataFrame:
-    """Closes before a split divided by its ratio: a range join on the time, the ratios of a bar multiplied."""
-    s = splits.select(F.col("key").alias("k"), F.col("ts").alias("at"), "ratio")
-    later = bars.join(s, (F.col("key") == F.col("k")) & (F.col("ts") < F.col("at")), "left")
-    return later.groupBy("key", "ts", "close").agg(F.coalesce(F.product("ratio"), F.lit(1.0)).alias("factor")).withColumn("adjusted", F.col("close") / F.col("factor"))
-
-
 def register(add, src) -> None:
     bars, pair, BARS, PAIR = src["bars"], src["pair"], src["BARS"], src["PAIR"]
     for name, stages in {"spread_ratio": spread(), "relative_strength": relative_strength(), "rolling_beta": rolling_beta(), "compose_weighted": compose_weighted()}.items():
@@ -131,5 +125,5 @@ def register(add, src) -> None:
         f"SELECT key, date_trunc('month', ts) AS month, round(sum(ret), 6) AS contribution FROM ({P}) GROUP BY 1, 2")
     add("ana_signal_attribution", lambda s, d: positions(bars(s, d)).groupBy("key", "position").agg(F.round(F.sum("ret"), 6).alias("contribution")), f"SELECT key, position, round(sum(ret), 6) AS contribution FROM ({P}) GROUP BY 1, 2")
     splits = "SELECT key, ts, 2.0 AS ratio FROM ({0}) WHERE bar IN (200, 400)"
-    add("ana_adjust_splits", lambda s, d: adjust_splits(bars(s, d), bars(s, d).filter("bar in (200, 400)").select("key", "ts", F.lit(2.0).alias("ratio"))).selectExpr("key", "ts", *rounded(["adjusted"])),
+    add("ana_adjust_splits", lambda s, d: adjust_for_splits(bars(s, d), bars(s, d).filter("bar in (200, 400)").select("key", "ts", F.lit(2.0).alias("ratio"))).withColumnRenamed("close", "adjusted").selectExpr("key", "ts", *rounded(["adjusted"])),
         f"SELECT b.key, b.ts, {fixed('b.close / coalesce(product(s.ratio), 1.0)')} AS adjusted FROM ({BARS}) b LEFT JOIN ({splits.format(BARS)}) s ON b.key = s.key AND b.ts < s.ts GROUP BY b.key, b.ts, b.close")

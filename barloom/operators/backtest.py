@@ -6,46 +6,18 @@ pass over each key computes it. Metrics are windows and one aggregation.
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from barloom.functions.commission import Commission
 from barloom.plans.frames import CUM, L, W, div, fixed, lag
 from barloom.plans.staged import Stages, apply_stages, as_sql, rounded
 from barloom.workers import workers_import
 
 
-@dataclass(frozen=True)
-class Commission:
-    """Costs of a trade: rates of its value, an amount per order and per lot, a cap on the brokerage."""
-
-    rate: float = 0.0
-    per_order: float = 0.0
-    per_lot: float = 0.0
-    cap: float = 0.0
-    exchange_rate: float = 0.0
-    stamp_rate: float = 0.0
-    lot_size: float = 1.0
-
-    def cost(self, value: str, lots: str, is_buy: str) -> str:
-        """The cost as a SQL expression."""
-        broker = f"({self.rate!r} * ({value}) + {self.per_order!r} + {self.per_lot!r} * ({lots}))"
-        if self.cap > 0:
-            broker = f"least({broker}, {self.cap!r})"
-        return f"({broker} + {self.exchange_rate!r} * ({value}) + CASE WHEN {is_buy} THEN {self.stamp_rate!r} * ({value}) ELSE 0.0 END)"
-
-    def to_json(self) -> str:
-        return json.dumps(asdict(self))
-
-    @staticmethod
-    def from_json(s: str) -> Commission:
-        return Commission(**json.loads(s))
-
-
 def signals(fast: int = 10, slow: int = 30) -> Stages:
     """A fiftieth of the capital long above, short below, NULL until both averages are there."""
     return [
@@ -128,24 +100,47 @@ def bootstrap_path(r: np.ndarray, sim: int, seed: int, block: int) -> np.ndarray
     return np.cumprod(1 + r[at])
 
 
+SIMS_OF_A_ROW = 10
+
+
+def _resampled(bars: DataFrame, n_sims: int, seed: int, block: int, f, schema: str) -> DataFrame:
+    """f(key, sim, equity) of every resampled path. A key's returns are one array, shipped once for each few simulations and dealt out with them."""
+    workers_import(bars.sparkSession)
+    rows = bars.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ts", "strategy_return"))).alias("r")).select("key", F.col("r.strategy_return").alias("r"))
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1), F.lit(SIMS_OF_A_ROW))).alias("first")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts):
+        for pdf in parts:
+            for key, r, first in zip(pdf["key"], pdf["r"], pdf["first"], strict=True):
+                made = [f(key, sim, bootstrap_path(np.asarray(r, dtype=float), sim, seed, block)) for sim in range(first, min(first + SIMS_OF_A_ROW, n_sims))]
+                yield pd.concat([pd.DataFrame(m, columns=names) for m in made])
+
+    return rows.select("key", "r", firsts).repartition("key", "first").mapInPandas(run, schema)
+
+
 def monte_carlo(bars: DataFrame, n_sims: int = 50, seed: int = 42, block: int = 5) -> DataFrame:
-    """key, sim, final_equity, worst_drawdown for each key's resampled strategy returns; simulations are rows, dealt out by (key, sim)."""
-    spark: SparkSession = bars.sparkSession
-    workers_import(spark)
-    part = 10  # simulations of a task
-    groups = spark.range(-(-n_sims // part)).withColumnRenamed("id", "part")
-    rows = bars.select("key", "ts", "strategy_return").crossJoin(groups)  # as many copies as there are groups of simulations
+    """key, sim, final_equity, worst_drawdown for each key's resampled strategy returns."""
+    one = lambda key, sim, e: [(key, sim, e[-1], float((e / np.maximum.accumulate(e) - 1).min()))]
+    return _resampled(bars, n_sims, seed, block, one, "key string, sim long, final_equity double, worst_drawdown double")
+
+
+def monte_carlo_curves(bars: DataFrame, n_sims: int = 50, seed: int = 42, block: int = 5) -> DataFrame:
+    """key, sim, bar, equity: the whole curves."""
+    one = lambda key, sim, e: {"key": key, "sim": sim, "bar": np.arange(len(e)), "equity": e}
+    return _resampled(bars, n_sims, seed, block, one, "key string, sim long, bar long, equity double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("ts", kind="stable")["strategy_return"].to_numpy(dtype=float)
-        first = int(pdf["part"].iloc[0]) * part
-        out = []
-        for sim in range(first, min(first + part, n_sims)):
-            e = bootstrap_path(r, sim, seed, block)
-            out.append((pdf["key"].iloc[0], sim, e[-1], float((e / np.maximum.accumulate(e) - 1).min())))
-        return pd.DataFrame(out, columns=["key", "sim", "final_equity", "worst_drawdown"])
 
-    return rows.groupBy("key", "part").applyInPandas(run, "key string, sim long, final_equity double, worst_drawdown double")
+def paths_sql(base: str, n_sims: int, seed: int, block: int) -> str:
+    """key, sim, pos, e: the same paths as a recursive query over (key, bar, strategy_return), in 128-bit arithmetic."""
+    two64 = 1 << 64
+    step = f"(state::UHUGEINT * {LCG_A % two64}::UHUGEINT + {LCG_C}::UHUGEINT) % {two64}::UHUGEINT"
+    return f"""b AS MATERIALIZED ({base}), n AS (SELECT key, count(*) AS n, least(count(*), {block}) AS size FROM b GROUP BY key),
+ g(key, n, size, sim, i, state) AS (SELECT key, n, size, sim, -2, ({seed}::UHUGEINT * {LCG_A % two64}::UHUGEINT + sim::UHUGEINT * {SIM_A}::UHUGEINT) % {two64}::UHUGEINT FROM n, range({n_sims}) s(sim)
+ UNION ALL SELECT key, n, size, sim, i + 1, {step} FROM g WHERE i + 1 <= ceil(n / size)),
+ starts AS (SELECT key, n, size, sim, i - 1 AS nth, ((state // 2048) % n::UHUGEINT)::BIGINT AS first_bar FROM g WHERE i >= 1),
+ picks AS (SELECT key, sim, nth * size + j AS pos, (first_bar + j) % n AS bar FROM starts, range({block}) t(j) WHERE j < size AND nth * size + j < n),
+ paths AS (SELECT p.key, p.sim, p.pos, product(1 + b.strategy_return) OVER (PARTITION BY p.key, p.sim ORDER BY p.pos) AS e FROM picks p JOIN b ON b.key = p.key AND b.bar = p.bar)"""
 
 
 def walk_forward(bars: DataFrame, train: int, test: int, step: int = 0, anchored: bool = False) -> DataFrame:
@@ -182,12 +177,14 @@ def register(add, src) -> None:
 
     add("bt_commission", with_cost, f"WITH RECURSIVE b AS MATERIALIZED ({base}), r(key, bar, e) AS (SELECT key, bar, 1 + strategy_return - 0.001 * changed FROM b WHERE bar = 0 UNION ALL SELECT b.key, b.bar, r.e * (1 + b.strategy_return) - 0.001 * b.changed FROM r JOIN b ON b.key = r.key AND b.bar = r.bar + 1) SELECT key, ts, {', '.join(rounded(cols[:3]))}, {fixed('r.e')} AS equity FROM r JOIN b USING (key, bar)")
     add("bt_metrics", lambda s, d: s.sql(metrics_sql("{t}"), t=apply_stages(prepared(s, d), EQUITY)), metrics_sql(f"({grown})"))
-    add("bt_monte_carlo", lambda s, d: monte_carlo(prepared(s, d)).selectExpr("key", "sim", "round(final_equity, 6) AS final_equity", "round(worst_drawdown, 6) AS worst_drawdown"))
+    worst = f"WITH RECURSIVE {paths_sql(f'SELECT key, bar, strategy_return FROM ({base})', 50, 42, 5)}, d AS (SELECT *, e / max(e) OVER (PARTITION BY key, sim ORDER BY pos) - 1 AS dd, count(*) OVER (PARTITION BY key, sim) - 1 AS last FROM paths)"
+    add("bt_monte_carlo", lambda s, d: monte_carlo(prepared(s, d)).selectExpr("key", "sim", f"{fixed('final_equity')} AS final_equity", f"{fixed('worst_drawdown')} AS worst_drawdown"),
+        f"{worst} SELECT key, sim, {fixed('max(CASE WHEN pos = last THEN e END)')} AS final_equity, {fixed('min(dd)')} AS worst_drawdown FROM d GROUP BY key, sim")
     add("bt_walk_forward", lambda s, d: walk_forward(bars(s, d), 200, 50).selectExpr(*[f"cast({c} AS {t}) AS {c}" for c, t in (("key", "STRING"), *((c, "BIGINT") for c in ("fold", "train_start", "train_end", "test_start", "test_end")))]),
         f"SELECT key, fold, fold * 50 AS train_start, fold * 50 + 200 AS train_end, fold * 50 + 200 AS test_start, fold * 50 + 250 AS test_end FROM (SELECT key, unnest(range(0, cast(floor((n - 250) / 50) AS BIGINT) + 1)) AS fold FROM (SELECT key, count(*) AS n FROM ({BARS}) GROUP BY key) WHERE n >= 250)")
-    fee = Commission(rate=0.0003, per_order=1.0, cap=20.0, exchange_rate=0.00003, stamp_rate=0.00015)
+    fee = Commission(rate_of_value=0.0003, flat_per_order=1.0, max_brokerage=20.0, exchange_charges_rate=0.00003, stamp_duty_rate=0.00015, gst_rate=0.18, stt_rate=0.0002, stt_on_sell=True, spread_bps=2.0)
     cost = fee.cost("close * volume", "volume", "close >= open")
-    add("bt_commission_model", lambda s, d: bars(s, d).selectExpr("key", "ts", f"{fixed(cost, 2)} AS cost"), f"SELECT key, ts, {fixed(cost, 2)} AS cost FROM ({BARS})")
+    add("bt_commission_model", lambda s, d: bars(s, d).selectExpr("key", "ts", f"{fixed(cost, 2)} AS cost"), f"""SELECT key, ts, {fixed('b + x + 0.18 * (b + x) + CASE WHEN close >= open THEN 0.00015 * v ELSE 0.0002 * v END + 0.0001 * v', 2)} AS cost FROM (SELECT key, ts, open, close, close * volume AS v, least(20.0, 1 + 0.0003 * close * volume) AS b, 0.00003 * close * volume AS x FROM ({BARS}))""")
     kelly = "greatest(0.0, least(1.0, w - (1 - w) * abs(l) / nullif(g, 0)))"
     won = "sum(CASE WHEN strategy_return > 0 THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN strategy_return <> 0 THEN 1.0 ELSE 0.0 END), 0)"
     inner = f"SELECT key, {won} AS w, avg(CASE WHEN strategy_return > 0 THEN strategy_return END) AS g, avg(CASE WHEN strategy_return < 0 THEN strategy_return END) AS l FROM {{0}} GROUP BY key"

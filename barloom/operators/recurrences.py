@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from barloom.functions import cycles as C
 from barloom.functions import kernels as K
 
 Kernel = Callable[..., dict[str, np.ndarray]]
@@ -62,6 +63,19 @@ def _regime(high, low, close, p=14, level=25.0):
     return {"regime": np.where(np.isnan(a), -1.0, (a > level).astype(float))}
 
 
+CYCLES = {
+    "HT_TRENDLINE": ("ht_trendline",), "HT_DCPERIOD": ("ht_dcperiod",), "HT_DCPHASE": ("ht_dcphase",), "HT_PHASOR": ("inphase", "quadrature"), "HT_SINE": ("sine", "leadsine"), "HT_TRENDMODE": ("ht_trendmode",),
+}
+
+
+def _cycle(outs):
+    def run(close):
+        got = C.cycle(close)
+        return {o: got[o] for o in outs}
+
+    return run
+
+
 HLC = ("high", "low", "close")
 # name: (inputs, kernel, outputs)
 RECURRENCES: dict[str, tuple[tuple[str, ...], Kernel, tuple[str, ...]]] = {
@@ -88,7 +102,9 @@ RECURRENCES: dict[str, tuple[tuple[str, ...], Kernel, tuple[str, ...]]] = {
     "SAREXT": (("high", "low"), lambda high, low, **kw: {"sarext": K.sarext(high, low, **kw)}, ("sarext",)),
     "MACDEXT": (("close",), _macd_like(K.macdext, ("macd", "signal", "hist")), ("macd", "signal", "hist")),
     "REGIME_ADX": (HLC, _regime, ("regime",)),
-    "CUSUM_BREAKS": (("close",), lambda close, w=20, limit=5.0, slack=0.5: {"break": K.cusum_breaks(close, w, limit, slack)}, ("break",)),
+    "CUSUM_BREAKS": (("close",), lambda close, w=20, limit=3.0, slack=0.5: {"break": K.cusum_breaks(close, w, limit, slack)}, ("break",)),
+    "MAMA": (("close",), lambda close, fast=0.5, slow=0.05: dict(zip(("mama", "fama"), C.mama(close, fast, slow), strict=True)), ("mama", "fama")),
+    **{name: (("close",), _cycle(outs), outs) for name, outs in CYCLES.items()},
 }
 RECURRENCES["SUPERTREND"] = (HLC, lambda high, low, close, p=7, m=3.0: dict(zip(("line", "direction"), K.supertrend(high, low, close, p, m), strict=True)), ("line", "direction"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions import derivatives
-from barloom.operators import analytics, backtest, patterns, series_pairs
+from barloom.operators import adjust, analytics, backtest, execution, patterns, regimes, series_pairs
 from barloom.operators.recurrences import RECURRENCES, apply_recurrences
 from barloom.operators.window_indicators import INDICATORS
 from barloom.plans.frames import fixed
@@ -17,6 +17,7 @@ from barloom.plans.recursive_sql import recursive_sql
 from barloom.plans.staged import apply_stages, as_sql, outputs, rounded
 from barloom.sources import bars as B
 from barloom.streaming import indicators as streaming_indicators
+from barloom.streaming import trading as streaming_trading
 from barloom.workers import workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,5 +129,5 @@ _add("bars_volume", _volume, _LABELS)
 _add("bars_resample", lambda s, d: B.resample(bars(s, d), 5).selectExpr("key", "label", *rounded(_ohlcv)),
      f"SELECT key, cast(floor(bar / 5) AS BIGINT) AS label, {_merged('bar')} FROM ({BARS}) GROUP BY 1, 2 HAVING count(*) = 5")
 
-for _module in (derivatives, analytics, backtest, series_pairs, streaming_indicators):
+for _module in (derivatives, analytics, adjust, backtest, execution, regimes, series_pairs, streaming_indicators, streaming_trading):
     _module.register(_add, {"bars": bars, "pair": pair, "hourly": hourly, "ticks": ticks, "BARS": BARS, "PAIR": PAIR, "HOURLY": HOURLY})

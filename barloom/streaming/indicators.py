@@ -7,6 +7,7 @@ order, as a bar feed does. State is the pickled stepper of the key and goes with
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -160,9 +161,8 @@ def run_steps(stepper, rows: pd.DataFrame, ins: tuple[str, ...]) -> list[tuple]:
     return out
 
 
-def stream_indicator(bars: DataFrame, name: str, **params) -> DataFrame:
-    """key, ts and the indicator's outputs for a stream (or a table) of bars."""
-    make, ins, outs = STEPPERS[name]
+def keyed_steps(bars: DataFrame, make: Callable, ins: tuple[str, ...], outs: tuple[str, ...], params: dict) -> DataFrame:
+    """key, ts and what a stepper of each key gives for its rows, its state kept between micro-batches."""
     workers_import(bars.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -176,6 +176,12 @@ def stream_indicator(bars: DataFrame, name: str, **params) -> DataFrame:
     return bars.groupBy("key").applyInPandasWithState(run, schema, "stepper binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_indicator(bars: DataFrame, name: str, **params) -> DataFrame:
+    """key, ts and the indicator's outputs for a stream (or a table) of bars."""
+    make, ins, outs = STEPPERS[name]
+    return keyed_steps(bars, make, ins, outs, params)
+
+
 def stream_time_bars(ticks: DataFrame, width: str, late: str) -> DataFrame:
     """OHLCV bars of event time from a stream of (key, ts, seq, price, size); rows later than `late` are dropped."""
     seq = F.struct("ts", "seq")
@@ -185,18 +191,31 @@ def stream_time_bars(ticks: DataFrame, width: str, late: str) -> DataFrame:
     return got.select("key", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream has to give now, through files in the shared folder (spark.checkpoint.dir)."""
-    import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; a local one serves a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("streams need spark.checkpoint.dir, a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='barloom-stream-')}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-    spark: SparkSession = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barloom-stream-')}").rstrip("/")
-    where = f"{base}/stream-{uuid.uuid4().hex}"
+
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a stream has to give now, through files in the shared folder."""
+    spark, where = stream.sparkSession, shared_folder(stream.sparkSession)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
+def as_stream(table: DataFrame) -> DataFrame:
+    """A table as a file stream."""
+    spark, path = table.sparkSession, shared_folder(table.sparkSession)
+    table.write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
 def register(add, src) -> None:
     HOURLY = src["HOURLY"]
 
@@ -204,14 +223,7 @@ def register(add, src) -> None:
     from barloom.plans.staged import rounded
 
     def live(s, d, name, outs):
-        # The table of hourly bars goes through a file stream.
-        import tempfile
-
-        base = (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barloom-stream-')}").rstrip("/")
-        path = f"{base}/bars-{uuid.uuid4().hex}"
-        src["hourly"](s, d).write.parquet(path)
-        bars = s.readStream.schema(s.read.parquet(path).schema).parquet(path)
-        return run_available(stream_indicator(bars, name)).selectExpr("key", "ts", *rounded(list(outs)))
+        return run_available(stream_indicator(as_stream(src["hourly"](s, d)), name)).selectExpr("key", "ts", *rounded(list(outs)))
 
     numbered = f"SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) - 1 AS bar FROM ({HOURLY})"
     full = lambda e, p: fixed(f"CASE WHEN bar >= {p - 1} THEN {e} END")
@@ -220,9 +232,27 @@ def register(add, src) -> None:
         "BBANDS": f"SELECT key, ts, {full(f'avg(close) {W(20)} + 2 * stddev_pop(close) {W(20)}', 20)} AS upper, {full(f'avg(close) {W(20)}', 20)} AS middle, {full(f'avg(close) {W(20)} - 2 * stddev_pop(close) {W(20)}', 20)} AS lower FROM ({numbered})",
         "VWAP": f"SELECT key, ts, {fixed(f'sum((high + low + close) / 3 * volume) {CUM} / sum(volume) {CUM}', 6)} AS vwap FROM ({HOURLY})",
     }
+    from barloom.plans.recursive_sql import Query as RecursiveQuery
     from barloom.plans.recursive_sql import recursive_sql
 
     recursive = recursive_sql(numbered)
-    sqls |= {k: recursive[k] for k in ("RSI", "ATR", "MACD")}
+    sqls |= {k: recursive[k] for k in ("RSI", "ATR", "MACD", "SUPERTREND")}
+    sqls["EMA"] = RecursiveQuery(numbered).ema("e", "close", 20).select(ema="e")
+    frame = lambda e, p: f"(SELECT {e} FROM {{0}} x WHERE x.key = t.key AND x.bar BETWEEN t.bar - {p - 1} AND t.bar)"
+    k = f"CASE WHEN bar >= 4 THEN CASE WHEN hi = lo THEN 0.0 ELSE 100 * (close - lo) / (hi - lo) END END"
+    sqls["STOCH"] = f"""WITH n AS MATERIALIZED ({numbered}), a AS (SELECT *, {frame('max(x.high)', 5).format('n')} AS hi, {frame('min(x.low)', 5).format('n')} AS lo FROM n t), b AS MATERIALIZED (SELECT *, {k} AS k FROM a),
+ c AS MATERIALIZED (SELECT *, CASE WHEN bar >= 6 THEN {frame('avg(x.k)', 3).format('b')} END AS s FROM b t), d AS (SELECT *, CASE WHEN bar >= 8 THEN {frame('avg(x.s)', 3).format('c')} END AS d FROM c t)
+ SELECT key, ts, {fixed('CASE WHEN d IS NOT NULL THEN s END')} AS slowk, {fixed('d')} AS slowd FROM d"""
     for name, (_, _, outs) in STEPPERS.items():
         add(f"stream_{name.lower()}", lambda s, d, n=name, o=outs: live(s, d, n, o), sqls.get(name))
+
+    ohlcv = ["open", "high", "low", "close", "volume"]
+
+    def time_bars(s, d):
+        # Bars of six hours, complete once the watermark has passed them.
+        events = src["ticks"](s, d).select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "price", "size")
+        return run_available(stream_time_bars(as_stream(events), "6 hours", "1 hour")).selectExpr("key", "ts", *rounded(ohlcv))
+
+    six = "time_bucket(INTERVAL 6 HOURS, ts)"
+    add("stream_time_bars", time_bars, f"""SELECT key, ts, {', '.join(rounded(ohlcv))} FROM (SELECT event_type AS key, {six} AS ts, arg_min(value, {{'t': ts, 'i': event_id}}) AS open, max(value) AS high, min(value) AS low,
+ arg_max(value, {{'t': ts, 'i': event_id}}) AS close, cast(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2) WHERE ts + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
