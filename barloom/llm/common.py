@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import secrets
@@ -11,6 +13,7 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -22,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ARROW_ROWS = 2000
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it, and get rows in batches of modest size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if ROOT not in paths:
@@ -43,6 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(run):
+    """A function of Arrow batches that gives memory back when its partition is done: workers live on for other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def secret_key(spark: SparkSession) -> str:
     """The key of pseudonyms: spark.barloom.pii.key, or one drawn for this session where it is unset (pseudonyms then can't be made again later)."""
     found = spark.conf.get("spark.barloom.pii.key", None)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, discard, materialize, mix64, workers_import
+from barloom.llm.common import U64, discard, lean, materialize, mix64, workers_import
 from barloom.llm.components import components
 from barloom.llm.shingles import shingle_sets
 
@@ -95,7 +95,7 @@ def _digests(docs: DataFrame, width: int, rows: int, bands: int, text: str) -> D
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), lists], ["doc_id", "n", "lo", "hi", "keys"])
 
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(lean(run), schema)
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, text: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, text: str) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))], ["node", "items"])
 
     found = docs.select(F.col("doc_id").alias("node"), text).join(nodes, "node", "left_semi")
-    return found.mapInArrow(run, "node long, items array<long>")
+    return found.mapInArrow(lean(run), "node long, items array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import WordCache, workers_import
+from barloom.llm.common import WordCache, lean, workers_import
 from barloom.llm.token_counts import by_bytes
 
 TIERS = (256, 512, 1024, 2048)
@@ -252,4 +252,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         packer.close()
         yield rows()
 
-    return docs.select("doc_id", text).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", text).mapInArrow(lean(run), SCHEMA)

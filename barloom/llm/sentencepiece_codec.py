@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import WordCache, workers_import
+from barloom.llm.common import WordCache, lean, workers_import
 from barloom.llm.token_counts import CALL_BYTES, CHUNK_BYTES, SPACE, Part, by_bytes, cut_text, encode_parts, processor
 
 WIDE = 48
@@ -270,4 +270,4 @@ def codec_digest(docs: DataFrame, model_path: str, verify: bool = True, text: st
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", text).mapInArrow(lean(run), SCHEMA)

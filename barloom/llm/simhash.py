@@ -9,8 +9,12 @@ half of the votes are for it. Terms are summed where their text was read: one sh
 must be whole, so a table for each choice of three blocks, keyed by them, holds every near pair at least once.
 Equal fingerprints are one entry, and the distance is tested inside the join.
 
+The order of documents is found in buckets of neighbouring ids, parted by quantiles of the ids, so that neither ids far off nor an id of very
+many rows makes a bucket large.
+
 Edge cases: null texts count as empty; texts without words have the fingerprint 0. Rows that repeat a doc_id follow
-each other by text, null doc_ids come first. With one row, the next document is the row itself. Other columns are ignored.
+each other by a hash of their text, then by text; null doc_ids come first, by text, in one bucket. With one row, the next document is the row
+itself. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql.window import Window
 from barloom.llm.common import materialize
 
 LANES = 0x0000000100000001
-ROWS_IN_BUCKET = 2048
+ROWS_IN_BUCKET, MOST_BUCKETS = 2048, 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -40,7 +44,7 @@ def term_hashes(words: str) -> Column:
 
 def vote_sums(h: Column) -> list[Column]:
     """Aggregates v0..v63: the votes for bits j and j + 32 (j < 32) of the first half, then of the second."""
-    other = F.xxhash64(h, F.lit(1))
+    other = F.when(h.isNotNull(), F.xxhash64(h, F.lit(1)))  # a hash of NULL isn't NULL
     return [F.sum(F.shiftrightunsigned(x, j).bitwiseAND(F.lit(LANES))).alias(f"v{32 * k + j}") for k, x in enumerate((h, other)) for j in range(32)]
 
 
@@ -63,27 +67,49 @@ def hex128(a: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
+def _boundaries(docs: DataFrame, buckets: int) -> list[int]:
+    """Ids that part the documents into about equal buckets; an id of very many rows stands there several times."""
+    if buckets < 2:
+        return []
+    at = [k / buckets for k in range(1, buckets)]
+    return docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(100_000)).alias("b")).first()["b"] or []
+
+
+def _count_below(ends: list[int], than: Column, strictly: bool) -> Column:
+    """How many of the sorted numbers lie below a column: first of every sixteenth or so, then of those between."""
+    step = max(1, round(len(ends) ** 0.5))
+    below = (lambda e: e < than) if strictly else (lambda e: e <= than)
+    whole = [ends[i : i + step] for i in range(0, len(ends), step)]
+    blocks = F.size(F.filter(F.array(*[F.lit(b[-1]) for b in whole]), below))
+    rest = F.get(F.array(*[F.array(*map(F.lit, b)) for b in whole]), blocks)
+    return blocks * step + F.when(rest.isNull(), 0).otherwise(F.size(F.filter(rest, below)))
+
+
+def _bucket(ends: list[int]) -> Column:
+    """The bucket of a row by doc_id; rows of an id that stands several times among the ends are dealt to its buckets by the hash of their text."""
+    if not ends:
+        return F.lit(0)
+    low, high = _count_below(ends, F.col("doc_id"), True), _count_below(ends, F.col("doc_id"), False)
+    share = F.col("mark") / F.lit(2.0**64) + 0.5
+    return F.coalesce(low + F.least(high - low, F.floor(share * (high - low + 1))).cast("int"), F.lit(0))
+
+
 def _in_order(docs: DataFrame, text: str) -> DataFrame:
-    """bucket, guest, doc_id, text: buckets of neighbouring ids, each with the document that follows it as a guest at its end."""
-    docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    span = docs.select(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = span["lo"] or 0, span["hi"] or 0, span["n"]
-    width = max(1, (hi - lo) // max(1, -(-n // ROWS_IN_BUCKET)) + 1)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
-    placed = docs.withColumn("bucket", bucket)
-    # One row for each bucket that isn't empty: which document begins it, and the bucket before (of the first: the last).
-    firsts = materialize(placed.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))).coalesce(1)
-    w = Window.orderBy("bucket")
-    last = Window.orderBy(F.desc("bucket"))
-    ring = materialize(firsts.select("first_id", F.col("bucket").alias("of"), F.coalesce(F.lag("bucket").over(w), F.first("bucket").over(last)).alias("before")))
-    met = placed.join(ring, placed["doc_id"].eqNullSafe(ring["first_id"]) & (placed["bucket"] == ring["of"]))
-    guests = met.select(F.col("before").alias("bucket"), F.lit(1).alias("guest"), "doc_id", "text")
-    return placed.select("bucket", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
+    """bucket, guest, doc_id, mark, text: buckets of neighbouring documents, each with the document that follows it as a guest at its end."""
+    docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).otherwise(F.lit(None).cast("long")))
+    n = docs.count()
+    placed = docs.withColumn("bucket", _bucket(_boundaries(docs, min(MOST_BUCKETS, -(-n // ROWS_IN_BUCKET)))))
+    # One row for each bucket that isn't empty (MOST_BUCKETS at most): which document begins it, and the bucket before (of the first: the last).
+    order = F.struct("doc_id", "mark", "text")
+    firsts = materialize(placed.groupBy("bucket").agg(F.min(order).alias("first")))
+    w, last = Window.orderBy("bucket"), Window.orderBy(F.desc("bucket"))
+    guests = firsts.select(F.coalesce(F.lag("bucket").over(w), F.first("bucket").over(last)).alias("bucket"), F.lit(1).alias("guest"), "first.doc_id", "first.mark", "first.text")
+    return placed.select("bucket", F.lit(0).alias("guest"), "doc_id", "mark", "text").unionByName(guests)
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, f0, f1, e0, e1, x0, x1: fingerprints of each text, its edited text and the next text."""
-    w = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
+    w = Window.partitionBy("bucket").orderBy("guest", "doc_id", "mark", "text")
     rows = _in_order(docs, text).withColumns({"at": F.row_number().over(w), "next": F.coalesce(F.lead("text").over(w), F.lit("")), "n_chars": F.length("text").cast("long")})
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("next", F.lit(1), cut))

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, discard, materialize, mix64, workers_import
+from barloom.llm.common import U64, discard, lean, materialize, mix64, workers_import
 from barloom.llm.shingles import CHUNK, chunks, powers, prefix_sums
 
 SPAN, GRAM, HOT = 200, 16, 2000
+DIGEST_BYTES = 1 << 17  # of segments whose windows are digested at once
 SHARD_BYTES = 1_500_000  # symbols and ranks of a shard have to fit into 21 bits
 FAR = U64(np.iinfo(np.uint64).max)
 PLACE_BITS = U64(22)  # of a hash, the others decide: places in two chunks and a window fit
@@ -193,7 +194,7 @@ def _find_segments(keyed: DataFrame, span: int) -> DataFrame:
                 ["id", "sig", "first", "windows", "mark", "content"],
             )
 
-    return keyed.select("id", "sig", "data").mapInArrow(run, f"{KEYS}, first int, windows int, mark long, content long")
+    return keyed.select("id", "sig", "data").mapInArrow(lean(run), f"{KEYS}, first int, windows int, mark long, content long")
 
 
 def _cut_out(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -213,7 +214,7 @@ def _cut_out(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     part = F.struct("first", "windows", "mark", "known", "hot")
     lists = wanted.groupBy("id", "sig").agg(F.collect_list(part).alias("parts"))
     one = keyed.select("id", "sig", "data").join(lists, ["id", "sig"]).dropDuplicates(["id", "sig"])
-    return one.select("id", "sig", "data", "parts").mapInArrow(run, f"{KEYS}, first int, mark long, known boolean, hot boolean, data binary")
+    return one.select("id", "sig", "data", "parts").mapInArrow(lean(run), f"{KEYS}, first int, mark long, known boolean, hot boolean, data binary")
 
 
 def _sort_shards(cut: DataFrame, shards: int, span: int) -> DataFrame:
@@ -244,7 +245,7 @@ def _sort_shards(cut: DataFrame, shards: int, span: int) -> DataFrame:
             yield done()
 
     dealt = cut.select("id", "sig", "first", "mark", "known", "data").repartition(shards, "mark").sortWithinPartitions("mark")
-    return dealt.mapInArrow(run, f"{KEYS}, start int, windows int")
+    return dealt.mapInArrow(lean(run), f"{KEYS}, start int, windows int")
 
 
 def window_digests(segments: list[bytes], span: int) -> tuple[np.ndarray, ...]:
@@ -267,13 +268,13 @@ def _count_windows(cut: DataFrame, span: int) -> DataFrame:
     def run(batches):
         for b in batches:
             segments = b.column(4).to_pylist()
-            for p, q in chunks(segments):
+            for p, q in chunks(segments, DIGEST_BYTES):
                 who, place, lo, hi = window_digests(segments[p:q], span)
                 take = pa.array(who + p)
                 start = b.column(2).take(take).to_numpy() + place
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(start.astype(np.int32)), b.column(3).take(take), pa.array(lo), pa.array(hi)], ["id", "sig", "start", "known", "lo", "hi"])
 
-    all_ = cut.select("id", "sig", "first", "known", "data").mapInArrow(run, f"{KEYS}, start int, known boolean, lo long, hi long")
+    all_ = cut.select("id", "sig", "first", "known", "data").mapInArrow(lean(run), f"{KEYS}, start int, known boolean, lo long, hi long")
     twice = all_.groupBy("lo", "hi").agg(F.count("*").alias("k")).filter("k > 1").select("lo", "hi")
     return all_.filter("not known").join(twice, ["lo", "hi"]).select("id", "sig", "start", F.lit(1).alias("windows"))
 
@@ -337,7 +338,7 @@ def removal_digest(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _keyed(docs, text).join(runs, ["id", "sig"], "left")
-    return joined.select("doc_id", "data", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "data", "runs").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str = "text") -> DataFrame:
@@ -359,4 +360,4 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
             cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.select(*docs.columns, "__runs").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, "__runs").mapInArrow(lean(run), docs.schema)

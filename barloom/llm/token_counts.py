@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import WordCache, workers_import
+from barloom.llm.common import WordCache, lean, workers_import
 
 SPACE = "▁"
 LONG = 2048  # characters of a word from which on it is cut
@@ -145,4 +145,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", text).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", text).mapInArrow(lean(run), SCHEMA)

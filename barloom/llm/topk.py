@@ -1,41 +1,54 @@
 """Exact top-k search by inner product with KD-trees.
 
-Candidates are dealt to shards by a hash of their id. Each shard builds a KD-tree: medians split the widest dimension
-down to small leaves, and every node keeps the tight box of its points. The most that a query can score in a
-box is the sum over dimensions of the better of its two ends, so a best-first traversal opens the node with
-the highest bound and ends when none can reach the k-th score found so far. That score travels: each block of
-queries first visits one shard, and starts with the k-th score from there in the others.
+Vectors are dealt to shards by place: median splits of a bounded sample (`SAMPLE_ROWS`, chosen by a hash) cut space into cells, and every
+vector goes to the cell it lies in. Each shard builds its KD-tree once: medians split the widest dimension down to small leaves, and every
+node keeps the tight box of its points. The most that a query can score in a box is the sum over dimensions of the better of its
+two ends. A query first visits the shard of the highest bound; with the k-th score from there it goes on only to shards whose
+box can reach it. In a shard a best-first traversal opens the node with the highest bound and ends when none can reach the k-th score found.
 
-Queries and candidates meet in blocks of bounded size (a shard of candidates, a block of queries), so no task
-holds all of either.
+Equal vectors are one point with the ids that can be among the best of any query (the k + 1 smallest, as many times as they
+occur), so copies of one vector, however many, don't weigh on a shard. Queries of a shard are dealt out in blocks of bounded size.
+
+Bounds: the driver holds the sample and the cells' splits (at most `SAMPLE_ROWS` / 32 cells, whose boxes are also what workers get).
 
 Edge cases: vectors that are null, empty or hold null, NaN or infinite components, and rows without a vec_id, take no
 part. Rows that repeat a vec_id are all candidates, and none of them for their own id; a repeated query id is asked once
 (its smallest vector). Only vectors of the same length are compared. Equal scores go by smaller vec_id, then by nothing
-that shows. Components are floor(scale * x), x as double; scores are exact while below 2**53.
+that shows. Components are floor(scale * x), x as double, cut to the range of a long; scores are exact while below 2**53, and cut to that range too.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import materialize, workers_import
+from barloom.llm.common import discard, lean, materialize, workers_import
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 1024, 64
+SHARD_ROWS, BLOCK_ROWS, LEAF, SAMPLE_ROWS = 8192, 2048, 64, 100_000
 FOUND = "query_id long, vec_id long, score long"
+MOST = float(2**63 - 1024)  # the greatest double below 2**63
+
+
+def best_in_boxes(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The most that q can score in each box."""
+    return np.where(q > 0, high * q, low * q).sum(axis=-1)
 
 
 class Tree:
-    """Nodes in arrays: box, children (or -1) and the rows of a leaf."""
+    """Nodes in arrays: box, children (or -1) and the rows of a leaf; a point has one id or several."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, ids: list[np.ndarray], leaf: int = LEAF):
         self.points = points
+        self.sizes = np.array([len(i) for i in ids], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.concatenate(ids) if ids else np.empty(0, dtype=np.int64)
         self.order = np.arange(len(points))
         self.low, self.high, self.kids, self.rows = [], [], [], []
         self._build(0, len(points), leaf)
@@ -57,9 +70,15 @@ class Tree:
             self.kids[at] = (self._build(a, a + mid, leaf), self._build(a + mid, b, leaf))
         return at
 
-    def search(self, q: np.ndarray, own: int, ids: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
-        """The k best (score, id) other than `own` that reach `floor`, in any order."""
-        best = np.where(q > 0, self.high * q, self.low * q).sum(axis=1)  # the bound of every node
+    def _named(self, rows: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of points, one for each id."""
+        n = self.sizes[rows]
+        at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(got, n), self.ids[at]
+
+    def search(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best other than `own` that reach `floor`, in any order."""
+        best = best_in_boxes(q, self.low, self.high)
         agenda = [(-best[0], 0)]
         scores, who = np.empty(0), np.empty(0, dtype=np.int64)
         while agenda and -agenda[0][0] >= floor:
@@ -72,16 +91,50 @@ class Tree:
                 continue
             a, b = self.rows[at]
             rows = self.order[a:b]
-            got, names = self.points[rows] @ q, ids[rows]
-            good = (got >= floor) & (names != own)
+            got = self.points[rows] @ q
+            good = got >= floor
             if good.any():
-                scores, who = np.concatenate((scores, got[good])), np.concatenate((who, names[good]))
+                got, names = self._named(rows[good], got[good])
+                other = names != own
+                scores, who = np.concatenate((scores, got[other])), np.concatenate((who, names[other]))
                 if len(scores) >= k:
                     keep = np.lexsort((who, -scores))[:k]
                     scores, who = scores[keep], who[keep]
-                    if len(keep) == k:
-                        floor = max(floor, scores[-1])
-        return list(zip(scores.tolist(), who.tolist(), strict=True))
+                    floor = max(floor, scores[-1])
+        return scores, who
+
+
+class Cells:
+    """Splits of space by medians of a sample: dimension and value by node, numbers of the cells at the ends."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.nodes: list[tuple[int, float, int, int]] = []  # dimension, value, children: nodes, or -1 - cell
+        self.count = 0
+        self._split(sample, max(1, cells))
+
+    def _split(self, x: np.ndarray, cells: int) -> int:
+        spread = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(1)
+        wide = int(np.argmax(spread))
+        value = float(np.median(x[:, wide])) if spread[wide] > 0 else 0.0
+        left = x[:, wide] < value if spread[wide] > 0 else np.zeros(len(x), dtype=bool)
+        if cells < 2 or not left.any():
+            self.count += 1
+            return -self.count
+        at = len(self.nodes)
+        self.nodes.append((wide, value, 0, 0))
+        self.nodes[at] = (wide, value, self._split(x[left], cells // 2), self._split(x[~left], cells - cells // 2))
+        return at
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        if not self.nodes:
+            return np.zeros(len(x), dtype=np.int64)
+        dim, value, left, right = (np.array(c) for c in zip(*self.nodes, strict=True))
+        at = np.zeros(len(x), dtype=np.int64)
+        while (open_ := at >= 0).any():
+            n = at[open_]
+            at[open_] = np.where(x[open_, dim[n]] < value[n], left[n], right[n])
+        return -1 - at
 
 
 def _usable(vectors: DataFrame, scale: int) -> DataFrame:
@@ -91,44 +144,115 @@ def _usable(vectors: DataFrame, scale: int) -> DataFrame:
     return fine.select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("v"), F.size(x).alias("dim"))
 
 
-def _visit(queries: DataFrame, shards: DataFrame, k: int) -> DataFrame:
-    """queries: dim, shard, block, query_id, v, floor; shards: dim, shard, block, vec_id, v."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=float)
+
+
+def _dealt(points: DataFrame, cells: Cells) -> DataFrame:
+    """points (v, ids) with the cell that each lies in."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.of(_matrix(b.column(0))))], ["v", "ids", "shard"])
+
+    return points.select("v", "ids").mapInArrow(lean(run), "v array<double>, ids array<long>, shard long")
+
 
+def _trees(dealt: DataFrame) -> DataFrame:
+    """shard, tree (pickled), low, high."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(np.stack(rows["v"].to_numpy()), [np.asarray(i, dtype=np.int64) for i in rows["ids"]])
+        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree)], "low": [tree.low[0]], "high": [tree.high[0]]})
+
+    return dealt.groupBy("shard").applyInPandas(run, "shard long, tree binary, low array<double>, high array<double>")
+
+
+def _routes(queries: DataFrame, boxes: list[tuple[int, list[float], list[float]]], k: int) -> DataFrame:
+    """query_id, v, floor, shard, block: the shard of the highest bound where no floor is known, else all others that can reach it."""
+    shards = np.array([b[0] for b in boxes], dtype=np.int64)
+    low, high = np.array([b[1] for b in boxes], dtype=float), np.array([b[2] for b in boxes], dtype=float)
+    schema = "query_id long, v array<double>, floor double, shard long"
+
+    def run(batches):
+        for b in batches:
+            x = _matrix(b.column(1))
+            floors = b.column(2).to_pylist()
+            rows, to = [], []
+            for i, floor in enumerate(floors):
+                best = best_in_boxes(x[i], low, high)
+                home = int(np.argmax(best))
+                if floor is None:
+                    reach = np.array([home])
+                else:
+                    reach = np.flatnonzero(best >= floor)
+                    reach = reach[reach != home]
+                rows += [i] * len(reach)
+                to.append(shards[reach])
+            take = pa.array(rows, pa.int64())
+            floor = pa.array([float("-inf") if f is None else f for f in floors], pa.float64()).take(take)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), floor, pa.array(np.concatenate([*to, np.empty(0, dtype=np.int64)]))], ["query_id", "v", "floor", "shard"])
+
+    return queries.select("query_id", "v", "floor").mapInArrow(lean(run), schema)
+
+
+def _visit(routes: DataFrame, trees: DataFrame, blocks: int, k: int) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = right["vec_id"].to_numpy()
-        tree = Tree(np.stack(right["v"].to_numpy()))
+        tree: Tree = pickle.loads(right["tree"].iloc[0])
         out = []
         for q, v, floor in zip(left["query_id"], left["v"], left["floor"], strict=True):
-            out += [(q, i, int(s)) for s, i in tree.search(np.asarray(v), q, ids, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            scores, who = tree.search(np.asarray(v, dtype=float), q, k, floor)
+            out.append(pd.DataFrame({"query_id": q, "vec_id": who, "score": np.clip(scores, -MOST, MOST).astype(np.int64)}))
+        return pd.concat(out)
+
+    mine = routes.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    there = mine.select(F.col("shard").alias("its_shard"), F.col("block").alias("its_block")).distinct().join(trees.select(F.col("shard").alias("its_shard"), "tree"), "its_shard")
+    return mine.groupBy("shard", "block").cogroup(there.groupBy("its_shard", "its_block")).applyInPandas(run, FOUND)
 
-    there = shards.select(F.col("dim").alias("its_dim"), F.col("shard").alias("its_shard"), F.col("block").alias("its_block"), "vec_id", "v")
-    mine = queries.select("dim", "shard", "block", "query_id", "v", "floor")
-    return mine.groupBy("dim", "shard", "block").cogroup(there.groupBy("its_dim", "its_shard", "its_block")).applyInPandas(run, FOUND)
+
+def _points(fine: DataFrame, k: int) -> DataFrame:
+    """v, ids: different vectors, with the k + 1 smallest ids that have each, an id as often as it occurs (k times at most)."""
+    counted = fine.groupBy("v", "vec_id").agg(F.count("*").alias("n"))
+    least = counted.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
+    ids = F.flatten(F.collect_list(F.array_repeat("vec_id", F.least(F.col("n"), F.lit(k)).cast("int"))))
+    return least.groupBy("v").agg(ids.alias("ids"))
+
+
+def _search(fine: DataFrame, k: int, every: int) -> DataFrame:
+    """The best of vectors of one length, before they are ranked."""
+    points = materialize(_points(fine, k))
+    n = points.count()
+    order = F.xxhash64(F.lit(11), "v")
+    sample = np.array([r["v"] for r in points.orderBy(order).limit(min(SAMPLE_ROWS, max(1000, n // 8))).select("v").collect()], dtype=float)
+    cells = Cells(sample, min(-(-n // SHARD_ROWS), max(1, len(sample) // 32)))
+    trees = materialize(_trees(_dealt(points, cells)))
+    boxes = [(r["shard"], r["low"], r["high"]) for r in trees.select("shard", "low", "high").collect()]
+    asked = fine.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v")
+    asked = materialize(asked)
+    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    none = F.lit(None).cast("double")
+    first = materialize(_visit(_routes(asked.withColumn("floor", none), boxes, k), trees, blocks, k))
+    if len(boxes) > 1:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        kth = first.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+        onward = asked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        first = first.unionByName(_visit(_routes(onward, boxes, k), trees, blocks, k))
+    discard(points)
+    return first
 
 
 def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score; the queries are the rows whose vec_id is divisible by `every`."""
     workers_import(vectors.sparkSession)
     fine = materialize(_usable(vectors, scale))
-    asked = fine.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    n = fine.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n // (every * BLOCK_ROWS)))
-    hashed = F.xxhash64(F.lit(7), "vec_id")
-    queries = asked.select("dim", F.pmod(hashed, F.lit(blocks)).alias("block"), F.col("vec_id").alias("query_id"), "v")
-    dealt = fine.select("dim", F.pmod(F.xxhash64(F.lit(11), "vec_id", "v"), F.lit(shards)).alias("shard"), "vec_id", "v")
-    home = F.pmod("block", F.lit(shards))
-    by_block = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    first = materialize(_visit(queries.withColumns({"shard": home, "floor": F.lit(float("-inf"))}), by_block.filter(home == F.col("shard")), k))
-    if shards > 1:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = first.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-        onward = queries.join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
-        onward = onward.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).filter(F.col("shard") != home)
-        first = first.unionByName(_visit(onward, by_block.filter(home != F.col("shard")), k))
+    found = None
+    for dim in sorted(r["dim"] for r in fine.select("dim").distinct().collect()):
+        part = _search(fine.filter(F.col("dim") == dim), k, every)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -24,16 +24,14 @@ import math
 import re
 import zlib
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barloom.llm.common import materialize, workers_import
+from barloom.llm.common import lean, materialize, workers_import
 
 MOST_TOXIC, MOST_CLEAN, MOST_UNLABELLED, MOST_VOTERS = 3000, 5000, 4000, 400
 LEAST_DEPENDENCE = 0.3  # correlations below that, given the class, are taken for chance
@@ -185,16 +183,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _per_text(rows: DataFrame, f, schema: str) -> DataFrame:
-    """The rows that f gives for each (toxic, text)."""
-    target = to_arrow_schema(StructType.fromDDL(schema))
+MOST_COUNTED = 50_000  # terms that a worker counts before it passes them on
+
+
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """term, bad, clean from (toxic, text): documents with the term, counted in the workers as far as a bounded table goes."""
+
+    def table(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        bad, clean = zip(*counts.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(bad, pa.int64()), pa.array(clean, pa.int64())], ["term", "bad", "clean"])
+
+    def run(batches):
+        counts: dict[str, list[int]] = {}
+        for b in batches:
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for t in terms_of(text):
+                    counts.setdefault(t, [0, 0])[1 - toxic] += 1
+                if len(counts) > MOST_COUNTED:
+                    yield table(counts)
+                    counts = {}
+        if counts:
+            yield table(counts)
+
+    return rows.mapInArrow(lean(run), "term string, bad long, clean long")
+
+
+def _votes(rows: DataFrame, words: list[str]) -> DataFrame:
+    """toxic, hits (which voters fired) and the densities of each (toxic, text)."""
+    names = ["toxic", "hits", "kinds", "total", "density"]
 
     def run(batches):
+        matcher = Matcher(words)
         for b in batches:
-            out = [r for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in f(toxic, text)]
-            yield pa.RecordBatch.from_pylist([dict(zip(target.names, r, strict=True)) for r in out], target)
+            x = np.array([matcher.features(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, -1)
+            hits = pa.array([np.flatnonzero(r).tolist() for r in x[:, :-3]], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), hits, *(pa.array(x[:, k]) for k in (-3, -2, -1))], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), "toxic int, hits array<int>, kinds double, total double, density double")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
@@ -216,16 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     copies = marks.join(first, "mark").filter("first <> doc_id").select("doc_id").distinct()
     unlike = materialize(named.join(copies, "doc_id", "left_anti").select(F.col("toxic").cast("int"), "text"))
     n_bad, n_all = unlike.filter("toxic = 1").count(), unlike.count()
-    terms = _per_text(unlike, lambda toxic, t: [(w, toxic) for w in terms_of(t)], "term string, toxic int")
-    counts = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("clean")).filter(f"bad >= {max(4, n_bad // 200)}")
+    counts = _term_counts(unlike).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean")).filter(f"bad >= {max(4, n_bad // 200)}")
     telling = counts.filter((F.col("bad") + 0.5) / (n_bad + 1) >= 0.99 * LEAST_LIFT * (F.col("clean") + 0.5) / (n_all - n_bad + 1))
     words = pick_voters({r["term"]: (r["bad"], r["clean"]) for r in telling.collect()}, n_bad, n_all - n_bad)
 
-    def features(toxic, t):
-        x = _matcher(tuple(words)).features(t)
-        yield toxic, [int(i) for i in np.flatnonzero(x[:-3])], *x[-3:].tolist()
-
-    got = sorted(tuple(r) for r in _per_text(rows, features, "toxic int, hits array<int>, kinds double, total double, density double").collect())
+    got = sorted(tuple(r) for r in _votes(rows, words).collect())
     x = np.zeros((len(got), len(words) + len(STYLE) + 3))
     for i, (_, hits, *density) in enumerate(got):
         x[i, hits] = 1
@@ -239,12 +259,7 @@ def _marks(rows: DataFrame) -> DataFrame:
             out = [(i, k) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in copy_marks(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["doc_id", "mark"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, mark long")
-
-
-@lru_cache(maxsize=4)
-def _matcher(words: tuple[str, ...]) -> Matcher:
-    return Matcher(list(words))
+    return rows.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, mark long")
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -261,7 +276,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", out: str = "s
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(score, pa.float64())], [*names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

@@ -373,6 +373,40 @@ def test_top_k_is_brute_force(spark, monkeypatch):
 KEY = "a key for tests"
 
 
+def test_top_k_odd_vectors(spark):
+    """Copies of one vector, repeated ids, huge components, and vectors of several lengths."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(60, 4)), 2)
+    x[5:45] = x[5]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(60)] + [(20, [float(v) for v in x[20]]), (21, [float(v) for v in x[21]]), (0, [9.0, 9.0, 9.0, 9.0])]
+    rows += [(100, [1e30, -1e30, 0.0, 1.0]), (101, [1e300, 1e300, 1e300, 1e300]), (200, [1.0, 2.0]), (201, [2.0, 1.0]), (220, [0.5, 0.5]), (300, [1.0] * 7)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    most = 2**63 - 1
+    cut = lambda v: float(max(-most - 1, min(most, int(np.floor(64 * v)))))
+    points = [(i, np.array([cut(v) for v in e])) for i, e in rows]
+    asked = {}
+    for i, v in points:
+        if i % 20 == 0:
+            asked[i] = min(asked.get(i, tuple(v)), tuple(v))
+    assert sorted(got) == sorted(i for i, v in asked.items() if any(j != i and len(p) == len(v) for j, p in points))
+    assert [n for n, *_ in sorted(got.pop(100))] == [1, 2, 3, 4, 5, 6]  # its scores are beyond what is exact
+    for i in got:
+        q = np.array(asked[i])
+        best = sorted((-max(-topk.MOST, min(topk.MOST, float(p @ q))), j) for j, p in points if j != i and len(p) == len(q))[:6]
+        assert [(n, s) for n, _, s in sorted(got[i])] == [(n + 1, int(-s)) for n, (s, _) in enumerate(best)]
+        assert [j for _, j, _ in sorted(got[i])] == [j for _, j in best]
+
+
+def test_cells_hold_every_vector():
+    x = np.random.default_rng(1).normal(size=(500, 5))
+    cells = topk.Cells(x, 16)
+    at = cells.of(x)
+    assert cells.count == 16 and set(at.tolist()) == set(range(16)) and np.bincount(at).min() > 20
+    assert topk.Cells(np.ones((50, 3)), 8).count == 1 and topk.Cells(np.empty((0, 3)), 4).of(x[:, :3]).max() == 0
+
+
 # --- personal data ---------------------------------------------------------------------------------
 
 
@@ -480,6 +514,51 @@ def test_simhash_edits_and_order(spark, monkeypatch):
     assert np.mean([got[i].near_edited for i in ids[:20]]) > 0.7 > 0.6 > np.mean([got[i].near_next for i in ids[:20]])
 
 
+def plain_print(text):
+    """128 bits voted by pairs of neighbouring words, with the hash library."""
+    import xxhash
+
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+
+    def h(data, seed):
+        return xxhash.xxh64(data, seed=seed).intdigest()
+
+    terms = [h(words[0].encode(), 42)] if len(words) == 1 else [h(b.encode(), h(a.encode(), 42)) for a, b in zip(words, words[1:], strict=False)]
+    bits = [0] * 128
+    for t in terms:
+        other = h((1).to_bytes(4, "little"), h(t.to_bytes(8, "little"), 42))
+        for k, x in enumerate((t, other)):
+            for j in range(64):
+                bits[64 * k + j] += x >> j & 1
+    halves = [sum(1 << j for j in range(64) if 2 * bits[64 * k + j] > len(terms)) for k in (0, 1)]
+    return f"{halves[0]:016x}{halves[1]:016x}"
+
+
+def test_fingerprints_are_a_plain_reading(spark):
+    texts = [prose(R.randint(2, 60)) for _ in range(12)] + ["one", "", None, "A  b\ta B", "x y x y x y", "Ärger ÄRGER ärger"]
+    got = {r.doc_id: r for r in simhash.edited_likeness(docs_of(spark, texts)).collect()}
+    edited = [(t or "")[: len(t or "") - len(t or "") // 4] + ((texts[(i + 1) % len(texts)] or "")[: len(t or "") // 4]) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):
+        assert got[i].fingerprint == plain_print(t or "") and got[i].edited_fingerprint == plain_print(edited[i]), t
+        assert got[i].near_edited == 1 - (int(got[i].fingerprint, 16) ^ int(got[i].edited_fingerprint, 16)).bit_count() / 128
+
+
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 0, 5, 6, 7, 8, 9], [3] * 6 + [4, 4], [None, None, 1, 1, 2, None, 9, 2**60], [10**15, *range(7)]])
+def test_simhash_order_of_odd_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(simhash, "ROWS_IN_BUCKET", 2)
+    texts = [prose(12 + i) for i in range(len(ids))]
+    got = simhash.edited_likeness(docs_of(spark, texts, ids)).collect()
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in got)
+    # Whatever the order of equal ids: the rows make one ring, in which ids ascend.
+    prints = {plain_print(t): i for t, i in zip(texts, ids, strict=True)}
+    sha = {hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest(): (t, u) for t in texts for u in texts}
+    after = {sha[r.edited_sha256][0]: sha[r.edited_sha256][1] for r in got}
+    assert len(after) == len(set(after.values())) == len(texts) and len(prints) == len(texts)
+    by_text = dict(zip(texts, ids, strict=True))
+    falls = sum((by_text[u] is None and by_text[t] is not None) or (None not in (by_text[t], by_text[u]) and by_text[u] < by_text[t]) for t, u in after.items())
+    assert falls == (len(set(ids)) > 1)
+
+
 def test_near_counts_are_brute_force(spark):
     rng = random.Random(6)
     base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(5)]
