@@ -182,8 +182,11 @@ def contracts(spark, d):
 
 
 def register(add, src) -> None:
+    from barloom.functions.option_strategies import pricing_sql
+
+    apart = pricing_sql(CONTRACTS)
     for name, stages in {"bsm_price": bsm(), "black76_price": black76(), "greeks": greeks(), "extended_greeks": extended_greeks(), "digital": digital(), "price_bounds": bounds(), "parity_synthetic": parity(), "futures_basis": FUTURES}.items():
-        add(f"opt_{name}", lambda s, d, st=stages: apply_stages(contracts(s, d), st).selectExpr("key", "ts", *rounded(outputs(st))), as_sql(CONTRACTS, stages))
+        add(f"opt_{name}", lambda s, d, st=stages: apply_stages(contracts(s, d), st).selectExpr("key", "ts", *rounded(outputs(st))), apart.get(f"opt_{name}") or as_sql(CONTRACTS, stages))
 
     def iv(s, d):
         workers_import(s)
@@ -192,14 +195,14 @@ def register(add, src) -> None:
         # Where the price hardly depends on volatility the root isn't determined to the last digits.
         return priced.withColumn("iv", got).select("key", F.round("iv", 3).alias("iv"), F.round("price", 6).alias("price"))
 
-    add("opt_implied_volatility", iv)
+    add("opt_implied_volatility", iv, apart["opt_implied_volatility"])
 
     def american(s, d):
         workers_import(s)
         c = apply_stages(contracts(s, d), bsm()).withColumn("american", american_price(*map(F.col, ("spot", "strike", "rate", "carry", "t", "vol", "is_call"))))
-        return c.select("key", F.round("price", 6).alias("european"), F.round("american", 6).alias("american"), F.round(F.col("american") - F.col("price"), 6).alias("premium"))
+        return c.select("key", F.round("price", 4).alias("european"), F.round("american", 4).alias("american"), F.round(F.col("american") - F.col("price"), 4).alias("premium"))
 
-    add("opt_american", american)
+    add("opt_american", american, apart["opt_american"])
     at = "min_by({0}, named_struct('d', abs(strike - spot), 'k', key))"
     plain = "arg_min({0}, {{'d': abs(strike - spot), 'k': key}})"
 

@@ -106,6 +106,9 @@ RECURRENCES: dict[str, tuple[tuple[str, ...], Kernel, tuple[str, ...]]] = {
     "MAMA": (("close",), lambda close, fast=0.5, slow=0.05: dict(zip(("mama", "fama"), C.mama(close, fast, slow), strict=True)), ("mama", "fama")),
     **{name: (("close",), _cycle(outs), outs) for name, outs in CYCLES.items()},
 }
+#: Averages by kind: 0 simple, 1 exponential, 2 weighted, 3 double, 4 triple exponential, 5 triangular, 6 adaptive, 7 T3.
+RECURRENCES["MA_TYPE"] = (("close",), lambda close, p=30, matype=0: {"ma": K.moving_average(close, p, matype)}, ("ma",))
+RECURRENCES |= {f"MA_{k}": (("close",), lambda close, p=30, k=k: {"ma": K.moving_average(close, p, k)}, ("ma",)) for k in range(1, 8)}
 RECURRENCES["SUPERTREND"] = (HLC, lambda high, low, close, p=7, m=3.0: dict(zip(("line", "direction"), K.supertrend(high, low, close, p, m), strict=True)), ("line", "direction"))
 
 

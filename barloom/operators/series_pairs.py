@@ -55,6 +55,50 @@ def dtw_distance(a: np.ndarray, b: np.ndarray, window: int | None = None) -> flo
     return float(np.sqrt(last[n]))
 
 
+def dtw_path(a: np.ndarray, b: np.ndarray, window: int | None = None) -> list[tuple[int, int]]:
+    """The warping path of least cost from (0, 0) to the ends; of equal ways back the diagonal one first, then that which shortens a."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return []
+    cost = np.full((n + 1, m + 1), np.inf)
+    cost[0, 0] = 0
+    for i in range(n):
+        for j in range(m):
+            if window is None or abs(i - j) < window:
+                cost[i + 1, j + 1] = (a[i] - b[j]) ** 2 + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+    if not np.isfinite(cost[n, m]):
+        return []
+    i, j, out = n, m, []
+    while i and j:
+        out.append((i - 1, j - 1))
+        ways = ((i - 1, j - 1), (i - 1, j), (i, j - 1))
+        i, j = min(ways, key=lambda w: cost[w])
+    return out[::-1]
+
+
+def dtw_paths(df: DataFrame, column: Column, reference: list[float], window: int | None = None) -> DataFrame:
+    """df with path: array<struct<i, j>> from each array to one reference series."""
+    workers_import(df.sparkSession)
+    ref = np.asarray(reference, dtype=float)
+
+    @F.pandas_udf("array<struct<i:int,j:int>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([None if x is None else [{"i": i, "j": j} for i, j in dtw_path(np.asarray(x, dtype=float), ref, window)] for x in s])
+
+    return df.withColumn("path", run(column))
+
+
+def dtw_sql(vectors: str, reference: str, window: int, out: str) -> str:
+    """Distances by diagonals of the cost table: each cell passes its value on to those that follow it, and cells just outside the window pass on what crosses them."""
+    return f"""WITH RECURSIVE v AS MATERIALIZED ({vectors}), q AS ({reference}), r(id, d, i, now, before) AS (SELECT id, 0, 0, power(v.x[1] - q.x[1], 2), cast('inf' AS DOUBLE) FROM v, q
+ UNION ALL SELECT id, d, i, CASE WHEN abs(2 * i - d) < {window} THEN power(x[i + 1] - y[d - i + 1], 2) + low ELSE cast('inf' AS DOUBLE) END, coalesce(prev, cast('inf' AS DOUBLE)) FROM (
+  SELECT p.id, p.d, p.i, min(p.val) AS low, max(p.bef) AS prev, any_value(v.x) AS x, any_value(q.x) AS y FROM (
+   SELECT id, d + 1 AS d, e.i, e.val, e.bef FROM (SELECT id, d, unnest([{{'i': i, 'val': now, 'bef': now}}, {{'i': i + 1, 'val': now, 'bef': NULL}}, {{'i': i + 1, 'val': before, 'bef': NULL}}]) AS e FROM r)) p
+  JOIN v USING (id), q WHERE p.i < len(v.x) AND p.d - p.i >= 0 AND p.d - p.i < len(q.x) AND abs(2 * p.i - p.d) <= {window} GROUP BY p.id, p.d, p.i))
+ SELECT v.id AS {out}, {{0}} FROM v JOIN r ON r.id = v.id AND r.i = len(v.x) - 1, q WHERE r.d = len(v.x) + len(q.x) - 2"""
+
+
 def dtw_to(reference: list[float], window: int | None = None):
     """A function of an array column: its distance to one reference series."""
     ref = np.asarray(reference, dtype=float)
@@ -90,4 +134,19 @@ def register(add, src) -> None:
         reference = vectors.filter("vec_id = 0").select("embedding").first()
         return batch_dtw(vectors, F.col("embedding"), list(reference[0]) if reference else [], 5).selectExpr("vec_id", "round(dtw, 4) AS dtw")
 
-    add("ind_batch_dtw", dtw)
+    vectors, first = "SELECT vec_id AS id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings", "SELECT list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings WHERE vec_id = 0"
+    add("ind_batch_dtw", dtw, dtw_sql(vectors, first, 5, "vec_id").replace("{0}", "round(sqrt(r.now), 4) AS dtw"))
+
+    def path(s, d):
+        # Daily closes of flag A and of flag R, month by month: how one is warped to the other.
+        b = bars(s, d).withColumn("month", F.date_trunc("month", "ts")).groupBy("key", "month").agg(F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("c"))
+        one = b.filter("key = 'A'").select("month", F.col("c.close").alias("x")).join(b.filter("key = 'R'").select("month", F.col("c.close").alias("y")), "month")
+        workers_import(s)
+
+        @F.pandas_udf("double")
+        def length(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([float(len(dtw_path(np.asarray(p, dtype=float), np.asarray(q, dtype=float)))) for p, q in zip(x, y, strict=True)])
+
+        return one.select("month", length("x", "y").alias("steps"))
+
+    add("ind_dtw_path", path)

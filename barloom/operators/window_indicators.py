@@ -192,7 +192,7 @@ def realized(kind: str, w=20, days=252.0) -> Stages:
     import math
 
     u, d, c = "ln(high / open)", "ln(low / open)", "ln(close / open)"
-    root = lambda e: f"sqrt(greatest(0.0, ({e}) * {days}))"
+    root = lambda e: f"CASE WHEN ({e}) IS NOT NULL THEN sqrt(greatest(0.0, ({e}) * {days})) END"  # noqa: E731  greatest passes over NULL
     if kind == "close_to_close":
         return [{"_pc": lag("close")}, {"_r": "ln(close / nullif(_pc, 0))"}, {"_q": agg("sum", "_r * _r", w)}, {kind: root(f"_q / {w}")}]
     if kind == "parkinson":

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions import derivatives
-from barloom.operators import adjust, analytics, backtest, execution, patterns, regimes, series_pairs
+from barloom import alerts, pipeline
+from barloom.functions import derivatives, option_strategies
+from barloom.functions.currency import CURRENCIES
+from barloom.operators import adjust, analytics, backtest, execution, features, optimize, patterns, regimes, series_pairs
 from barloom.operators.recurrences import RECURRENCES, apply_recurrences
 from barloom.operators.window_indicators import INDICATORS
 from barloom.plans.frames import fixed
 from barloom.plans.recursive_sql import recursive_sql
 from barloom.plans.staged import apply_stages, as_sql, outputs, rounded
+from barloom.plans.window_sql import window_sql
 from barloom.sources import bars as B
 from barloom.streaming import indicators as streaming_indicators
 from barloom.streaming import trading as streaming_trading
@@ -76,7 +79,7 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
 
 for _name, _stages in INDICATORS.items():
     _table, _sql = _base(_name)
-    _add(f"ind_{_name.lower()}", lambda s, d, t=_table, st=_stages: apply_stages(t(s, d), st).selectExpr("key", "ts", *rounded(outputs(st))), as_sql(_sql, _stages))
+    _add(f"ind_{_name.lower()}", lambda s, d, t=_table, st=_stages: apply_stages(t(s, d), st).selectExpr("key", "ts", *rounded(outputs(st))), window_sql(_name, _sql))
 
 _names = list(patterns.RULES)
 for _i in range(0, len(_names), 16):
@@ -129,5 +132,46 @@ _add("bars_volume", _volume, _LABELS)
 _add("bars_resample", lambda s, d: B.resample(bars(s, d), 5).selectExpr("key", "label", *rounded(_ohlcv)),
      f"SELECT key, cast(floor(bar / 5) AS BIGINT) AS label, {_merged('bar')} FROM ({BARS}) GROUP BY 1, 2 HAVING count(*) = 5")
 
-for _module in (derivatives, analytics, adjust, backtest, execution, regimes, series_pairs, streaming_indicators, streaming_trading):
+
+
+def _right_closed(s, d):
+    return B.resample_time(hourly(s, d), "6h").selectExpr("key", "ts", *rounded(_ohlcv))
+
+
+_SIX = "time_bucket(INTERVAL 6 HOURS, ts - INTERVAL 1 MICROSECOND) + INTERVAL 6 HOURS"
+_add("bars_resample_time", _right_closed, f"SELECT key, {_SIX} AS ts, {fixed('arg_min(open, ts)')} AS open, {fixed('max(high)')} AS high, {fixed('min(low)')} AS low, {fixed('arg_max(close, ts)')} AS close, {fixed('sum(volume)')} AS volume FROM ({HOURLY}) GROUP BY 1, 2")
+
+
+def _by_rule(s, d):
+    return B.aggregate_ticks(ticks(s, d), "time:7200", ("ts", "event_id")).selectExpr("key", "label", *rounded(_ohlcv))
+
+
+_add("bars_by_rule", _by_rule, f"SELECT event_type AS key, cast(floor(epoch(ts) / 7200) AS BIGINT) AS label, {_merged('ts', ('value', 'value', 'value', 'value', '1.0'))} FROM events GROUP BY 1, 2")
+
+
+def _volume_ticks(s, d):
+    workers_import(s)
+    return B.aggregate_ticks(ticks(s, d).withColumn("size", F.pmod("event_id", F.lit(7)) + 1.0), "volume:250", ("ts", "event_id")).selectExpr("key", "label", *rounded(_ohlcv))
+
+
+_SIZED = "SELECT event_type AS key, value AS price, event_id % 7 + 1.0 AS size, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS bar FROM events"
+_add("bars_volume_ticks", _volume_ticks, f"""WITH RECURSIVE b AS MATERIALIZED ({_SIZED}), r(key, bar, label, total) AS (SELECT key, bar, 0, size FROM b WHERE bar = 0 UNION ALL
+ SELECT b.key, b.bar, CASE WHEN r.total >= 250 THEN r.label + 1 ELSE r.label END, CASE WHEN r.total >= 250 THEN b.size ELSE r.total + b.size END FROM r JOIN b ON b.key = r.key AND b.bar = r.bar + 1)
+ SELECT key, cast(label AS BIGINT) AS label, {_merged('bar', ('price', 'price', 'price', 'price', 'size'))} FROM r JOIN b USING (key, bar) GROUP BY 1, 2""")
+
+
+def _money(s, d):
+    part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", ((F.col("p_retailprice") - 1000) * F.pow(F.lit(10.0), F.col("p_partkey") % 5)).alias("amount"))
+    return part.select("p_partkey", *[CURRENCIES[c].column(F.col("amount")).alias(c.lower()) for c in ("USD", "JPY", "INR")])
+
+
+_AMOUNT = "SELECT p_partkey, (p_retailprice - 1000) * power(10.0, p_partkey % 5) AS amount FROM part"
+_WHOLE = "split_part(printf('%.2f', abs(amount)), '.', 1)"
+_PAISE = "split_part(printf('%.2f', abs(amount)), '.', 2)"
+_SIGN = "CASE WHEN amount < 0 THEN '-' ELSE '' END"
+_LAKH = f"regexp_replace(reverse(regexp_replace(reverse(left({_WHOLE}, greatest(0, length({_WHOLE}) - 3))), '(..)', '\\1,', 'g')), '^,', '')"
+_add("fmt_currency", _money, f"""SELECT p_partkey, {_SIGN} || '$' || format('{{:,}}', cast({_WHOLE} AS BIGINT)) || '.' || {_PAISE} AS usd, {_SIGN} || '¥' || format('{{:,}}', cast(round(abs(amount)) AS BIGINT)) AS jpy,
+ {_SIGN} || '₹' || CASE WHEN length({_WHOLE}) > 3 THEN {_LAKH} || ',' ELSE '' END || right({_WHOLE}, 3) || '.' || {_PAISE} AS inr FROM ({_AMOUNT})""")
+
+for _module in (derivatives, option_strategies, features, optimize, alerts, pipeline, analytics, adjust, backtest, execution, regimes, series_pairs, streaming_indicators, streaming_trading):
     _module.register(_add, {"bars": bars, "pair": pair, "hourly": hourly, "ticks": ticks, "BARS": BARS, "PAIR": PAIR, "HOURLY": HOURLY})

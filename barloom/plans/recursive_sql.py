@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from barloom.plans.frames import DIGITS, fixed
 
 GAIN, LOSS = "greatest(close - lag(close) OVER w, 0)", "greatest(lag(close) OVER w - close, 0)"
@@ -185,6 +187,16 @@ def recursive_sql(bars: str) -> dict[str, str]:
         "HT_TRENDMODE": _out(cycle, ht_trendmode=f"CASE WHEN {late} AND r.sp < 20 THEN 1.0 ELSE 0.0 END"),
         "HT_TRENDLINE": _out(cycle, ht_trendline=f"CASE WHEN {late} THEN (SELECT avg(x.sm) FROM b x WHERE x.key = b.key AND x.bar > b.bar - greatest(1, least(round(r.sp), b.bar + 1)) AND x.bar <= b.bar) END"),
     }
+    frame = lambda e, p: f"(SELECT {e} FROM s0 x WHERE x.key = t.key AND x.bar > t.bar - {p} AND x.bar <= t.bar)"
+    tri = f"WITH s0 AS MATERIALIZED ({bars}), h AS MATERIALIZED (SELECT t.*, CASE WHEN bar >= 14 THEN {frame('avg(x.close)', 15)} END AS a FROM s0 t)"
+    out["MA_2"] = f"WITH s0 AS MATERIALIZED ({bars}) SELECT key, ts, {fixed('CASE WHEN bar >= 29 THEN ' + frame('sum((x.bar - t.bar + 30) * x.close) / 465.0', 30) + ' END')} AS ma FROM s0 t"
+    out["MA_5"] = f"{tri} SELECT key, ts, {fixed('CASE WHEN bar >= 29 THEN ' + frame('avg(x.a)', 16).replace('s0 x', 'h x') + ' END')} AS ma FROM h t"
+    out["MA_TYPE"] = f"WITH s0 AS MATERIALIZED ({bars}) SELECT key, ts, {fixed('CASE WHEN bar >= 29 THEN ' + frame('avg(x.close)', 30) + ' END')} AS ma FROM s0 t"
+    out |= {f"MA_{k}": re.sub(rf" AS {n.lower()} FROM (?!.* FROM )", " AS ma FROM ", out[n]) for k, n in ((1, "EMA"), (3, "DEMA"), (4, "TEMA"), (6, "KAMA"))}
+    long = new()
+    for i in range(6):
+        long.follow(f"e{i + 1}", f"e{i}" if i else "close", 0, 1, 1 - 2 / 31, 2 / 31)
+    out["MA_7"] = long.select(ma=f"CASE WHEN bar >= 174 THEN {-(v**3)} * e6 + {3 * v**2 + 3 * v**3} * e5 + {-6 * v**2 - 3 * v - 3 * v**3} * e4 + {1 + 3 * v + v**3 + 3 * v**2} * e3 END")
     for name in ("plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx", "adxr"):
         out[name.upper()] = _family(new()).select(**{name: name})
     return out
