@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import own_prefix
+
 ROUNDS = 8
 KINDS = ("email", "secret", "ssn", "ip", "date", "phone", "card")
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -351,17 +353,18 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str | Non
     """The documents with pseudonyms in the text; `found` names a column for the kinds met (array<string>). Whoever has the key can undo them."""
     if not key:
         raise ValueError("pseudonyms need a key")
-    names = docs.columns
-    t = F.col(text)
-    cut = docs.withColumns({"__found": F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), "__rest": F.split(t, PATTERN)})
-    kinds = cut.withColumn("__kinds", F.transform("__found", kind_of))
-    new = F.transform(F.arrays_zip("__found", "__kinds"), lambda z: pseudonym(z["__found"], z["__kinds"], key))
-    done = kinds.withColumn("__new", F.when(F.size("__found") > 0, new))
-    joined = F.array_join(F.transform(F.arrays_zip("__rest", "__new"), lambda z: F.concat(z["__rest"], F.coalesce(z["__new"], F.lit("")))), "")
-    out = done.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(t))
+    names, t = docs.columns, F.col(text)
+    o = own_prefix(names)
+    values, rest, kinds_, new_ = (f"{o}{n}" for n in ("found", "rest", "kinds", "new"))
+    cut = docs.withColumns({values: F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), rest: F.split(t, PATTERN)})
+    kinds = cut.withColumn(kinds_, F.transform(values, kind_of))
+    new = F.transform(F.arrays_zip(values, kinds_), lambda z: pseudonym(z[values], z[kinds_], key))
+    done = kinds.withColumn(new_, F.when(F.size(values) > 0, new))
+    joined = F.array_join(F.transform(F.arrays_zip(rest, new_), lambda z: F.concat(z[rest], F.coalesce(z[new_], F.lit("")))), "")
+    out = done.withColumn(text, F.when(F.size(values) > 0, joined).otherwise(t))
     if found:
-        each = lambda z: F.when(z["__kinds"] == "card", F.array_repeat(z["__kinds"], F.size(cards_in(z["__found"])))).otherwise(F.array(z["__kinds"]))
-        out = out.withColumn(found, F.flatten(F.transform(F.filter(F.arrays_zip("__found", "__kinds"), lambda z: z["__kinds"].isNotNull()), each)))
+        each = lambda z: F.when(z[kinds_] == "card", F.array_repeat(z[kinds_], F.size(cards_in(z[values])))).otherwise(F.array(z[kinds_]))
+        out = out.withColumn(found, F.flatten(F.transform(F.filter(F.arrays_zip(values, kinds_), lambda z: z[kinds_].isNotNull()), each)))
     return out.select(*names, *([found] if found else []))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, discard, lean, materialize, mix64, workers_import
+from barloom.llm.common import U64, discard, lean, materialize, mix64, own_prefix, workers_import
 from barloom.llm.shingles import CHUNK, chunks, powers, prefix_sums
 
 SPAN, GRAM, HOT = 200, 16, 2000
@@ -345,8 +345,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
     """The documents with their repeats cut out of the text; a character that loses a byte goes whole."""
     runs = _runs_by_document(docs, span, hot, text)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(2**63) + 1)), "__sig": F.xxhash64(t)})
-    joined = marked.join(runs.withColumnsRenamed({"id": "__id", "sig": "__sig", "runs": "__runs"}), ["__id", "__sig"], "left")
+    o = own_prefix(docs.columns)
+    marked = docs.withColumns({f"{o}id": F.coalesce("doc_id", F.lit(-(2**63) + 1)), f"{o}sig": F.xxhash64(t)})
+    joined = marked.join(runs.select(*[F.col(c).alias(f"{o}{c}") for c in ("id", "sig", "runs")]), [f"{o}id", f"{o}sig"], "left")
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
@@ -360,4 +361,4 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
             cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.select(*docs.columns, "__runs").mapInArrow(lean(run), docs.schema)
+    return joined.select(*docs.columns, f"{o}runs").mapInArrow(lean(run), docs.schema)

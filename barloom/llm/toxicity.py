@@ -126,8 +126,8 @@ def pick_voters(counts: dict[str, tuple[int, int]], n_bad: int, n_clean: int) ->
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row by its votes, firing rates by class and what each voter shares. gold: the class of a row, -1 where it isn't known.
 
-    Rates and dependences count rows of a known class with it and others with their posterior, in turns until nothing changes. A voter
-    that doesn't fire abstains: that says nothing.
+    Rates and dependences count rows of a known class with it and others with their likelihood in either class, voters that don't fire
+    included, in turns until nothing changes. In the posteriors that are returned a voter that doesn't fire abstains: that says nothing.
     """
     known, balance = gold >= 0, gold[gold >= 0].mean()
     p = np.where(known, gold, balance).astype(float)
@@ -141,9 +141,11 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[
         np.fill_diagonal(depends, 0)
         shared = np.where(depends > LEAST_DEPENDENCE, depends, 0).sum(axis=1)
         prior = min(0.9, max(0.01, float(p.mean())))
-        say = np.log(rates[:, 0] / rates[:, 1]) / (1 + shared)
-        post = 1 / (1 + np.exp(-np.clip(votes @ say + math.log(prior / (1 - prior)), -30, 30)))
-        before, p = p, np.where(known, gold, post)
+        fires, not_ = np.log(rates[:, 0] / rates[:, 1]) / (1 + shared), np.log((1 - rates[:, 0]) / (1 - rates[:, 1])) / (1 + shared)
+        odds = math.log(prior / (1 - prior))
+        post = 1 / (1 + np.exp(-np.clip(votes @ fires + odds, -30, 30)))
+        guess = 1 / (1 + np.exp(-np.clip(votes @ fires + (1 - votes) @ not_ + odds, -30, 30)))
+        before, p = p, np.where(known, gold, guess)
         if np.abs(p - before).max() < 1e-6:
             break
     return post, rates, shared

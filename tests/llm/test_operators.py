@@ -434,6 +434,109 @@ def test_pseudonyms_keep_their_format(spark):
     assert again != one
 
 
+# A plain reading of every kind's pseudonym.
+
+
+def plain_network(a, m, b, n, tweak, key=KEY):
+    half, size = [a, b], [m, n]
+    for i in range(8):
+        k = i % 2
+        digest = hashlib.sha256(f"{key}|{tweak}|{i}|{half[1 - k]}".encode()).hexdigest()
+        half[k] = (half[k] + int(digest[:15], 16)) % size[k]
+    return half
+
+
+def plain_text(s, tweak, is_hex=False):
+    out = ""
+    for block in range(0, len(s), 20):
+        part = s[block : block + 20]
+        alphabet = lambda c: "0123456789abcdef" if is_hex and c.lower() in "0123456789abcdef" else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.isalpha() else c
+        halves = [part[: len(part) // 2], part[len(part) // 2 :]]
+        numbers = []
+        for h in halves:
+            v, m = 0, 1
+            for c in h:
+                a = alphabet(c)
+                v, m = v * len(a) + a.index(c.lower() if len(a) > 1 else c), m * len(a)
+            numbers.append((v, m))
+        for h, v in zip(halves, plain_network(*numbers[0], *numbers[1], f"{tweak}/{len(s)}/{block // 20}"), strict=True):
+            made = ""
+            for c in reversed(h):
+                v, k = divmod(v, len(alphabet(c)))
+                new = alphabet(c)[k]
+                made = (new.upper() if c.isupper() else new) + made
+            out += made
+    return out
+
+
+def respelt(like, digits):
+    new = iter(digits)
+    return "".join(next(new) if c.isdigit() else c for c in like)
+
+
+def plain_pseudonym(kind, v):
+    import datetime
+
+    d = re.sub(r"\D", "", v)
+    if kind == "email":
+        name, at, domain = v.partition("@")
+        return plain_text(name, "email") + at + domain
+    if kind == "secret":
+        head = "AKIA" if v.startswith("AKIA") else re.match(r'[A-Za-z_]+(?: ?[=:] ?)"?', v)[0]
+        rest = v[len(head) :]
+        return head + plain_text(rest, "secret", bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", rest)))
+    if kind == "ip":
+        p = [int(x) for x in v.split(".")]
+        x, y = plain_network(p[0] * 256 + p[1], 65536, p[2] * 256 + p[3], 65536, "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    if kind == "ssn":
+        area, group, serial = map(int, v.split("-"))
+        x, y = plain_network(((area - 2) if area > 666 else area - 1) * 99 + group - 1, 898 * 99, serial - 1, 9999, "ssn")
+        k = x // 99
+        return f"{k + 2 if k >= 665 else k + 1:03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+    if kind == "card":
+        body = d[0] + plain_text(d[1:-1], "card")
+        check = next(c for c in "0123456789" if luhn(body + c))
+        return respelt(v, body + check)
+    if kind == "phone":
+        ten = d[-10:]
+        free = plain_text(ten[1:3] + ten[4:], "phone")
+        return respelt(v, d[:-10] + ten[0] + free[:2] + ten[3] + free[2:])
+    first = datetime.date(1700, 1, 1)
+    forms = {"-": ("%Y-%m-%d",), "/": ("%m/%d/%Y", "%d/%m/%Y"), ".": ("%d.%m.%Y",)}[next(c for c in v if not c.isdigit())]
+    for form in forms:
+        try:
+            day = datetime.datetime.strptime(v, form).date()
+            break
+        except ValueError:
+            continue
+    n = (day - first).days
+    x, y = plain_network(n // 773, 189, n % 773, 773, "date")
+    new = first + datetime.timedelta(days=x * 773 + y)
+    brief = re.search(r"^\d[/.]|[/.]\d[/.]", v)
+    return "".join({"%Y": f"{new.year:04d}", "%m": f"{new.month}" if brief else f"{new.month:02d}", "%d": f"{new.day}" if brief else f"{new.day:02d}"}.get(t, t) for t in re.findall("%.|.", form))
+
+
+def test_pseudonyms_are_a_plain_reading(spark):
+    rng = random.Random(17)
+    num = lambda k: "".join(rng.choices("0123456789", k=k))
+    made = []
+    for _ in range(12):
+        made += [("email", f"{''.join(rng.choices('abcXYZ019._', k=rng.randint(1, 30))).strip('._') or 'q'}@mail{rng.randint(1, 9)}.example.com"), ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4)))]
+        made += [("ssn", f"{rng.choice([1, 665, 667, 899, rng.randint(1, 600)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"), ("phone", rng.choice(["({}{}) {}{}-{}", "+1 {}{} {}{} {}", "{}{}.{}{}.{}"]).format(rng.randint(2, 9), num(2), rng.randint(2, 9), num(2), num(4)))]
+        body = "4" + num(14)
+        card = body + next(c for c in "0123456789" if luhn(body + c))
+        made += [("card", rng.choice([card, "-".join(card[i : i + 4] for i in range(0, 16, 4)), " ".join(card[i : i + 4] for i in range(0, 16, 4))]))]
+        y, m, d = rng.randint(1700, 2099), rng.randint(1, 12), rng.randint(1, 28)
+        made += [("date", rng.choice([f"{y}-{m:02d}-{d:02d}", f"{m}/{d}/{y}", f"{m:02d}/{d:02d}/{y}", f"{d:02d}.{m:02d}.{y}", f"{d}.{m}.{y}"])), ("date", f"{rng.randint(13, 28)}/{m:02d}/{y}")]
+        made += [("secret", rng.choice(["password=", 'api_key: "', "Token ="]) + "".join(rng.choices(rng.choice(["abcdefXYZ0123456789_-", "0123456789abcdef"]), k=rng.randint(8, 45)))), ("secret", "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)))]
+    got = pii.pseudonymize(docs_of(spark, [f"a {v} b" for _, v in made]), KEY, found="kinds").orderBy("doc_id").collect()
+    wrong = [(k, v, r.kinds, r.text) for (k, v), r in zip(made, got, strict=True) if list(r.kinds) != [k] or r.text != f"a {plain_pseudonym(k, v)} b"]
+    assert wrong == []
+    with pytest.raises(ValueError):
+        pii.pseudonymize(docs_of(spark, ["x"]), "")
+
+
 VALUES = {"ssn": "123-45-6789", "ip": "10.0.0.1", "date": "2021-03-04", "phone": "555-234-4567", "card": "4111 1111 1111 1111"}
 
 
@@ -608,6 +711,48 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.95
 
 
+def plain_score(text, model):
+    """The score by regular expressions."""
+    low, hits, at = (text or "").lower(), 0, set()
+    x = [0.0] * len(model.words)
+    spans = set()
+    for i, w in enumerate(model.words):
+        stem = w.rstrip("*")
+        for m in re.finditer(rf"(?<![^\W]){re.escape(stem)}" + ("" if w.endswith("*") else r"(?!\w)"), low):
+            x[i] = 1.0
+            at.add(m.start())
+            spans.add((m.start(), stem))
+    hits = len(spans)
+    style = [float(p.search(text or "") is not None) for p in toxicity.STYLE]
+    features = [*x, *style, np.log1p(sum(x)), np.log1p(hits), min(20.0, 100 * hits / (1 + (text or "").count(" ")))]
+    return 1 / (1 + np.exp(-np.clip(np.dot(features, model.weights[:-1]) + model.weights[-1], -30, 30)))
+
+
+def test_scores_are_a_plain_reading(spark):
+    docs, labels = toxic_table(spark, 300)
+    model = toxicity.train(docs, labels)
+    assert any(w.startswith("grum") for w in model.words) and model.accuracy.shape[1] == 2
+    texts = [*[r.text for r in docs.limit(40).collect()], None, "", "You idiot!!! IDIOTS AND MORONS ALL", "trash trashy untrash", "grumza grumzbx xgrumza"]
+    got = toxicity.score_texts(docs_of(spark, texts), model, out="toxic_score").orderBy("doc_id").collect()
+    assert [r.toxic_score for r in got] == pytest.approx([plain_score(t, model) for t in texts]) and got[0].score == 9
+    with pytest.raises(ValueError):
+        toxicity.score_texts(docs_of(spark, ["x"]), model)
+
+
+def test_label_model_sees_votes_only():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.3
+    rates = np.array([[0.8, 0.02], [0.6, 0.05], [0.5, 0.3], [0.05, 0.7]])
+    votes = np.array([rng.random(4000) < np.where(truth, a, b) for a, b in rates]).T.astype(float)
+    gold = np.where(np.arange(4000) < 1000, truth.astype(int), -1)
+    gold[:50] = 1 - gold[:50]  # wrong labels don't pass into the posteriors of their rows
+    p, found, shared = toxicity.label_model(votes, gold)
+    assert np.abs(found - rates).max() < 0.06 and shared.max() == 0
+    assert ((p > 0.5) == truth)[:50].mean() > 0.8 and ((p > 0.5) == truth)[1000:].mean() > 0.85
+    twice = toxicity.label_model(np.hstack([votes, votes[:, :1]]), gold)
+    assert twice[2][0] > 0.9 and np.abs(twice[0] - p).max() < 0.2
+
+
 def test_toxicity_odd_rows(spark):
     docs, labels = toxic_table(spark, 60)
     df = odd_docs(spark)

@@ -121,3 +121,31 @@ def test_run_is_a_plain_reading(spark, tmp_path):
             assert (i, r.start, r.doc_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
             at += r.length
         assert at == len(ids)
+
+
+NAMES = ("score", "_score", "kinds", "__found", "__rest", "__new", "__kinds", "id", "sig", "runs", "__runs", "__id", "__sig", "keys", "node", "component_id", "kept", "shard", "n", "label", "tier")
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_every_stage_takes_odd_tables(spark, tmp_path, odd):
+    """Repeated rows, null ids and texts, empty and long texts, columns with names that the stages use, no n_chars; and empty tables."""
+    from pyspark.sql import functions as F
+
+    text = "a quiet garden by the sea with a bench and a tree under which somebody reads every day until it gets dark"
+    rows = [(1, text), (1, text), (1, "other words"), (2, None), (None, text), (None, None), (3, ""), (4, " \n"), (5, "x" * 3000), (6, "write to ann.b@mail8.example.com today"), (7, "word " * 5000), (8, "you idiot moron loser scum trash stupid clown")]
+    docs = spark.createDataFrame(rows if odd else [], "doc_id long, text string").withColumns({n: F.lit(i) for i, n in enumerate(NAMES)}).withColumn("extra", F.lit(None).cast("array<int>"))
+    labels = spark.createDataFrame([(1, 0), (8, 1), (8, None), (None, 1), (8, 1)] if odd else [], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    at = docs
+    for n, (name, stage) in enumerate(C.STAGES):
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{n}")
+        out = spark.read.parquet(f"{tmp_path}/{n}")
+        if name == "packing":
+            assert out.select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
+            continue
+        assert out.columns == docs.columns and (odd or out.count() == 0)
+        at = out
+    if odd:
+        kept = sorted(str(r.doc_id) for r in at.collect())
+        assert kept == sorted(map(str, [1, 1, 1, 2, None, None, 3, 4, 5, 6, 7]))
+        assert {r.text for r in at.filter("doc_id = 5").collect()} == {""} and "@mail8.example.com" in at.filter("doc_id = 6").first().text
