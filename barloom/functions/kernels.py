@@ -6,19 +6,44 @@ run them once for each key, streaming operators keep their state from bar to bar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 NAN = float("nan")
 
 
 def follow(x: np.ndarray, start: int, seed: float, a: float, b: float) -> np.ndarray:
-    """y[start] = seed, then y[i] = a * y[i-1] + b * x[i]."""
+    """y[start] = seed, then y[i] = a * y[i-1] + b * x[i].
+
+    In blocks, each by one running sum of b * x[i] / a**i, scaled back; what the block before left decays over the next one. A block is so
+    short that a**-i stays below 1e12, and the newest terms outweigh the older, so nothing is lost to rounding.
+    """
     out = np.full(len(x), NAN)
-    if 0 <= start < len(x):
-        y = out[start] = seed
+    n = len(x) - start - 1
+    if n < 0 or start < 0:
+        return out
+    out[start] = seed
+    if n == 0:
+        return out
+    if not 0 < a < 1:
+        y = seed
         for i in range(start + 1, len(x)):
             y = a * y + b * x[i]
             out[i] = y
+        return out
+    size = max(1, min(n, 4096, int(math.log(1e-12) / math.log(a))))
+    rows = -(-n // size)
+    block = np.zeros(rows * size)
+    block[:n] = x[start + 1 :]
+    decay = a ** np.arange(1, size + 1)
+    local = np.cumsum(block.reshape(rows, size) * (b / decay), axis=1) * decay
+    carry = np.empty(rows)
+    y, last = seed, float(decay[-1])
+    for k, end in enumerate(local[:, -1].tolist()):
+        carry[k] = y
+        y = end + last * y
+    out[start + 1 :] = (local + carry[:, None] * decay).reshape(-1)[:n]
     return out
 
 
@@ -139,11 +164,12 @@ def kama(c: np.ndarray, p: int = 30) -> np.ndarray:
         return out
     out[p - 1] = c[p - 1]
     steps = np.abs(np.diff(c, prepend=c[:1]))
-    for i in range(p, len(c)):
-        path = steps[i - p + 1 : i + 1].sum()
-        er = abs(c[i] - c[i - p]) / path if path else 0.0
-        k = (er * (2 / 3 - 2 / 31) + 2 / 31) ** 2
-        out[i] = out[i - 1] + k * (c[i] - out[i - 1])
+    path = np.lib.stride_tricks.sliding_window_view(steps, p)[1:].sum(axis=1)
+    pace = (_share(np.abs(c[p:] - c[:-p]), path) * (2 / 3 - 2 / 31) + 2 / 31) ** 2
+    y = c[p - 1]
+    for i, (k, now) in enumerate(zip(pace.tolist(), c[p:].tolist(), strict=True), p):
+        y += k * (now - y)
+        out[i] = y
     return out
 
 
@@ -264,10 +290,16 @@ def cusum_breaks(x: np.ndarray, w: int = 20, limit: float = 3.0, slack: float =
 
 def volume_bar_ids(v: np.ndarray, limit: float) -> np.ndarray:
     """A bar ends with the row that brings its volume to the limit; what exceeds it isn't carried over."""
-    out, bar, total = np.zeros(len(v), dtype=np.int64), 0, 0.0
-    for i, x in enumerate(v):
-        out[i] = bar
-        total += x
-        if total >= limit:
-            bar, total = bar + 1, 0.0
+    out, total = np.zeros(len(v), dtype=np.int64), np.cumsum(v)
+    start, bar = 0, 0
+    while start < len(v):
+        before = total[start - 1] if start else 0.0
+        # A step for each bar, not for each row; the sums from 0 are made anew near the end, where rounding could matter.
+        near = int(np.searchsorted(total[start:], before + limit * (1 - 1e-9))) + start
+        own = float(np.sum(v[start:near]))
+        while near < len(v) and own + v[near] < limit:
+            own += v[near]
+            near += 1
+        out[start : near + 1] = bar
+        start, bar = near + 1, bar + 1
     return out

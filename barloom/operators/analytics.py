@@ -81,10 +81,10 @@ def trade_stats(trades: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(bars: DataFrame, column: str = "close") -> DataFrame:
-    """key_i, key_j, corr for keys i < j, over the times both have: one join on the time, no driver-side matrix."""
+    """key_i, key_j, corr for keys i <= j, over the times both have; null where one doesn't vary. n keys make n * n / 2 rows at each time, as many as the matrix has."""
     x = bars.select("ts", F.col("key").alias("key_i"), F.col(column).alias("x"))
     y = bars.select("ts", F.col("key").alias("key_j"), F.col(column).alias("y"))
-    return x.join(y, "ts").filter("key_i < key_j").groupBy("key_i", "key_j").agg(F.corr("x", "y").alias("corr"))
+    return x.join(y, "ts").filter("key_i <= key_j").groupBy("key_i", "key_j").agg(F.corr("x", "y").alias("corr"))
 
 
 def portfolio_volatility(bars: DataFrame, weights: dict[str, float], periods: float = 252.0) -> DataFrame:
@@ -102,7 +102,16 @@ def register(add, src) -> None:
     bars, pair, BARS, PAIR = src["bars"], src["pair"], src["BARS"], src["PAIR"]
     for name, stages in {"spread_ratio": spread(), "relative_strength": relative_strength(), "rolling_beta": rolling_beta(), "compose_weighted": compose_weighted()}.items():
         add(f"ana_{name}", lambda s, d, st=stages: apply_stages(pair(s, d), st).selectExpr("key", "ts", *rounded(outputs(st))), as_sql(PAIR, stages))
-    add("ana_beta_full", lambda s, d: pair(s, d).selectExpr("round(regr_slope(real1, real0), 6) AS beta", "count(*) AS n"), f"SELECT round(regr_slope(real1, real0), 6) AS beta, count(*) AS n FROM ({PAIR})")
+    rets = [{"_x": f"{div('real0', lag('real0'))} - 1", "_y": f"{div('real1', lag('real1'))} - 1"}]
+
+    def beta_full(s, d):
+        # The slope of the first series' returns on the second's.
+        made = pair(s, d)
+        for st in rets:
+            made = made.selectExpr("*", *[f"{e} AS {c}" for c, e in st.items()])
+        return made.selectExpr("round(regr_slope(_x, _y), 6) AS beta", "regr_count(_x, _y) AS n")
+
+    add("ana_beta_full", beta_full, f"SELECT round((avg(x * y) - avg(x) * avg(y)) / (avg(y * y) - avg(y) * avg(y)), 6) AS beta, count(x) AS n FROM (SELECT a.real0 / b.real0 - 1 AS x, a.real1 / b.real1 - 1 AS y FROM ({PAIR}) a JOIN ({PAIR}) b ON a.key = b.key AND a.bar = b.bar + 1)")
     add("ana_rank", lambda s, d: average_rank(bars(s, d), "volume", ["key"]).selectExpr("key", "ts", "rank"),
         f"SELECT key, ts, rank() OVER (PARTITION BY key ORDER BY volume) + (count(*) OVER (PARTITION BY key, volume) - 1) / 2.0 AS rank FROM ({BARS})")
     add("ana_compose_rank", lambda s, d: average_rank(average_rank(bars(s, d), "volume", ["key"]).withColumnRenamed("rank", "a"), "close", ["key"]).selectExpr("key", "ts", "a + rank AS score"),
@@ -111,7 +120,7 @@ def register(add, src) -> None:
         add(f"ana_{side}_n", lambda s, d, big=big: top_n(bars(s, d), "close", 10, ["key"], ["ts"], big).selectExpr("key", "ts", "nth", "round(close, 6) AS close"),
             f"SELECT key, ts, nth, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY close {'DESC' if big else 'ASC'}, ts) AS nth FROM ({BARS})) WHERE nth <= 10")
     add("ana_correlation_matrix", lambda s, d: correlation_matrix(bars(s, d)).selectExpr("key_i", "key_j", "round(corr, 6) AS corr"),
-        f"SELECT a.key AS key_i, b.key AS key_j, round(corr(a.close, b.close), 6) AS corr FROM ({BARS}) a JOIN ({BARS}) b ON a.ts = b.ts AND a.key < b.key GROUP BY 1, 2")
+        f"SELECT a.key AS key_i, b.key AS key_j, round(corr(a.close, b.close), 6) AS corr FROM ({BARS}) a JOIN ({BARS}) b ON a.ts = b.ts AND a.key <= b.key GROUP BY 1, 2")
     add("ana_portfolio_volatility", lambda s, d: portfolio_volatility(bars(s, d), {"A": 0.5, "N": 0.3, "R": 0.2}).selectExpr("round(portfolio_vol, 6) AS portfolio_vol"),
         f"SELECT round(sqrt(var_samp(wr) * 252), 6) AS portfolio_vol FROM (SELECT ts, sum(w * r) AS wr FROM (SELECT ts, CASE key WHEN 'A' THEN 0.5 WHEN 'N' THEN 0.3 ELSE 0.2 END AS w, close / lag(close) {L} - 1 AS r FROM ({BARS})) WHERE r IS NOT NULL GROUP BY ts HAVING count(*) = 3)")
     P = _sql_positions(BARS)

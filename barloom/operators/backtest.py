@@ -1,7 +1,6 @@
 """Close-only backtests: positions lag signals by a bar, slippage and commission fall on changes; equity, metrics, folds, resampling.
 
-Without commission equity is a running product. With it each bar depends on the one before (multiply, then subtract), and a
-pass over each key computes it. Metrics are windows and one aggregation.
+Equity is a running product, from which costs are taken as what they have become by then. Metrics are windows and one aggregation.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.functions.commission import Commission
 from barloom.plans.frames import CUM, L, W, div, fixed, lag
@@ -35,20 +33,6 @@ def returns(slippage_bps: float = 0.0) -> Stages:
     ]
 
 
-def equity_with_commission(bars: DataFrame, cost: float) -> DataFrame:
-    """bars with equity: times 1 + strategy_return, less the cost of a change."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        out, now = np.empty(len(pdf)), 1.0
-        for i, (r, c) in enumerate(zip(pdf["strategy_return"], pdf["changed"], strict=True)):
-            now = now * (1 + r) - cost * c
-            out[i] = now
-        return pdf.assign(equity=out)
-
-    return bars.groupBy("key").applyInPandas(run, StructType([*bars.schema.fields, StructField("equity", DoubleType())]))
-
-
 # A running product of 1 + r from sums: logarithms of the sizes, a count of signs, and 0 from the first zero on.
 EQUITY: Stages = [
     {"_g": "1 + strategy_return"},
@@ -56,6 +40,20 @@ EQUITY: Stages = [
 ]
 
 
+def equity_with_commission(cost: float) -> Stages:
+    """equity: times 1 + strategy_return, less the cost of a change.
+
+    A running product G and what each cost has become by then: G * (1 - sum of cost / G). Where 1 + r is 0 all that was before is lost, and a
+    stretch of its own begins there with nothing.
+    """
+    own = "OVER (PARTITION BY key, _stretch ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    product = f"exp(sum(ln(abs(_g))) {own}) * (1 - 2 * (sum(CASE WHEN _g < 0 THEN 1 ELSE 0 END) {own} % 2))"
+    return [
+        {"_r": "1 + strategy_return"}, {"_stretch": f"sum(CASE WHEN _r = 0 THEN 1 ELSE 0 END) {CUM}", "_g": "CASE WHEN _r = 0 THEN 1.0 ELSE _r END"}, {"_product": product},
+        {"equity": f"_product * (CASE WHEN _stretch = 0 THEN 1.0 ELSE 0.0 END - {cost!r} * sum(changed / _product) {own})"},
+    ]
+
+
 def metrics_sql(table: str, periods: float = 252.0, rf: float = 0.0) -> str:
     """One row per key from (key, ts, strategy_return, bar_return, equity); the same text for any engine."""
     per = rf / periods
@@ -171,11 +169,7 @@ def register(add, src) -> None:
     add("bt_close_only", lambda s, d: apply_stages(prepared(s, d), EQUITY).selectExpr("key", "ts", *rounded(cols)),
         f"SELECT key, ts, {', '.join(rounded(cols))} FROM ({grown})")
 
-    def with_cost(s, d):
-        workers_import(s)
-        return equity_with_commission(prepared(s, d), 0.001).selectExpr("key", "ts", *rounded(cols))
-
-    add("bt_commission", with_cost, f"WITH RECURSIVE b AS MATERIALIZED ({base}), r(key, bar, e) AS (SELECT key, bar, 1 + strategy_return - 0.001 * changed FROM b WHERE bar = 0 UNION ALL SELECT b.key, b.bar, r.e * (1 + b.strategy_return) - 0.001 * b.changed FROM r JOIN b ON b.key = r.key AND b.bar = r.bar + 1) SELECT key, ts, {', '.join(rounded(cols[:3]))}, {fixed('r.e')} AS equity FROM r JOIN b USING (key, bar)")
+    add("bt_commission", lambda s, d: apply_stages(prepared(s, d), equity_with_commission(0.001)).selectExpr("key", "ts", *rounded(cols)), f"WITH RECURSIVE b AS MATERIALIZED ({base}), r(key, bar, e) AS (SELECT key, bar, 1 + strategy_return - 0.001 * changed FROM b WHERE bar = 0 UNION ALL SELECT b.key, b.bar, r.e * (1 + b.strategy_return) - 0.001 * b.changed FROM r JOIN b ON b.key = r.key AND b.bar = r.bar + 1) SELECT key, ts, {', '.join(rounded(cols[:3]))}, {fixed('r.e')} AS equity FROM r JOIN b USING (key, bar)")
     add("bt_metrics", lambda s, d: s.sql(metrics_sql("{t}"), t=apply_stages(prepared(s, d), EQUITY)), metrics_sql(f"({grown})"))
     worst = f"WITH RECURSIVE {paths_sql(f'SELECT key, bar, strategy_return FROM ({base})', 50, 42, 5)}, d AS (SELECT *, e / max(e) OVER (PARTITION BY key, sim ORDER BY pos) - 1 AS dd, count(*) OVER (PARTITION BY key, sim) - 1 AS last FROM paths)"
     add("bt_monte_carlo", lambda s, d: monte_carlo(prepared(s, d)).selectExpr("key", "sim", f"{fixed('final_equity')} AS final_equity", f"{fixed('worst_drawdown')} AS worst_drawdown"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -118,13 +118,14 @@ def apply_recurrences(bars: DataFrame, specs: list[tuple[str, dict]], prefix: bo
     names = [tag + o for _, _, outs, _, tag in plan for o in outs]
     kept = [f for f in bars.schema.fields if f.name not in names]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ts")
+        series = {c: rows[c].to_numpy().astype(float) for ins, *_ in plan for c in ins}  # missing values are NaN here
+        cols = {f.name: rows[f.name] for f in kept}
         for ins, kernel, _, kw, tag in plan:
-            got = kernel(*(pdf[c].to_numpy(dtype=float) for c in ins), **kw)
-            for o, x in got.items():
-                pdf[tag + o] = pd.Series(x, index=pdf.index, dtype="float64").astype(object).where(~np.isnan(x), None)
-        return pdf[[f.name for f in kept] + names]
+            for o, x in kernel(*(series[c] for c in ins), **kw).items():
+                cols[tag + o] = pa.array(x, pa.float64(), mask=np.isnan(x))
+        return pa.table({c: cols[c] for c in [f.name for f in kept] + names})
 
     schema = StructType([*kept, *[StructField(x, DoubleType()) for x in names]])
-    return bars.groupBy("key").applyInPandas(run, schema)
+    return bars.groupBy("key").applyInArrow(run, schema)

@@ -17,21 +17,24 @@ def sma(x="close", p=30, out="sma") -> Stages:
 
 
 def trima(p=30) -> Stages:
-    half = (p + 1) // 2
-    weights = [i if i <= half else p + 1 - i for i in range(1, p + 1)]
-    terms = " + ".join(f"{w} * {lag('close', p - 1 - j) if j < p - 1 else 'close'}" for j, w in enumerate(weights))
-    return [{"trima": f"({terms}) / {sum(weights)}"}]
+    """Triangular weights are those of an average of averages."""
+    inner = (p + 1) // 2
+    return [{"_a": agg("avg", "close", inner)}, {"trima": agg("avg", "_a", p + 1 - inner)}]
 
 
 def bbands(p=5, up=2.0, down=2.0) -> Stages:
     return [{"_m": agg("avg", "close", p), "_s": agg("stddev_pop", "close", p)}, {"upper": f"_m + {up} * _s", "middle": "_m", "lower": f"_m - {down} * _s"}]
 
 
+def frame(x: str, p: int) -> str:
+    """The last p values as an array, the newest last."""
+    return f"collect_list({x}) {W(p)}"
+
+
 def mavp(lo=2, hi=30) -> Stages:
-    sums = {f"_a{k}": f"avg(close) {W(k)}" for k in range(lo, hi + 1)}
-    pick = " ".join(f"WHEN {k} THEN _a{k}" for k in range(lo, hi + 1))
     period = f"greatest({lo}, least({hi}, cast(round(periods) AS INT)))"
-    return [sums, {"mavp": f"CASE WHEN bar >= {hi - 1} THEN CASE {period} {pick} END END"}]
+    total = f"aggregate(slice(_v, {hi + 1} - _p, _p), 0D, (a, v) -> a + v)"
+    return [{"_p": period, "_v": frame("close", hi)}, {"mavp": f"CASE WHEN size(_v) = {hi} THEN {total} / _p END"}]
 
 
 def roc(kind: str, p=10) -> Stages:
@@ -58,9 +61,8 @@ def extreme_at(kind: str, p=30) -> Stages:
 
 
 def cci(p=14) -> Stages:
-    lags = {f"_t{j}": lag("_tp", j) for j in range(1, p)}
-    mad = "(abs(_tp - _m) + " + " + ".join(f"abs(_t{j} - _m)" for j in range(1, p)) + f") / {p}"
-    return [{"_tp": TP}, {"_m": agg("avg", "_tp", p), **lags}, {"_mad": mad}, {"cci": "CASE WHEN _mad = 0 THEN 0.0 ELSE (_tp - _m) / (0.015 * _mad) END"}]
+    mad = f"aggregate(_v, 0D, (a, v) -> a + abs(v - _m)) / {p}"
+    return [{"_tp": TP}, {"_m": agg("avg", "_tp", p), "_v": frame("_tp", p)}, {"_mad": f"CASE WHEN _m IS NOT NULL THEN {mad} END"}, {"cci": "CASE WHEN _mad = 0 THEN 0.0 ELSE (_tp - _m) / (0.015 * _mad) END"}]
 
 
 def mfi(p=14) -> Stages:
@@ -214,9 +216,7 @@ def iv_rank(w=20) -> Stages:
 
 
 def iv_percentile(w=20) -> Stages:
-    lags = {f"_x{j}": lag("close", j) for j in range(1, w)}
-    count = "1 + " + " + ".join(f"CASE WHEN _x{j} <= close THEN 1 ELSE 0 END" for j in range(1, w))
-    return [{**lags, "_n": f"count(close) {W(w)}"}, {"iv_percentile": f"CASE WHEN _n = {w} THEN ({count}) / {float(w)} END"}]
+    return [{"_v": frame("close", w)}, {"iv_percentile": f"CASE WHEN size(_v) = {w} THEN size(filter(_v, v -> v <= close)) / {float(w)} END"}]
 
 
 # What each takes from a series, beside the stages.

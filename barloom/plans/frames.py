@@ -36,8 +36,8 @@ def div(a: str, b: str) -> str:
 
 
 def wma(x: str, p: int) -> str:
-    """Weights 1..p, the newest row p, from two sums: with row numbers r, the sum of (r - (now - p)) x."""
-    return full(x, p, f"(sum({x} * bar) {W(p)} - (bar - {p}) * sum({x}) {W(p)}) / {p * (p + 1) / 2}")
+    """Weights 1..p, the newest row p: the mean, and how the values go with the row numbers (which stays exact on long series)."""
+    return full(x, p, f"avg({x}) {W(p)} + 2 * covar_pop({x}, bar) {W(p)} / {p + 1}.0")
 
 
 # Digits kept of results for comparison where 4 would be more than doubles of their size hold alike.
