@@ -42,6 +42,47 @@ def top_n(df: DataFrame, column: str, n: int, by: list[str], order: list[str], l
     return df.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= n)
 
 
+def screen(df: DataFrame, column: str, top_n: int | None = None, bottom_n: int | None = None, above: float | None = None, below: float | None = None, by: list[str] | None = None) -> DataFrame:
+    """The rows of the highest or lowest values, or those beyond a level; all from the highest on if nothing is asked. Nulls are no scores."""
+    scored = df.filter(F.col(column).isNotNull())
+    if top_n is not None or bottom_n is not None:
+        kept = top_n_of(scored, column, top_n if top_n is not None else bottom_n, by or [], top_n is not None)
+        return kept
+    if above is not None:
+        return scored.filter(F.col(column) > above)
+    if below is not None:
+        return scored.filter(F.col(column) < below)
+    return scored.orderBy(F.desc(column))
+
+
+def top_n_of(df: DataFrame, column: str, n: int, by: list[str], largest: bool) -> DataFrame:
+    order = F.desc(column) if largest else F.asc(column)
+    if not by:
+        return df.orderBy(order).limit(n)
+    return df.withColumn("nth_", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("nth_") <= n).drop("nth_")
+
+
+def compose(df: DataFrame, signals: list[str], weights: list[float] | None = None, method: str = "weighted", by: list[str] | None = None) -> DataFrame:
+    """df with composed: signals times weights, their mean, or the sum of their ranks within `by`."""
+    if method == "rank":
+        out = df
+        for i, c in enumerate(signals):
+            out = average_rank(out, c, by or ["key"]).withColumnRenamed("rank", f"rank_{i}")
+        return out.withColumn("composed", sum((F.col(f"rank_{i}") for i in range(len(signals))), F.lit(0.0))).drop(*[f"rank_{i}" for i in range(len(signals))])
+    if method not in ("weighted", "mean"):
+        raise ValueError("method is weighted, mean or rank")
+    w = weights if method == "weighted" and weights else [1 / len(signals)] * len(signals)
+    if len(w) != len(signals):
+        raise ValueError("there must be a weight for each signal")
+    return df.withColumn("composed", sum((F.col(c) * v for c, v in zip(signals, w, strict=True)), F.lit(0.0)))
+
+
+def attribution_by_month(df: DataFrame, returns: str = "ret", dated: bool = True) -> DataFrame:
+    """key, month, contribution: by calendar months ('yyyy-MM'), or by stretches of 21 bars where times mean nothing."""
+    month = F.date_format("ts", "yyyy-MM") if dated else F.floor(F.col("bar") / 21).cast("string")
+    return df.groupBy("key", month.alias("month")).agg(F.sum(returns).alias("contribution"))
+
+
 def islands(df: DataFrame, column: str) -> DataFrame:
     """run: the number of the run of equal values that a row belongs to."""
     w = Window.partitionBy("key").orderBy("ts")
@@ -130,6 +171,12 @@ def register(add, src) -> None:
     names = ["win_rate", "avg_win", "avg_loss", "profit_factor", "avg_hold"]
     add("ana_trade_stats", lambda s, d: trade_stats(extract_trades(positions(bars(s, d)))).selectExpr("key", *rounded(names)),
         f"SELECT key, {', '.join(rounded(names))} FROM (SELECT key, count(*) FILTER (pnl > 0) / count(*) AS win_rate, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS avg_win, coalesce(avg(pnl) FILTER (pnl < 0), 0) AS avg_loss, coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor, avg(hold) AS avg_hold FROM ({trades}) GROUP BY key)")
+    scored = lambda s, d: bars(s, d).select("key", "ts", "close", "volume")
+    add("ana_screen_above", lambda s, d: screen(scored(s, d), "close", above=1700.0).selectExpr("key", "ts", "round(close, 6) AS close"), f"SELECT key, ts, round(close, 6) AS close FROM ({BARS}) WHERE close > 1700")
+    add("ana_screen_below", lambda s, d: screen(scored(s, d), "close", below=300.0).selectExpr("key", "ts", "round(close, 6) AS close"), f"SELECT key, ts, round(close, 6) AS close FROM ({BARS}) WHERE close < 300")
+    add("ana_compose_mean", lambda s, d: compose(scored(s, d), ["close", "volume"], method="mean").selectExpr("key", "ts", *rounded(["composed"])), f"SELECT key, ts, {fixed('close / 2 + volume / 2')} AS composed FROM ({BARS})")
+    add("ana_month_buckets", lambda s, d: attribution_by_month(positions(bars(s, d)), dated=False).selectExpr("key", "month", "round(contribution, 6) AS contribution"),
+        f"SELECT key, cast(bar // 21 AS VARCHAR) AS month, round(sum(ret), 6) AS contribution FROM ({_sql_positions(BARS)}) GROUP BY 1, 2")
     add("ana_monthly_contribution", lambda s, d: positions(bars(s, d)).groupBy("key", F.date_trunc("month", "ts").alias("month")).agg(F.round(F.sum("ret"), 6).alias("contribution")),
         f"SELECT key, date_trunc('month', ts) AS month, round(sum(ret), 6) AS contribution FROM ({P}) GROUP BY 1, 2")
     add("ana_signal_attribution", lambda s, d: positions(bars(s, d)).groupBy("key", "position").agg(F.round(F.sum("ret"), 6).alias("contribution")), f"SELECT key, position, round(sum(ret), 6) AS contribution FROM ({P}) GROUP BY 1, 2")

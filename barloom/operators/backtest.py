@@ -183,101 +183,3 @@ def register(add, src) -> None:
     won = "sum(CASE WHEN strategy_return > 0 THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN strategy_return <> 0 THEN 1.0 ELSE 0.0 END), 0)"
     inner = f"SELECT key, {won} AS w, avg(CASE WHEN strategy_return > 0 THEN strategy_return END) AS g, avg(CASE WHEN strategy_return < 0 THEN strategy_return END) AS l FROM {{0}} GROUP BY key"
     add("bt_kelly", lambda s, d: s.sql(f"SELECT key, round({kelly}, 6) AS kelly, round({kelly} / 2, 6) AS half_kelly FROM ({inner.format('{t}')})", t=prepared(s, d)), f"SELECT key, round({kelly}, 6) AS kelly, round({kelly} / 2, 6) AS half_kelly FROM ({inner.format(f'({base})')})")
-    add("sig_dsl", lambda s, d: compile_strategy(bars(s, d), DSL).selectExpr("key", "ts", "signal"), strategy_sql(BARS, DSL))
-
-
-DSL = "close > sma(20) and not (mom(10) < 0 or cross_below(sma(5), sma(20)))"
-
-
-def _parse(text: str) -> tuple[str, dict[str, str]]:
-    """A strategy as a SQL condition, and the columns that it needs: or, and, not, comparisons, averages, crossings."""
-    import re
-
-    tokens = re.findall(r"\d+\.?\d*|[a-z_]+|[<>=!]=|[<>(),]", text.lower())
-    need: dict[str, str] = {}
-    at = 0
-
-    def peek() -> str:
-        return tokens[at] if at < len(tokens) else ""
-
-    def take(want: str | None = None) -> str:
-        nonlocal at
-        t = peek()
-        if not t or (want and t != want):
-            raise ValueError(f"expected {want or 'more'} at {' '.join(tokens[at:])!r}")
-        at += 1
-        return t
-
-    def either() -> str:
-        out = both()
-        while peek() == "or":
-            take()
-            out = f"({out} OR {both()})"
-        return out
-
-    def both() -> str:
-        out = negated()
-        while peek() == "and":
-            take()
-            out = f"({out} AND {negated()})"
-        return out
-
-    def negated() -> str:
-        if peek() == "not":
-            take()
-            return f"(NOT {negated()})"
-        return compared()
-
-    def compared() -> str:
-        left = value()
-        if peek() in ("<", ">", "<=", ">=", "==", "!="):
-            op = {"==": "=", "!=": "<>"}.get(peek(), peek())
-            take()
-            return f"coalesce({left} {op} {value()}, false)"
-        return left
-
-    def value() -> str:
-        t = take()
-        if t == "(":
-            out = either()
-            take(")")
-            return out
-        if t in ("open", "high", "low", "close", "volume") or t[0].isdigit():
-            return t
-        take("(")
-        if t in ("cross_above", "cross_below"):
-            a = value()
-            take(",")
-            b = value()
-            take(")")
-            for x in (a, b):
-                need[f"_p{x}"] = lag(x)
-            one, two = (("<=", ">") if t == "cross_above" else (">=", "<"))
-            return f"coalesce(_p{a} {one} _p{b} AND {a} {two} {b}, false)"
-        n = int(take())
-        take(")")
-        makers = {"sma": f"CASE WHEN bar >= {n - 1} THEN avg(close) {W(n)} END", "mom": f"close - {lag('close', n)}", "max": f"CASE WHEN bar >= {n - 1} THEN max(close) {W(n)} END", "min": f"CASE WHEN bar >= {n - 1} THEN min(close) {W(n)} END"}
-        if t not in makers:
-            raise ValueError(f"unknown function {t}")
-        need[f"_{t}{n}"] = makers[t]
-        return f"_{t}{n}"
-
-    out = either()
-    if at < len(tokens):
-        raise ValueError(f"can't read {' '.join(tokens[at:])!r}")
-    return out, need
-
-
-def _strategy(text: str) -> Stages:
-    condition, need = _parse(text)
-    lags = {c: e for c, e in need.items() if c.startswith("_p")}
-    return [{c: e for c, e in need.items() if c not in lags} or {"_none": "0"}, lags or {"_none2": "0"}, {"signal": f"CASE WHEN {condition} THEN 1 ELSE 0 END"}]
-
-
-def compile_strategy(bars: DataFrame, text: str) -> DataFrame:
-    """bars with signal, 1 where the condition holds: one plan of windows, no evaluation loop."""
-    return apply_stages(bars, _strategy(text))
-
-
-def strategy_sql(base: str, text: str) -> str:
-    return as_sql(base, _strategy(text)).replace(fixed("signal"), "signal")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from barloom import alerts, pipeline
 from barloom.functions import derivatives, option_strategies
 from barloom.functions.currency import CURRENCIES
-from barloom.operators import adjust, analytics, backtest, execution, features, long_series, optimize, patterns, regimes, series_pairs
+from barloom.operators import adjust, analytics, backtest, execution, features, long_series, optimize, patterns, regimes, series_pairs, strategy_language
 from barloom.operators.recurrences import RECURRENCES, apply_recurrences
 from barloom.operators.window_indicators import INDICATORS
 from barloom.plans.frames import fixed
@@ -173,5 +173,5 @@ _LAKH = f"regexp_replace(reverse(regexp_replace(reverse(left({_WHOLE}, greatest(
 _add("fmt_currency", _money, f"""SELECT p_partkey, {_SIGN} || '$' || format('{{:,}}', cast({_WHOLE} AS BIGINT)) || '.' || {_PAISE} AS usd, {_SIGN} || '¥' || format('{{:,}}', cast(round(abs(amount)) AS BIGINT)) AS jpy,
  {_SIGN} || '₹' || CASE WHEN length({_WHOLE}) > 3 THEN {_LAKH} || ',' ELSE '' END || right({_WHOLE}, 3) || '.' || {_PAISE} AS inr FROM ({_AMOUNT})""")
 
-for _module in (derivatives, option_strategies, features, long_series, optimize, alerts, pipeline, analytics, adjust, backtest, execution, regimes, series_pairs, streaming_indicators, streaming_trading):
+for _module in (derivatives, option_strategies, features, long_series, strategy_language, optimize, alerts, pipeline, analytics, adjust, backtest, execution, regimes, series_pairs, streaming_indicators, streaming_trading):
     _module.register(_add, {"bars": bars, "pair": pair, "hourly": hourly, "ticks": ticks, "BARS": BARS, "PAIR": PAIR, "HOURLY": HOURLY})

@@ -7,17 +7,13 @@ import duckdb
 import numpy as np
 import pytest
 
-from barloom.operators import backtest, patterns
+from barloom.operators import patterns, strategy_language
 from barloom.operators.window_indicators import INDICATORS
 from barloom.plans import catalog
 from barloom.plans.staged import apply_stages
 
 D = "/root/testdata/sf0.001"
-SOME = [
-    "flagship_daily_bands", "ind_wma", "ind_mavp", "ind_aroon", "ind_cci", "ind_stoch", "ind_ultosc", "ind_beta", "ind_ichimoku", "ind_hull_ma", "ind_maxindex", "ind_yang_zhang_vol", "ind_ema", "ind_macd", "ind_rsi", "ind_adxr", "ind_kama",
-    "ind_t3", "ind_stochrsi", "patterns_1", "patterns_2", "patterns_3", "patterns_4", "bars_time", "bars_tick", "bars_volume", "bars_resample", "opt_bsm_price", "opt_extended_greeks", "opt_chain_summary", "opt_strategy_payoff",
-    "ana_rank", "ana_extract_trades", "ana_correlation_matrix", "ana_adjust_splits", "bt_close_only", "bt_commission", "bt_metrics", "bt_walk_forward", "sig_dsl", "stream_rsi",
-]
+ALL = sorted(catalog.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +25,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", ALL)
 def test_same_as_duckdb(spark, con, name):
     a, b = catalog.QUERIES[name](spark, D).toPandas(), con.sql(catalog.SQL[name]).df()
     assert sorted(a.columns) == sorted(b.columns) and len(a) == len(b) > 0
@@ -75,6 +71,6 @@ def test_one_shuffle_for_many_windows(spark):
 
 
 def test_strategy_errors(spark):
-    for bad in ("close >", "foo(3) > 1", "close > 1 extra"):
+    for bad in ("close >", "foo(3) > 1", "close > 1 extra", "", "rsi(14) <", "(close > 1", "close # 1", "macd_nope > 1", "and > 1"):
         with pytest.raises(ValueError):
-            backtest.compile_strategy(_bars(spark, [1.0]), bad)
+            strategy_language.evaluate(bad, _bars(spark, [1.0]))
