@@ -188,6 +188,11 @@ def strategy_payoff(grid: DataFrame, legs: list[PayoffLeg]) -> DataFrame:
     return _summed(grid, _over_legs(grid, legs), payoff=F.col("scale") * gain)
 
 
+def leg_payoff(grid: DataFrame, instrument: str = "option", **terms) -> DataFrame:
+    """payoff of one option, future or stock."""
+    return strategy_payoff(grid, [PayoffLeg(instrument, **terms)])
+
+
 def strategy_value(grid: DataFrame, legs: list[PayoffLeg]) -> DataFrame:
     """value before expiry, with options by Black, Scholes and Merton, for each row of grid."""
     rows = apply_stages(_over_legs(grid, legs), bsm())

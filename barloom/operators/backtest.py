@@ -55,12 +55,13 @@ def equity_with_commission(cost: float) -> Stages:
 
 
 def metrics_sql(table: str, periods: float = 252.0, rf: float = 0.0) -> str:
-    """One row per key from (key, ts, strategy_return, bar_return, equity); the same text for any engine."""
-    per = rf / periods
+    """One row per key from (key, ts, strategy_return, bar_return, equity), with those of the benchmark (bar_return); ratios without a
+    denominator are 0, but NULL where they would be infinite."""
+    per, root = rf / periods, periods**0.5
     return f"""
 WITH a AS (SELECT key, ts, strategy_return AS r, bar_return AS b, equity AS e, max(equity) {CUM} AS peak, count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY strategy_return) AS nth,
  avg(strategy_return) OVER (PARTITION BY key) AS mean, stddev_pop(strategy_return) OVER (PARTITION BY key) AS sd, row_number() {L} AS pos FROM {table}),
-b AS (SELECT *, (e - peak) / peak AS dd, CASE WHEN lag(peak) {L} = peak THEN 0 ELSE 1 END AS high FROM a),
+b AS (SELECT *, (e - peak) / peak AS dd, CASE WHEN lag(peak) {L} = peak THEN 0 ELSE 1 END AS high, CASE WHEN (r <> 0) <> (lag(r) {L} <> 0) THEN 1 ELSE 0 END AS flip FROM a),
 c AS (SELECT *, sum(high) {CUM} AS spell FROM b),
 spells AS (SELECT key, spell, sum(CASE WHEN dd < 0 THEN 1 ELSE 0 END) AS len FROM c GROUP BY key, spell),
 longest AS (SELECT key, max(len) AS max_len, coalesce(avg(CASE WHEN len > 0 THEN len END), 0.0) AS avg_len FROM spells GROUP BY key),
@@ -69,13 +70,34 @@ m AS (SELECT key, max(n) AS n, max(CASE WHEN pos = n THEN e END) / max(CASE WHEN
  avg(CASE WHEN sd > 0 THEN power((r - mean) / sd, 3) ELSE 0 END) AS skewness, avg(CASE WHEN sd > 0 THEN power((r - mean) / sd, 4) ELSE 3 END) - 3 AS kurtosis,
  sum(CASE WHEN r <> 0 THEN 1 ELSE 0 END) AS n_active, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS wins, coalesce(avg(CASE WHEN r > 0 THEN r END), 0.0) AS avg_win, coalesce(avg(CASE WHEN r < 0 THEN r END), 0.0) AS avg_loss,
  sum(CASE WHEN r > 0 THEN r ELSE 0 END) AS won, -sum(CASE WHEN r < 0 THEN r ELSE 0 END) AS lost, sum(CASE WHEN r > {per} THEN r - {per} ELSE 0 END) AS above, sum(CASE WHEN r <= {per} THEN {per} - r ELSE 0 END) AS below,
- max(CASE WHEN nth = floor(n * 0.05) + 1 THEN r END) AS p5, max(CASE WHEN nth = floor(n * 0.95) + 1 THEN r END) AS p95, max(r) AS best, min(r) AS worst, covar_pop(r, b) AS cov, var_pop(b) AS var_b, stddev_pop(r - b) AS te FROM c GROUP BY key),
-k AS (SELECT m.*, longest.max_len, longest.avg_len, power(growth, {periods} / n) - 1 AS cagr, sd * {periods**0.5!r} AS vol FROM m JOIN longest ON m.key = longest.key)
-SELECT key, round(growth - 1, 6) AS total_return, round(cagr, 6) AS cagr, round(vol, 6) AS annualized_vol, round((cagr - {rf}) / nullif(vol, 0), 6) AS sharpe, round((cagr - {rf}) / nullif(down * {periods**0.5!r}, 0), 6) AS sortino,
- round(cagr / nullif(abs(max_dd), 0), 6) AS calmar, round(max_dd, 6) AS max_drawdown, round(avg_dd, 6) AS avg_drawdown, max_len AS max_drawdown_bars, round(avg_len, 6) AS avg_drawdown_bars, round(ulcer, 6) AS ulcer_index,
- round(above / nullif(below, 0), 6) AS omega_ratio, round(cast(wins AS DOUBLE) / nullif(n_active, 0), 6) AS win_rate, round(won / nullif(lost, 0), 6) AS profit_factor, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss,
- round(abs(p95) / nullif(abs(p5), 0), 6) AS tail_ratio, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(best, 6) AS best_bar, round(worst, 6) AS worst_bar, n_active AS n_trades,
- round(cov / nullif(var_b, 0), 6) AS beta, round(te * {periods**0.5!r}, 6) AS tracking_error FROM k"""
+ max(CASE WHEN nth = floor(n * 0.05) + 1 THEN r END) AS p5, max(CASE WHEN nth = floor(n * 0.95) + 1 THEN r END) AS p95, max(r) AS best, min(r) AS worst, covar_pop(r, b) AS cov, var_pop(b) AS var_b, stddev_pop(r - b) AS te,
+ sum(flip) AS flips, CASE WHEN min(1 + b) > 0 THEN exp(sum(CASE WHEN b > -1 THEN ln(1 + b) END)) END AS b_growth FROM c GROUP BY key),
+k AS (SELECT m.*, longest.max_len, longest.avg_len, CASE WHEN growth > 0 THEN power(growth, {periods} / n) - 1 ELSE 0.0 END AS cagr, sd * {root!r} AS vol, power(b_growth, {periods} / n) - 1 AS b_cagr, sqrt(var_b) * {root!r} AS b_vol,
+ coalesce(cast(wins AS DOUBLE) / nullif(n_active, 0), 0.0) AS win_rate FROM m JOIN longest ON m.key = longest.key)
+SELECT key, round(growth - 1, 6) AS total_return, round(cagr, 6) AS cagr, round(vol, 6) AS annualized_vol, round(coalesce((cagr - {rf}) / nullif(vol, 0), 0.0), 6) AS sharpe, round(coalesce((cagr - {rf}) / nullif(down * {root!r}, 0), 0.0), 6) AS sortino,
+ round(coalesce(cagr / nullif(abs(max_dd), 0), 0.0), 6) AS calmar, round(max_dd, 6) AS max_drawdown, round(avg_dd, 6) AS avg_drawdown, cast(max_len AS BIGINT) AS max_drawdown_bars, round(avg_len, 6) AS avg_drawdown_bars, round(ulcer, 6) AS ulcer_index,
+ round(above / nullif(below, 0), 6) AS omega_ratio, round(win_rate, 6) AS win_rate, round(won / nullif(lost, 0), 6) AS profit_factor, round(win_rate * avg_win - (1 - win_rate) * abs(avg_loss), 6) AS r_expectancy, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss,
+ round(abs(p95) / nullif(abs(p5), 0), 6) AS tail_ratio, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(best, 6) AS best_bar, round(worst, 6) AS worst_bar, cast(n_active AS BIGINT) AS n_trades, cast(flips AS BIGINT) AS n_position_changes,
+ round(b_growth - 1, 6) AS benchmark_total_return, round(b_cagr, 6) AS benchmark_cagr, round(b_vol, 6) AS benchmark_annualized_vol, round(coalesce((b_cagr - {rf}) / nullif(b_vol, 0), 0.0), 6) AS benchmark_sharpe,
+ round(cagr - b_cagr, 6) AS alpha, round(coalesce(cov / nullif(var_b, 0), 0.0), 6) AS beta, round(te * {root!r}, 6) AS tracking_error, round(coalesce((cagr - b_cagr) / nullif(te * {root!r}, 0), 0.0), 6) AS information_ratio FROM k"""
+
+
+def metrics_apart_sql(base: str) -> str:
+    """The same metrics (252 periods, no risk-free rate) from lists of each key's returns and from subqueries over its past, to compare with."""
+    return f"""WITH t AS MATERIALIZED (SELECT key, strategy_return AS r, bar_return AS b, equity AS e, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM ({base})),
+ d AS MATERIALIZED (SELECT t.*, (SELECT max(x.e) FROM t x WHERE x.key = t.key AND x.i <= t.i) AS top, (SELECT x.r FROM t x WHERE x.key = t.key AND x.i = t.i - 1) AS r0 FROM t),
+ s AS (SELECT key, top, count(*) AS len FROM d WHERE e < top GROUP BY key, top), sl AS (SELECT key, max(len) AS longest, avg(len) AS mean_len FROM s GROUP BY key),
+ l AS (SELECT key, count(*) AS n, list_sort(list(r)) AS rs, arg_max(e, i) / arg_min(e, i) AS g, product(1 + b) AS bg, avg(r) AS m, list_var_pop(list(r)) AS v, list_var_pop(list(b)) AS vb, avg(r * b) - avg(r) * avg(b) AS cov, list_var_pop(list(r - b)) AS ve,
+  min(e / top - 1) AS dd, avg(e / top - 1) FILTER (e < top) AS add_, avg(power(e / top - 1, 2)) AS u, count(*) FILTER ((r <> 0) <> (r0 <> 0)) AS flips FROM d GROUP BY key),
+ q AS (SELECT l.*, list_filter(rs, lambda x: x > 0) AS w, list_filter(rs, lambda x: x < 0) AS z, list_aggregate(list_transform(rs, lambda x: power(least(x, 0), 2)), 'avg') AS dv, list_aggregate(list_transform(rs, lambda x: power(x - m, 3)), 'avg') AS m3,
+  list_aggregate(list_transform(rs, lambda x: power(x - m, 4)), 'avg') AS m4, CASE WHEN g > 0 THEN power(g, 252.0 / n) - 1 ELSE 0 END AS c, power(bg, 252.0 / n) - 1 AS bc FROM l),
+ p AS (SELECT *, len(w) / (len(w) + len(z)) AS wr, sqrt(v * 252) AS vol, sqrt(vb * 252) AS bvol, sqrt(ve * 252) AS te FROM q)
+ SELECT key, round(g - 1, 6) AS total_return, round(c, 6) AS cagr, round(vol, 6) AS annualized_vol, round(c / vol, 6) AS sharpe, round(c / sqrt(dv * 252), 6) AS sortino, round(c / -dd, 6) AS calmar, round(dd, 6) AS max_drawdown, round(add_, 6) AS avg_drawdown,
+ cast(longest AS BIGINT) AS max_drawdown_bars, round(mean_len, 6) AS avg_drawdown_bars, round(sqrt(u), 6) AS ulcer_index, round(list_sum(w) / -list_sum(z), 6) AS omega_ratio, round(wr, 6) AS win_rate, round(list_sum(w) / -list_sum(z), 6) AS profit_factor,
+ round(wr * list_avg(w) + (1 - wr) * list_avg(z), 6) AS r_expectancy, round(list_avg(w), 6) AS avg_win, round(list_avg(z), 6) AS avg_loss, round(abs(rs[1 + cast(floor(n * 0.95) AS INT)]) / abs(rs[1 + cast(floor(n * 0.05) AS INT)]), 6) AS tail_ratio,
+ round(m3 / power(v, 1.5), 6) AS skewness, round(m4 / (v * v) - 3, 6) AS kurtosis, round(list_max(rs), 6) AS best_bar, round(list_min(rs), 6) AS worst_bar, cast(len(w) + len(z) AS BIGINT) AS n_trades, cast(flips AS BIGINT) AS n_position_changes,
+ round(bg - 1, 6) AS benchmark_total_return, round(bc, 6) AS benchmark_cagr, round(bvol, 6) AS benchmark_annualized_vol, round(bc / bvol, 6) AS benchmark_sharpe, round(c - bc, 6) AS alpha, round(cov / vb, 6) AS beta, round(te, 6) AS tracking_error,
+ round((c - bc) / te, 6) AS information_ratio FROM p JOIN sl USING (key)"""
 
 
 # Knuth's 64-bit linear congruential generator and the multiplier that parts the simulations.
@@ -170,7 +192,7 @@ def register(add, src) -> None:
         f"SELECT key, ts, {', '.join(rounded(cols))} FROM ({grown})")
 
     add("bt_commission", lambda s, d: apply_stages(prepared(s, d), equity_with_commission(0.001)).selectExpr("key", "ts", *rounded(cols)), f"WITH RECURSIVE b AS MATERIALIZED ({base}), r(key, bar, e) AS (SELECT key, bar, 1 + strategy_return - 0.001 * changed FROM b WHERE bar = 0 UNION ALL SELECT b.key, b.bar, r.e * (1 + b.strategy_return) - 0.001 * b.changed FROM r JOIN b ON b.key = r.key AND b.bar = r.bar + 1) SELECT key, ts, {', '.join(rounded(cols[:3]))}, {fixed('r.e')} AS equity FROM r JOIN b USING (key, bar)")
-    add("bt_metrics", lambda s, d: s.sql(metrics_sql("{t}"), t=apply_stages(prepared(s, d), EQUITY)), metrics_sql(f"({grown})"))
+    add("bt_metrics", lambda s, d: s.sql(metrics_sql("{t}"), t=apply_stages(prepared(s, d), EQUITY)), metrics_apart_sql(grown))
     worst = f"WITH RECURSIVE {paths_sql(f'SELECT key, bar, strategy_return FROM ({base})', 50, 42, 5)}, d AS (SELECT *, e / max(e) OVER (PARTITION BY key, sim ORDER BY pos) - 1 AS dd, count(*) OVER (PARTITION BY key, sim) - 1 AS last FROM paths)"
     add("bt_monte_carlo", lambda s, d: monte_carlo(prepared(s, d)).selectExpr("key", "sim", f"{fixed('final_equity')} AS final_equity", f"{fixed('worst_drawdown')} AS worst_drawdown"),
         f"{worst} SELECT key, sim, {fixed('max(CASE WHEN pos = last THEN e END)')} AS final_equity, {fixed('min(dd)')} AS worst_drawdown FROM d GROUP BY key, sim")

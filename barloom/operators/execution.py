@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
@@ -104,6 +104,12 @@ def run_account(bars: DataFrame, rules: Rules, limit: str | None = None) -> Data
     return bars.groupBy("key").applyInPandas(run, StructType([*kept, *[StructField(x, DoubleType()) for x in names]]))
 
 
+def nan_to_num(c: Column) -> Column:
+    """0 for missing values, the greatest and least double for infinite ones."""
+    most = float(np.finfo(float).max)
+    return F.when(c.isNull() | F.isnan(c), 0.0).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), c)))
+
+
 # A trade lasts while the position keeps its side; the bar that closes it is the first of the next run, or the series' last bar.
 _END = "lead({0}) OVER (PARTITION BY key ORDER BY ts)"
 TRADE_STAGES: Stages = [

@@ -172,6 +172,16 @@ def chunk_ranges(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(max(0, a - overlap), min(n, a + size)) for a in range(0, n, size)]
 
 
+def trim_overlap(rows: list, overlap: int) -> list:
+    """A chunk's own rows, in the driver's lists."""
+    return rows[overlap:] if overlap > 0 else list(rows)
+
+
+def batch_apply(df: DataFrame, f, columns: list[str]) -> DataFrame:
+    """df with f applied to each of the columns: f takes a column (of a plan, not of values) and gives one."""
+    return df.withColumns({c: f(F.col(c)) for c in columns})
+
+
 def split_chunks(bars: DataFrame, size: int, overlap: int) -> DataFrame:
     """bars with chunk, and `own`, which is false for the rows that a chunk has from the one before."""
     if size < 1 or not 0 <= overlap <= size:

@@ -320,6 +320,17 @@ def test_many_indicators_in_one_plan(spark):
         features.unregister_indicator("TWICE")
 
 
+def test_small_helpers(spark):
+    df = spark.createDataFrame([(NAN, 1.0), (None, 2.0), (float("inf"), 3.0), (-2.5, 4.0)], "x double, y double")
+    most = float(np.finfo(float).max)
+    assert [r.x for r in df.select(execution.nan_to_num(F.col("x")).alias("x")).collect()] == [0.0, 0.0, most, -2.5]
+    assert [r.y for r in features.batch_apply(df, lambda c: c * 2, ["y"]).collect()] == [2.0, 4.0, 6.0, 8.0]
+    assert features.trim_overlap([1, 2, 3], 1) == [2, 3] and features.trim_overlap([1], 0) == [1]
+    grid = spark.createDataFrame([(90.0,), (110.0,)], "spot double")
+    assert [r.payoff for r in O.leg_payoff(grid, "future", entry_price=100.0, side="short", quantity=2.0).orderBy("spot").collect()] == [20.0, -20.0]
+    assert [r.payoff for r in O.leg_payoff(grid, strike=100.0, premium=3.0).orderBy("spot").collect()] == [-3.0, 7.0]
+
+
 def test_defaults():
     config.reset()
     with config.Config(timeperiod=20, RSI__timeperiod=7):
