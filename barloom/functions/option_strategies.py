@@ -7,7 +7,8 @@ the driver: they are a constant array that grid points are exploded over, so not
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
+from datetime import date
 from enum import StrEnum
 
 from pyspark.sql import Column, DataFrame
@@ -207,12 +208,13 @@ def aggregate_greeks(grid: DataFrame, legs: list[PayoffLeg]) -> DataFrame:
     return _summed(grid, rows, **{g: F.col("scale") * F.when(option, F.col(g)).otherwise(float(g == "delta")) for g in ("delta", "gamma", "vega", "theta", "rho")})
 
 
+# The names of selectors, presets and modes, and the fields of their records.
 class ExpirySelectorKind(StrEnum):
     CURRENT_WEEK = "current_week"
     NEXT_WEEK = "next_week"
     CURRENT_MONTH = "current_month"
     NEXT_MONTH = "next_month"
-    EXPLICIT = "explicit"
+    EXPLICIT_DATE = "explicit_date"
 
 
 class StrikeSelectorKind(StrEnum):
@@ -237,29 +239,48 @@ class RiskMode(StrEnum):
     COMBINED_PNL = "combined_pnl"
 
 
+def _not_negative(record) -> None:
+    bad = [k for k, v in asdict(record).items() if isinstance(v, (int, float)) and v < 0]
+    if bad:
+        raise ParameterError(f"{', '.join(bad)} must not be negative")
+
+
 @dataclass(frozen=True)
 class ExpirySelector:
     kind: ExpirySelectorKind = ExpirySelectorKind.CURRENT_MONTH
-    explicit: str | None = None
+    explicit_date: date | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "kind", ExpirySelectorKind(self.kind))
-        if (self.kind is ExpirySelectorKind.EXPLICIT) != bool(self.explicit):
+        if (self.kind is ExpirySelectorKind.EXPLICIT_DATE) != (self.explicit_date is not None):
             raise ParameterError("an explicit expiry, and only that, has a date")
 
+    def pick(self, expiries: list[date], today: date) -> date:
+        """The expiry that is meant: a week or month is that of its last one, and moves on once it has passed."""
+        ahead = sorted(e for e in expiries if e >= today)
+        if self.explicit_date is not None:
+            ahead = [e for e in ahead if e == self.explicit_date]
+        elif "month" in self.kind:
+            months: dict[tuple[int, int], date] = {(e.year, e.month): e for e in ahead}
+            ahead = list(months.values())
+        at = 1 if self.kind.startswith("next") else 0
+        if len(ahead) <= at:
+            raise ParameterError(f"there is no expiry {self.kind}")
+        return ahead[at]
+
 
 @dataclass(frozen=True)
 class StrikeSelector:
     kind: StrikeSelectorKind = StrikeSelectorKind.ATM
     steps: int = 0
     delta: float | None = None
-    strike: float | None = None
+    explicit_strike: float | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "kind", StrikeSelectorKind(self.kind))
-        need = {StrikeSelectorKind.ITM: self.steps > 0, StrikeSelectorKind.OTM: self.steps > 0, StrikeSelectorKind.DELTA: self.delta is not None and 0 < abs(self.delta) < 1, StrikeSelectorKind.EXPLICIT: (self.strike or 0) > 0}
-        if not need.get(self.kind, True):
-            raise ParameterError(f"a strike selector {self.kind} needs its steps, delta or strike")
+        need = {StrikeSelectorKind.DELTA: self.delta is not None, StrikeSelectorKind.EXPLICIT: (self.explicit_strike or 0) > 0}
+        if self.steps < 0 or not need.get(self.kind, True) or (self.delta is not None and not 0 < abs(self.delta) < 1):
+            raise ParameterError(f"a strike selector {self.kind} needs steps of 0 or more, a delta within 1, or a strike above 0")
 
     @property
     def text(self) -> str:
@@ -268,45 +289,55 @@ class StrikeSelector:
 
 @dataclass(frozen=True)
 class RiskControl:
-    stop_loss: float | None = None
-    target: float | None = None
-    trailing_stop: float | None = None
+    stop_loss_type: str | None = None
+    stop_loss_value: float | None = None
+    target_type: str | None = None
+    target_value: float | None = None
+    trailstop_type: str | None = None
+    trailstop_value: float | None = None
+    breakeven_trigger: float | None = None
 
     def __post_init__(self) -> None:
-        if any(v is not None and not v > 0 for v in asdict(self).values()):
-            raise ParameterError("risk controls must be above 0")
+        _not_negative(self)
 
 
 @dataclass(frozen=True)
 class SimulationLimits:
-    max_legs: int = 8
-    max_open_positions: int = 1
-    max_reentries: int = 0
+    max_premium_outlay: float | None = None
+    max_loss_per_trade: float | None = None
+    daily_max_drawdown: float | None = None
+    cooldown_bars: int = 0
+    reentry_allowed: bool = True
 
     def __post_init__(self) -> None:
-        if self.max_legs < 1 or self.max_open_positions < 1 or self.max_reentries < 0:
-            raise ParameterError("limits allow a leg and a position at least")
+        _not_negative(self)
 
 
 @dataclass(frozen=True)
 class StrategyLeg:
     underlying: str
-    expiry: ExpirySelector
-    strike: StrikeSelector
-    option_type: str
-    side: str
-    quantity: float = 1.0
+    expiry_selector: ExpirySelector | None = None
+    strike_selector: StrikeSelector | None = None
+    option_type: str | None = None
+    side: str = "long"
+    quantity: float = 1
+    instrument: str = "option"
+    premium_limit: float | None = None
 
     def __post_init__(self) -> None:
-        if self.option_type not in ("call", "put") or self.side not in ("long", "short") or not self.quantity > 0:
-            raise ParameterError("a leg is a call or put, long or short, of a quantity above 0")
+        if not self.underlying or self.side not in ("long", "short") or not self.quantity or self.instrument not in ("option", "future", "stock"):
+            raise ParameterError("a leg has an underlying, a side (long or short), a quantity and an instrument (option, future or stock)")
+        if self.instrument == "option" and (self.option_type not in ("call", "put") or self.expiry_selector is None or self.strike_selector is None):
+            raise ParameterError("an option is a call or put with an expiry and a strike")
+        if (self.premium_limit or 0) < 0:
+            raise ParameterError("premium_limit must not be negative")
 
 
 @dataclass(frozen=True)
 class DerivativesStrategy:
     name: str
-    preset: LegPreset
-    legs: tuple[StrategyLeg, ...]
+    preset: LegPreset = LegPreset.CUSTOM
+    legs: tuple[StrategyLeg, ...] = ()
     risk_controls: RiskControl = field(default_factory=RiskControl)
     risk_mode: RiskMode = RiskMode.COMBINED_PNL
     commission: float = 0.0
@@ -317,8 +348,8 @@ class DerivativesStrategy:
     def __post_init__(self) -> None:
         object.__setattr__(self, "preset", LegPreset(self.preset))
         object.__setattr__(self, "risk_mode", RiskMode(self.risk_mode))
-        if not self.legs or len(self.legs) > self.limits.max_legs:
-            raise ParameterError(f"a strategy has 1 to {self.limits.max_legs} legs")
+        if not self.name or not self.legs:
+            raise ParameterError("a strategy has a name and a leg at least")
         if min(self.commission, self.slippage, self.spread_assumption) < 0:
             raise ParameterError("costs must not be negative")
 
@@ -351,9 +382,9 @@ def legs_of(strategy: DerivativesStrategy, chain: DataFrame, t: float) -> list[P
     out = []
     for leg in strategy.legs:
         is_call = leg.option_type == "call"
-        strike = leg.strike.strike if leg.strike.kind is StrikeSelectorKind.EXPLICIT else (select_strike(one, leg.strike.text, is_call).first() or [None, None])[1]
+        strike = leg.strike_selector.explicit_strike if leg.strike_selector.kind is StrikeSelectorKind.EXPLICIT else (select_strike(one, leg.strike_selector.text, is_call).first() or [None, None])[1]
         if strike is None:
-            raise ParameterError(f"the chain has no strike {leg.strike.text}")
+            raise ParameterError(f"the chain has no strike {leg.strike_selector.text}")
         row = apply_stages(one.filter(F.col("strike") == strike).withColumn("is_call", F.lit(int(is_call))), bsm()).first()
         out.append(PayoffLeg("option", leg.side, leg.option_type, float(strike), float(row["price"]), 0.0, leg.quantity, 1.0, float(t), float(row["vol"]), float(row["rate"]), float(row["carry"])))
     return out

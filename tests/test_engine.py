@@ -3,7 +3,7 @@
 import math
 import random
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import duckdb
 import numpy as np
@@ -473,12 +473,21 @@ def test_strikes_and_presets(spark):
     assert credit > 0 and pay == pytest.approx({60.0: credit - 10, 100.0: credit, 150.0: credit - 10})
     now = O.strategy_value(spark.createDataFrame([(101.0,)], "spot double"), legs).first().value
     assert now == pytest.approx(0, abs=1e-9)
-    for bad in (lambda: O.build_strategy_preset("custom", name="n", underlying="u", expiry_selector=expiry), lambda: O.StrikeSelector("otm"), lambda: O.ExpirySelector("explicit"), lambda: O.RiskControl(stop_loss=0), lambda: O.SimulationLimits(0),
+    for bad in (lambda: O.build_strategy_preset("custom", name="n", underlying="u", expiry_selector=expiry), lambda: O.StrikeSelector("otm", steps=-1), lambda: O.ExpirySelector("explicit_date"), lambda: O.RiskControl(stop_loss_value=-1.0), lambda: O.SimulationLimits(cooldown_bars=-1),
                 lambda: O.StrategyLeg("u", expiry, O.StrikeSelector(), "call", "flat"), lambda: O.PayoffLeg("bond"), lambda: O.PayoffLeg(strike=0), lambda: replace(condor, commission=-1), lambda: O.StrikeSelector("delta", delta=2)):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_expiries():
+    days = [date(2024, 1, 4), date(2024, 1, 11), date(2024, 1, 25), date(2024, 2, 1), date(2024, 2, 29)]
+    pick = lambda kind, today, **kw: O.ExpirySelector(kind, **kw).pick(days, today)
+    assert [pick(k, date(2024, 1, 5)) for k in ("current_week", "next_week", "current_month", "next_month")] == [days[1], days[2], days[2], days[4]]
+    assert pick("current_month", date(2024, 1, 26)) == days[4] and pick("explicit_date", date(2024, 1, 1), explicit_date=days[3]) == days[3]
+    with pytest.raises(ValueError):
+        pick("next_month", date(2024, 2, 2))
+
+
 def test_greeks_are_slopes(spark):
     df = spark.createDataFrame([(100.0, float(k), 0.03, 0.0, 0.5, 0.25, c) for k in (90, 100, 115) for c in (0, 1)], "spot double, strike double, rate double, carry double, t double, vol double, is_call int")
     from barloom.plans.staged import apply_stages
