@@ -174,6 +174,14 @@ def walk_forward(bars: DataFrame, train: int, test: int, step: int = 0, anchored
     return sized.selectExpr("key", "fold", f"{start} AS train_start", f"fold * {step} + {train} AS train_end", f"fold * {step} + {train} AS test_start", f"fold * {step} + {train + test} AS test_end")
 
 
+def plan_sql(bars: str) -> str:
+    """Crossings of averages and their returns with five basis points of slippage, from joins with the bars before."""
+    mean = lambda p: f"(SELECT avg(x.close) FROM b x WHERE x.key = t.key AND x.bar > t.bar - {p} AND x.bar <= t.bar)"
+    return f"""WITH b AS MATERIALIZED ({bars}), s AS MATERIALIZED (SELECT t.*, CASE WHEN bar >= 29 THEN CASE WHEN {mean(10)} > {mean(30)} THEN 0.02 ELSE -0.02 END END AS signal FROM b t)
+ SELECT s.key, s.ts, s.bar, s.close, s.signal, coalesce(p.signal, 0.0) AS position, coalesce(s.close / p.close - 1, 0.0) AS bar_return, coalesce(p.signal, 0.0) * coalesce(s.close / p.close - 1, 0.0) - CASE WHEN p.bar IS NOT NULL AND coalesce(p.signal, 0.0) <> coalesce(q.signal, 0.0) THEN 0.0005 ELSE 0 END AS strategy_return,
+ CASE WHEN p.bar IS NOT NULL AND coalesce(p.signal, 0.0) <> coalesce(q.signal, 0.0) THEN 1 ELSE 0 END AS changed FROM s LEFT JOIN s p ON p.key = s.key AND p.bar = s.bar - 1 LEFT JOIN s q ON q.key = s.key AND q.bar = s.bar - 2"""
+
+
 def register(add, src) -> None:
     bars, BARS = src["bars"], src["BARS"]
     plan = [*signals(), *returns(5.0)]
@@ -181,12 +189,8 @@ def register(add, src) -> None:
     def prepared(s, d):
         return apply_stages(bars(s, d), plan)
 
-    base = BARS
-    for st in plan:
-        base = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in st.items())} FROM ({base})"
-    grown = base
-    for st in EQUITY:
-        grown = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in st.items())} FROM ({grown})"
+    base = plan_sql(BARS)
+    grown = f"SELECT *, product(1 + strategy_return) OVER (PARTITION BY key ORDER BY ts) AS equity FROM ({base})"
     cols = ["position", "bar_return", "strategy_return", "equity"]
     add("bt_close_only", lambda s, d: apply_stages(prepared(s, d), EQUITY).selectExpr("key", "ts", *rounded(cols)),
         f"SELECT key, ts, {', '.join(rounded(cols))} FROM ({grown})")

@@ -418,9 +418,16 @@ def register(add, src) -> None:
  g AS (SELECT ts, r, product(1 + r) OVER (ORDER BY ts) AS v FROM f) SELECT ts, {fixed('r', 6)} AS portfolio_return, {fixed('v')} AS portfolio_equity FROM g""")
 
     def searched(s, d):
-        return walk_forward_search(bars(s, d), [(5, 20), (10, 30), (3, 10)], 250, 100)[0].selectExpr("key", "fold", "fast", "slow", f"{fixed('score')} AS score")
+        return walk_forward_search(bars(s, d), [(5, 20), (10, 30), (3, 10)], 250, 100)[0].selectExpr("key", "fold", "fast", "slow", f"{fixed('least(score, 1e6)')} AS score")
 
-    add("bt_walk_forward_search", searched)
+    mean = lambda p: f"(SELECT avg(x.close) FROM b x WHERE x.key = t.key AND x.bar > t.bar - {p} AND x.bar <= t.bar) AS m{p}"
+    pick = lambda c: f"CASE {c} {' '.join(f'WHEN {p} THEN m{p}' for p in (3, 5, 10, 20, 30))} END"
+    add("bt_walk_forward_search", searched, f"""WITH b AS MATERIALIZED (SELECT key, ts, bar, close FROM ({BARS})), m AS MATERIALIZED (SELECT t.*, {', '.join(mean(p) for p in (3, 5, 10, 20, 30))} FROM b t), g(param, fast, slow) AS (VALUES (0, 5, 20), (1, 10, 30), (2, 3, 10)),
+ f AS (SELECT key, unnest(range(0, cast(floor((n - 350) / 100) AS BIGINT) + 1)) AS fold FROM (SELECT key, count(*) AS n FROM b GROUP BY key) WHERE n >= 350),
+ s AS MATERIALIZED (SELECT m.key, fold, param, fast, slow, bar - 100 * fold AS at_, close, CASE WHEN bar - 100 * fold >= slow - 1 THEN CASE WHEN {pick('fast')} > {pick('slow')} THEN 1.0 ELSE -1.0 END ELSE 0.0 END AS s FROM m JOIN f ON f.key = m.key AND bar >= 100 * fold AND bar < 100 * fold + 250, g),
+ r AS (SELECT a.key, a.fold, a.param, a.fast, a.slow, coalesce(p.s * (a.close / p.close - 1), 0.0) AS r FROM s a LEFT JOIN s p ON p.key = a.key AND p.fold = a.fold AND p.param = a.param AND p.at_ = a.at_ - 1),
+ k AS (SELECT key, fold, param, fast, slow, product(1 + r) AS g, sqrt(list_var_pop(list(r)) * 252) AS v, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT *, round(coalesce(CASE WHEN g > 0 THEN power(g, 252.0 / n) - 1 ELSE 0 END / nullif(v, 0), 0), 6) AS score FROM k),
+ o AS (SELECT *, row_number() OVER (PARTITION BY key, fold ORDER BY score DESC, param) AS nth FROM c) SELECT key, fold, cast(fast AS INTEGER) AS fast, cast(slow AS INTEGER) AS slow, {fixed('least(score, 1e6)')} AS score FROM o WHERE nth = 1""")
 
     def bands(s, d):
         workers_import(s)
@@ -429,4 +436,8 @@ def register(add, src) -> None:
         plan = apply_stages(apply_stages(bars(s, d), [*signals(), *returns(5.0)]), EQUITY)
         return bootstrap_bands(plan.filter("bar < 200"), 40)[1].selectExpr("key", *[f"round({c}, 6) AS {c}" for c in ("var", "cvar", "prob_profit")])
 
-    add("bt_bootstrap_risk", bands)
+    from barloom.operators.backtest import paths_sql, plan_sql
+
+    paths = paths_sql(f"SELECT key, bar, strategy_return FROM ({plan_sql(BARS)}) WHERE bar < 200", 40, 42, 5)
+    add("bt_bootstrap_risk", bands, f"""WITH RECURSIVE {paths}, e AS (SELECT key, e FROM paths WHERE pos = 199), q AS (SELECT key, quantile_cont(e, {1 - 0.95!r}) AS var FROM e GROUP BY key)
+ SELECT key, round(any_value(var), 6) AS var, round(avg(e) FILTER (e <= var), 6) AS cvar, round(avg(CASE WHEN e > 1 THEN 1.0 ELSE 0.0 END), 6) AS prob_profit FROM e JOIN q USING (key) GROUP BY key""")
