@@ -22,7 +22,20 @@ from barloom.workers import workers_import
 NAN = float("nan")
 
 
-class SMA:
+class Stepper:
+    """Remembers what it was made with, so that it can start anew."""
+
+    def __new__(cls, *args, **params):
+        made = super().__new__(cls)
+        made._made = (args, params)
+        return made
+
+    def reset(self) -> None:
+        args, params = self._made
+        self.__init__(*args, **params)
+
+
+class SMA(Stepper):
     def __init__(self, p: int = 20):
         self.p, self.last = p, deque(maxlen=p)
 
@@ -31,7 +44,7 @@ class SMA:
         return sum(self.last) / self.p if len(self.last) == self.p else NAN
 
 
-class EMA:
+class EMA(Stepper):
     def __init__(self, p: int = 20):
         self.p, self.k, self.n, self.total, self.now = p, 2 / (p + 1), 0, 0.0, NAN
 
@@ -46,7 +59,7 @@ class EMA:
         return self.now
 
 
-class Wilder:
+class Wilder(Stepper):
     def __init__(self, p: int):
         self.p, self.n, self.now = p, 0, 0.0
 
@@ -56,7 +69,7 @@ class Wilder:
         return self.now if self.n >= self.p else NAN
 
 
-class RSI:
+class RSI(Stepper):
     def __init__(self, p: int = 14):
         self.before, self.up, self.down = None, Wilder(p), Wilder(p)
 
@@ -68,7 +81,7 @@ class RSI:
         return NAN if g != g else 0.0 if g + l == 0 else 100 * g / (g + l)
 
 
-class ATR:
+class ATR(Stepper):
     def __init__(self, p: int = 14):
         self.before, self.mean = None, Wilder(p)
 
@@ -77,7 +90,7 @@ class ATR:
         return NAN if before is None else self.mean.step(max(h - l, abs(h - before), abs(l - before)))
 
 
-class VWAP:
+class VWAP(Stepper):
     def __init__(self):
         self.value, self.volume = 0.0, 0.0
 
@@ -87,7 +100,7 @@ class VWAP:
         return self.value / self.volume if self.volume else NAN
 
 
-class BBands:
+class BBands(Stepper):
     def __init__(self, p: int = 20, up: float = 2.0, down: float = 2.0):
         self.p, self.up, self.down, self.last = p, up, down, deque(maxlen=p)
 
@@ -100,7 +113,7 @@ class BBands:
         return m + self.up * s, m, m - self.down * s
 
 
-class MACD:
+class MACD(Stepper):
     def __init__(self, fast: int = 12, slow: int = 26, signal: int = 9):
         self.fast, self.slow, self.signal = EMA(fast), EMA(slow), EMA(signal)
 
@@ -110,7 +123,7 @@ class MACD:
         return (NAN, NAN, NAN) if sig != sig else (line, sig, line - sig)
 
 
-class Stoch:
+class Stoch(Stepper):
     def __init__(self, k: int = 5, slow: int = 3, d: int = 3):
         self.high, self.low, self.slow, self.d = deque(maxlen=k), deque(maxlen=k), SMA(slow), SMA(d)
 
@@ -125,7 +138,7 @@ class Stoch:
         return (NAN, NAN) if d != d else (slow, d)
 
 
-class SuperTrend:
+class SuperTrend(Stepper):
     def __init__(self, p: int = 7, m: float = 3.0):
         self.p, self.m, self.n, self.mean, self.before, self.up, self.down, self.way = p, m, 0, Wilder(p), None, NAN, NAN, -1
 

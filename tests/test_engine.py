@@ -574,6 +574,23 @@ def test_streaming_backtest_and_paper_trader():
     assert trader.position == 0 and not trader.trades
 
 
+def test_steppers_start_anew_and_travel():
+    import pickle
+
+    from barloom.streaming.indicators import STEPPERS
+
+    g = walk(60, 12)
+    for name, (make, ins, _) in STEPPERS.items():
+        stepper, rows = make(**({"p": 5} if name in ("SMA", "EMA", "RSI", "ATR") else {})), list(zip(*(g[c] for c in ins), strict=True))
+        first = [stepper.step(*r) for r in rows]
+        stepper.reset()
+        half = [stepper.step(*r) for r in rows[:30]]
+        moved = pickle.loads(pickle.dumps(stepper))
+        np.testing.assert_array_equal(np.array(first, dtype=float), np.array(half + [moved.step(*r) for r in rows[30:]], dtype=float), err_msg=name)
+        moved.reset()
+        np.testing.assert_array_equal(np.array(moved.step(*rows[0]), dtype=float), np.array(first[0], dtype=float))
+
+
 def test_warping_paths():
     rng = np.random.default_rng(2)
     for window in (None, 4):
