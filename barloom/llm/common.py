@@ -32,7 +32,6 @@ def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it, and get rows in batches of modest size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if ROOT not in paths:

@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,19 +198,26 @@ def _find_segments(keyed: DataFrame, span: int) -> DataFrame:
     return keyed.select("id", "sig", "data").mapInArrow(lean(run), f"{KEYS}, first int, windows int, mark long, content long")
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where each row's structs begin and end, and the structs' fields for all rows; a null row has none."""
+    offsets = column.offsets.to_numpy()
+    first, last = int(offsets[0]), int(offsets[-1])
+    flat = column.values.slice(first, last - first)
+    return offsets - first, [flat.field(k) for k in range(flat.type.num_fields)]
+
+
 def _cut_out(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """The bytes of the wanted segments (id, sig, parts)."""
+    names = ["id", "sig", "first", "mark", "known", "hot", "data"]
 
     def run(batches):
         for b in batches:
-            rows, data = [], []
-            for i, sig, text, parts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                for p in parts:
-                    rows.append((i, sig, p["first"], p["mark"], p["known"], p["hot"]))
-                    data.append(text[p["first"] : p["first"] + p["windows"] + span - 1])
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)] + [pa.array(data, pa.binary())], ["id", "sig", "first", "mark", "known", "hot", "data"])
+            offsets, (first, windows, mark, known, hot) = _lists(b.column(3))
+            owner = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            texts = b.column(2).to_pylist()
+            data = [texts[i][p : p + n + span - 1] for i, p, n in zip(owner.tolist(), first.to_pylist(), windows.to_pylist(), strict=True)]
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), first, mark, known, hot, pa.array(data, pa.binary())], names)
 
     part = F.struct("first", "windows", "mark", "known", "hot")
     lists = wanted.groupBy("id", "sig").agg(F.collect_list(part).alias("parts"))
@@ -220,29 +228,40 @@ def _cut_out(keyed: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 def _sort_shards(cut: DataFrame, shards: int, span: int) -> DataFrame:
     """Repeats among the segments of each landmark: id, sig, start, size (a run of windows)."""
 
-    def run(batches):
-        rows: list[tuple] = []
-        size, mark = 0, None
-
-        def done():
-            nonlocal rows, size
-            out = []
-            for (i, sig, first, known, _), flags in zip(rows, repeated_starts([r[4] for r in rows], span), strict=True):
-                if not known and flags.any():
-                    out += [(i, sig, first + int(p), int(q - p)) for p, q in zip(*_runs(flags), strict=True)]
-            rows, size = [], 0
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "sig", "start", "windows"])
+    names = ["id", "sig", "start", "windows"]
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        known, first = rows["known"].to_numpy(), rows["first"].to_numpy()
+        who, start, size = [], [], []
+        for i, flags in enumerate(repeated_starts(rows["data"].to_pylist(), span)):
+            if not known[i] and flags.any():
+                p, q = _runs(flags)
+                who.append(np.full(len(p), i))
+                start.append(first[i] + p)
+                size.append(q - p)
+        who, start, size = (np.concatenate([*x, np.empty(0, dtype=np.int64)]).astype(np.int64) for x in (who, start, size))
+        take = pa.array(who)
+        ids = [rows[c].take(take).combine_chunks() for c in ("id", "sig")]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names)
 
+    def run(batches):
+        held, size, mark = [], 0, None
         for b in batches:
-            for i, sig, first, m, known, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if rows and m != mark and size > SHARD_BYTES // 2:
-                    yield done()
-                mark = m
-                rows.append((i, sig, first, known, data))
-                size += len(data) + 1
-        if rows:
-            yield done()
+            marks, lengths = b.column(3).to_numpy(), pa.compute.binary_length(b.column(5)).to_numpy() + 1
+            at = 0
+            # A shard ends with a landmark, once it has enough bytes.
+            ends = np.flatnonzero(np.concatenate(([mark is not None and marks[0] != mark], marks[1:] != marks[:-1]))) if len(marks) else []
+            for e in [*ends, len(marks)]:
+                if e in ends and size + int(lengths[at:e].sum()) > SHARD_BYTES // 2 and (held or e > at):
+                    held.append(b.slice(at, e - at))
+                    yield done(held)
+                    held, size, at = [], 0, e
+            held.append(b.slice(at))
+            size += int(lengths[at:].sum())
+            mark = marks[-1] if len(marks) else mark
+        if held:
+            yield done(held)
 
     dealt = cut.select("id", "sig", "first", "mark", "known", "data").repartition(shards, "mark").sortWithinPartitions("mark")
     return dealt.mapInArrow(lean(run), f"{KEYS}, start int, windows int")
@@ -300,11 +319,11 @@ def repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str = "text
     return suspects.filter("known").select("id", "sig", F.col("first").alias("start"), "windows").unionByName(found)
 
 
-def cover(data: bytes, starts: list[int], windows: list[int], span: int) -> tuple[np.ndarray, np.ndarray]:
+def cover(starts: np.ndarray, windows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal removed runs."""
     order = np.argsort(starts, kind="stable")
-    a = np.asarray(starts, dtype=np.int64)[order]
-    b = np.maximum.accumulate(a + np.asarray(windows, dtype=np.int64)[order] + span - 1)
+    a = starts[order].astype(np.int64)
+    b = np.maximum.accumulate(a + windows[order] + span - 1)
     new = np.concatenate(([True], a[1:] > b[:-1]))
     return a[new], b[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1]))]
 
@@ -326,16 +345,18 @@ def removal_digest(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
 
     def run(batches):
         for b in batches:
+            offsets, (start, windows) = _lists(b.column(2))
+            start, windows = start.to_numpy(), windows.to_numpy()
             rows = []
-            for doc_id, data, parts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for data, p, q in zip(b.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 kept, spans = data, 0
-                if parts:
-                    a, e = cover(data, [p["start"] for p in parts], [p["windows"] for p in parts], span)
+                if q > p:
+                    a, e = cover(start[p:q], windows[p:q], span)
                     kept, spans = kept_bytes(data, a, e), len(a)
-                rows.append((doc_id, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            types = [pa.int64()] * 3 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _keyed(docs, text).join(runs, ["id", "sig"], "left")
     return joined.select("doc_id", "data", "runs").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -353,11 +374,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str
     def run(batches):
         for b in batches:
             texts = b.column(at).to_pylist()
-            for k, parts in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if parts:
-                    data = texts[k].encode()
-                    a, e = cover(data, [p["start"] for p in parts], [p["windows"] for p in parts], span)
-                    texts[k] = kept_bytes(data, a, e).decode(errors="ignore")
+            offsets, (start, windows) = _lists(b.column(b.num_columns - 1))
+            start, windows = start.to_numpy(), windows.to_numpy()
+            for k in np.flatnonzero(np.diff(offsets)).tolist():
+                data = texts[k].encode()
+                a, e = cover(start[offsets[k] : offsets[k + 1]], windows[offsets[k] : offsets[k + 1]], span)
+                texts[k] = kept_bytes(data, a, e).decode(errors="ignore")
             cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
