@@ -9,7 +9,6 @@ import os
 import secrets
 import tempfile
 import uuid
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -102,22 +101,31 @@ def discard(df: DataFrame) -> None:
         delete_folder(df.sparkSession, folder)
 
 
-class WordCache(dict):
-    """What a worker knows of words, bounded by an estimate of its bytes."""
+class WordCache:
+    """What a worker knows of words, bounded by an estimate of its bytes: words of this generation and of the one before.
 
-    def __init__(self, limit: int = 64 << 20):
-        super().__init__()
-        self.limit, self.size = limit, 0
+    A generation ends when it has half of the bytes; words that are met again pass from the old to the new one, others go with the old.
+    """
 
-    def missing(self, lists: list[list], cost) -> set:
-        """The different words of the lists that aren't known; all that is known goes if they would outgrow the bound."""
-        words = set(chain.from_iterable(lists))
-        new = words.difference(self)
+    def __init__(self, limit: int = 128 << 20):
+        self.limit, self.size = limit, 0
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def begin(self) -> None:
+        """Before each chunk: what `missing` finds or `now` gets after that stays until the next."""
+        if self.size > self.limit // 2:
+            self.old, self.now, self.size = self.now, {}, 0
+
+    def missing(self, words: set, cost) -> set:
+        """Those of the words that aren't known; the others are in `now`."""
+        new = words.difference(self.now)
+        if self.old:
+            again = [w for w in new if w in self.old]
+            self.now.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            self.size += sum(map(cost, again))
+            new.difference_update(again)
         self.size += sum(map(cost, new))
-        if self.size > self.limit:
-            self.clear()
-            self.size = sum(map(cost, words))
-            return words
         return new
 
 

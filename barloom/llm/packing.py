@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ TIERS = (256, 512, 1024, 2048)
 BUFFER_TOKENS = 1 << 20
 STEP_TOKENS = 16_384
 CHUNK_BYTES = 2 << 20
+MARKS = (b".", b",")
 SHIFT = 40  # a sequence's number is its partition's number times 2**40, plus its number there
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -98,14 +100,20 @@ def _words(text: str) -> list[bytes]:
     return data.replace(b"\n", b" ").split(b" ")
 
 
-def _learn(new: set[bytes], cache: dict, path: str) -> None:
+def _cost(word: bytes) -> int:
+    return 220 + 3 * len(word)
+
+
+def _learn(words: set[bytes], cache: WordCache, path: str) -> None:
     """Ids of new words. Letters with one stop or comma behind are two pre-tokens, whose ids follow each other."""
-    marked = {w for w in new if w[-1:] in (b".", b",") and _letters(w[:-1].decode())}
-    todo = (new - marked) | {w[:-1] for w in marked} | {b".", b","}
-    for part in by_bytes(todo.difference(cache), CHUNK_BYTES // 4):
-        cache.update(zip(part, _encode_new(part, path), strict=True))
+    new = cache.missing(words, _cost)
+    marked = [w for w in new if w[-1:] in MARKS and _letters(w[:-1].decode())]
+    parts = cache.missing({w[:-1] for w in marked}.union(MARKS), _cost)
+    for part in by_bytes(parts.union(new.difference(marked)), CHUNK_BYTES // 4):
+        cache.now.update(zip(part, _encode_new(part, path), strict=True))
+    now = cache.now
     for w in marked:
-        cache[w] = cache[w[:-1]] + cache[w[-1:]]
+        now[w] = now[w[:-1]] + now[w[-1:]]
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -117,8 +125,9 @@ def token_bytes(texts: list[str], path: str, end_id: int = 1):
     end = np.array([end_id], dtype="<u4").tobytes()
     for chunk in by_bytes(texts, CHUNK_BYTES):
         cut = [_words(t) for t in chunk]
-        _learn(cache.missing(cut, lambda w: 250 + 4 * len(w)), cache, path)
-        get = cache.__getitem__
+        cache.begin()
+        _learn(set(chain.from_iterable(cut)), cache, path)
+        get = cache.now.__getitem__
         for words in cut:
             yield b"".join(map(get, words)) + end
 

@@ -256,11 +256,12 @@ def codec_digest(docs: DataFrame, model_path: str, verify: bool = True, text: st
             n_tokens, ids_sha, text_sha = [], [], []
             for chunk in by_bytes([t or "" for t in b.column(1).to_pylist()], CHUNK_BYTES):
                 cut = [cut_text(t, model_path) for t in chunk]
-                new = cache.missing(cut, lambda w: 300 + 20 * len(w if isinstance(w, str) else w[1]))
-                for part in by_bytes(new, CALL_BYTES):
-                    _learn(v, part, cache, model_path, verify)
+                cache.begin()
+                for part in by_bytes(cache.missing(set(chain.from_iterable(cut)), lambda w: 300 + 12 * len(w if isinstance(w, str) else w[1])), CALL_BYTES):
+                    _learn(v, part, cache.now, model_path, verify)
+                get = cache.now.__getitem__
                 for words in cut:
-                    known = [cache[w] for w in words]
+                    known = list(map(get, words))
                     ids = list(chain.from_iterable([k[0] for k in known]))
                     n_tokens.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join([k[1] for k in known]).encode()).hexdigest())

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,10 +121,10 @@ def count_texts(texts: list[str], path: str, cache: WordCache) -> list[int]:
     out: list[int] = []
     for chunk in by_bytes(texts, CHUNK_BYTES):
         cut = [cut_text(t, path) for t in chunk]
-        new = cache.missing(cut, lambda w: 150 + 2 * len(w if isinstance(w, str) else w[1]))
-        for call in by_bytes(new, CALL_BYTES):
-            cache.update(zip(call, map(len, encode_parts(call, path)), strict=True))
-        get = cache.__getitem__
+        cache.begin()
+        for call in by_bytes(cache.missing(set(chain.from_iterable(cut)), lambda w: 150 + len(w if isinstance(w, str) else w[1])), CALL_BYTES):
+            cache.now.update(zip(call, map(len, encode_parts(call, path)), strict=True))
+        get = cache.now.__getitem__
         out += [sum(map(get, c)) for c in cut]
     return out
 
