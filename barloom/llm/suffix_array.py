@@ -248,18 +248,21 @@ def _sort_shards(cut: DataFrame, shards: int, span: int) -> DataFrame:
     def run(batches):
         held, size, mark = [], 0, None
         for b in batches:
-            marks, lengths = b.column(3).to_numpy(), pa.compute.binary_length(b.column(5)).to_numpy() + 1
+            marks = b.column(3).to_numpy()
+            if not len(marks):
+                continue
+            upto = np.concatenate(([0], np.cumsum(pa.compute.binary_length(b.column(5)).to_numpy() + 1)))
+            ends = np.flatnonzero(np.concatenate(([bool(held) and marks[0] != mark], marks[1:] != marks[:-1])))
             at = 0
             # A shard ends with a landmark, once it has enough bytes.
-            ends = np.flatnonzero(np.concatenate(([mark is not None and marks[0] != mark], marks[1:] != marks[:-1]))) if len(marks) else []
-            for e in [*ends, len(marks)]:
-                if e in ends and size + int(lengths[at:e].sum()) > SHARD_BYTES // 2 and (held or e > at):
-                    held.append(b.slice(at, e - at))
-                    yield done(held)
-                    held, size, at = [], 0, e
+            while (k := int(np.searchsorted(upto[ends], upto[at] + SHARD_BYTES // 2 - size, side="right"))) < len(ends):
+                e = int(ends[k])
+                held.append(b.slice(at, e - at))
+                yield done(held)
+                held, size, at = [], 0, e
             held.append(b.slice(at))
-            size += int(lengths[at:].sum())
-            mark = marks[-1] if len(marks) else mark
+            size += int(upto[-1] - upto[at])
+            mark = marks[-1]
         if held:
             yield done(held)
 
