@@ -172,8 +172,8 @@ def register(add, src) -> None:
     add("ana_trade_stats", lambda s, d: trade_stats(extract_trades(positions(bars(s, d)))).selectExpr("key", *rounded(names)),
         f"SELECT key, {', '.join(rounded(names))} FROM (SELECT key, count(*) FILTER (pnl > 0) / count(*) AS win_rate, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS avg_win, coalesce(avg(pnl) FILTER (pnl < 0), 0) AS avg_loss, coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor, avg(hold) AS avg_hold FROM ({trades}) GROUP BY key)")
     scored = lambda s, d: bars(s, d).select("key", "ts", "close", "volume")
-    add("ana_screen_above", lambda s, d: screen(scored(s, d), "close", above=1700.0).selectExpr("key", "ts", "round(close, 6) AS close"), f"SELECT key, ts, round(close, 6) AS close FROM ({BARS}) WHERE close > 1700")
-    add("ana_screen_below", lambda s, d: screen(scored(s, d), "close", below=300.0).selectExpr("key", "ts", "round(close, 6) AS close"), f"SELECT key, ts, round(close, 6) AS close FROM ({BARS}) WHERE close < 300")
+    add("ana_screen_above", lambda s, d: screen(scored(s, d), "close", above=1700.0).selectExpr("key", "ts", *rounded(["close"])), f"SELECT key, ts, {fixed('close')} AS close FROM ({BARS}) WHERE close > 1700")
+    add("ana_screen_below", lambda s, d: screen(scored(s, d), "close", below=300.0).selectExpr("key", "ts", *rounded(["close"])), f"SELECT key, ts, {fixed('close')} AS close FROM ({BARS}) WHERE close < 300")
     add("ana_compose_mean", lambda s, d: compose(scored(s, d), ["close", "volume"], method="mean").selectExpr("key", "ts", *rounded(["composed"])), f"SELECT key, ts, {fixed('close / 2 + volume / 2')} AS composed FROM ({BARS})")
     add("ana_month_buckets", lambda s, d: attribution_by_month(positions(bars(s, d)), dated=False).selectExpr("key", "month", "round(contribution, 6) AS contribution"),
         f"SELECT key, cast(bar // 21 AS VARCHAR) AS month, round(sum(ret), 6) AS contribution FROM ({_sql_positions(BARS)}) GROUP BY 1, 2")

@@ -345,11 +345,11 @@ RULES_FULL = Rules(
     trailing_stop_pct=0.061237, breakeven_pct=0.021237, stop_loss_pct=0.081237, slippage_pct_range=0.0012371, margin_ratio=0.2, margin_call_pct=0.6, daily_loss_limit=0.5, total_loss_limit=0.95,
     commission=replace(Commission.preset("equity_intraday_india"), spread_bps=2.0, short_borrow_rate_annual=0.02),
 )
-_SIZED = "CASE WHEN bar >= 29 THEN CASE WHEN avg(close) {w10} > avg(close) {w30} THEN 0.0025 ELSE -0.0025 END END"
+_SIZED = "CASE WHEN bar >= 29 THEN CASE WHEN avg(close) {w10} > avg(close) {w30} THEN {weight} ELSE -{weight} END END"
 
 
-def _rules_base(base: str) -> str:
-    sized = _SIZED.format(w10=W(10), w30=W(30))
+def _rules_base(base: str, weight: float = 0.0025) -> str:
+    sized = _SIZED.format(w10=W(10), w30=W(30), weight=weight)
     return f"SELECT *, {sized} AS signal, CASE WHEN bar % 3 = 0 THEN close * (1 + 0.0101237 * (bar % 5 - 2)) END AS limit_price FROM ({base})"
 
 
@@ -387,12 +387,12 @@ def register(add, src) -> None:
     digits = dict.fromkeys(shown, 6) | {"equity": 4, "fill_price": 4}
     cols = [f"{fixed(c, digits[c])} AS {c}" for c in shown]
 
-    def account(s, d, rules):
-        made = s.sql(_rules_base("SELECT * FROM {b}"), b=bars(s, d))
+    def account(s, d, rules, weight=0.0025):
+        made = s.sql(_rules_base("SELECT * FROM {b}", weight), b=bars(s, d))
         return run_account(made, rules, "limit_price")
 
-    for name, rules in (("bracket", RULES_BRACKET), ("full", RULES_FULL), ("at_close", replace(RULES_BRACKET, fill_mode="market_close", trailing_stop_pct=0.101237))):
-        add(f"bt_account_{name}", lambda s, d, r=rules: account(s, d, r).selectExpr("key", "ts", *cols), f"SELECT key, ts, {', '.join(cols)} FROM ({account_sql(base, rules, 12)})")
+    for name, rules, weight in (("bracket", RULES_BRACKET, 0.0025), ("full", RULES_FULL, 0.0025), ("at_close", replace(RULES_BRACKET, fill_mode="market_close", trailing_stop_pct=0.101237), 0.0002)):
+        add(f"bt_account_{name}", lambda s, d, r=rules, w=weight: account(s, d, r, w).selectExpr("key", "ts", *cols), f"SELECT key, ts, {', '.join(cols)} FROM ({account_sql(_rules_base(BARS, weight), rules, 12)})")
     got = account_sql(base, RULES_BRACKET, 12)
     # Trades by their first rows, each joined with the first row after it on another side.
     trade_sql = f"""WITH a AS MATERIALIZED (SELECT g.*, b.bar, b.high, b.low, sign(g.position) AS side FROM ({got}) g JOIN ({BARS}) b USING (key, ts)), n AS (SELECT key, max(bar) AS last FROM a GROUP BY key),
