@@ -7,7 +7,7 @@ and each round takes the best pair of every row. Longer words have a heap of the
 
 Texts are cut before spaces (see `token_counts`); words that a worker has met before come from a
 cache bounded by bytes. With ``verify`` the ids of each Arrow batch's new words are compared with the library's, and what they decode to
-with its decode; a difference is an error. Documents are decoded from all their ids.
+one after another with its decode; a difference is an error. Documents are decoded from all their ids.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; characters without a piece become
 their UTF-8 bytes' pieces; U+2581 is a space, as in the library. Rows are kept, repeated ones too.
@@ -15,6 +15,7 @@ their UTF-8 bytes' pieces; U+2581 is a space, as in the library. Rows are kept,
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import heapq
 from functools import lru_cache
@@ -83,7 +84,7 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.made[at], np.int32(self.size))
 
     def ids(self, symbols: list[int]) -> list[int]:
-        if all(s < self.size for s in symbols):
+        if max(symbols, default=0) < self.size:
             return symbols
         return list(chain.from_iterable([s] if s < self.size else [self.bytes_at + b for b in chr(s - self.size).encode()] for s in symbols))
 
@@ -194,9 +195,13 @@ def decode_ids(ids: list[int], path: str) -> str:
 
 
 def decode_bytes(ids: list[int], v: Vocabulary) -> bytes:
-    """The same in UTF-8. Without byte pieces the pieces' texts just follow each other."""
-    if v.byte_ids.isdisjoint(ids) and (not ids or v.text_of[ids[0]]):
-        return b"".join([v.text_of[i] for i in ids]).removeprefix(b" ")
+    """The same in UTF-8. Where the pieces' bytes follow each other to valid UTF-8, every run of byte pieces is valid by itself."""
+    text_of = v.text_of
+    if not ids or text_of[ids[0]]:
+        data = b"".join([text_of[i] for i in ids])
+        with contextlib.suppress(UnicodeDecodeError):
+            data.decode()
+            return data if ids and ids[0] in v.byte_ids else data.removeprefix(b" ")
     raw, run = [], []
     dropped = False
 
@@ -233,14 +238,17 @@ def decode_bytes(ids: list[int], v: Vocabulary) -> bytes:
 def _learn(v: Vocabulary, words: list[Part], cache: dict, path: str, verify: bool) -> None:
     ids = encode_words(v, [symbols_of(w) for w in words])
     if verify:
-        for w, a, b, text in zip(words, ids, encode_parts(words, path), processor(path).decode(ids), strict=True):
-            if a != b:
-                raise ValueError(f"ids differ from the library's: {w!r}: {a} and {b}")
-            if decode_bytes(a, v) != text.encode():
-                raise ValueError(f"the decoded text differs from the library's: {w!r}")
+        theirs = encode_parts(words, path)
+        if ids != theirs:
+            w, a, b = next(x for x in zip(words, ids, theirs, strict=True) if x[1] != x[2])
+            raise ValueError(f"ids differ from the library's: {w!r}: {a} and {b}")
+        # Words one after another, each with its space: one text.
+        whole = ids if set(map(type, words)) <= {str} else [a for w, a in zip(words, ids, strict=True) if isinstance(w, str)]
+        if decode_bytes(list(chain.from_iterable(whole)), v) != " ".join(processor(path).decode(whole, num_threads=1)).encode():
+            raise ValueError(f"the decoded text differs from the library's: {words[:20]!r} ..")
     digits = v.digits
     for w, a in zip(words, ids, strict=True):
-        cache[w] = (a, ",".join([digits[i] for i in a]))
+        cache[w] = (tuple(a), ",".join([digits[i] for i in a]))
 
 
 _CACHES: dict[str, WordCache] = {}

@@ -84,7 +84,7 @@ def parts(word: str, path: str) -> list[Part]:
 
 def cut_text(text: str, path: str) -> list[Part]:
     found = fragments(text)
-    if len(text) <= LONG or all(len(f) <= LONG for f in found):
+    if len(text) <= LONG or max(map(len, found)) <= LONG:
         return found
     return [p for f in found for p in parts(f, path)]
 
@@ -105,13 +105,15 @@ def by_bytes(items, limit: int):
 
 def utf8_length(x: Part) -> int:
     if isinstance(x, tuple):
-        return utf8_length(x[1])
-    return len(x) if isinstance(x, bytes) or x.isascii() else len(x.encode())
+        x = x[1]
+    return len(x) if x.isascii() else len(x) if isinstance(x, bytes) else len(x.encode())
 
 
 def encode_parts(calls: list[Part], path: str) -> list[list[int]]:
     """The library's ids of words and parts."""
     sp = processor(path)
+    if set(map(type, calls)) <= {str}:
+        return sp.encode(calls, num_threads=1)
     got = sp.encode([c if isinstance(c, str) else c[0] + c[1] for c in calls], num_threads=1)
     return [ids if isinstance(c, str) else ids[len(sp.encode(c[0])) :] for c, ids in zip(calls, got, strict=True)]
 
