@@ -31,6 +31,7 @@ from barloom.llm.common import U64, discard, lean, materialize, mix64, own_prefi
 from barloom.llm.shingles import CHUNK, chunks, powers, prefix_sums
 
 SPAN, GRAM, HOT = 200, 16, 2000
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20  # the JVM keeps buffers of the batches that it has written
 DIGEST_BYTES = 1 << 17  # of segments whose windows are digested at once
 SHARD_BYTES = 1_500_000  # symbols and ranks of a shard have to fit into 21 bits
 FAR = U64(np.iinfo(np.uint64).max)
@@ -48,7 +49,7 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     t = np.concatenate((s.astype(U64), np.zeros(3, dtype=U64)))
     at = np.concatenate((np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)))  # a dummy at n keeps the first kind whole
     key = t[at] << U64(42) | t[at + 1] << U64(21) | (t[np.minimum(at + 2, n + 2)])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal triples get one name, whatever their order
     in_order = key[order]
     names = np.cumsum(np.concatenate(([True], in_order[1:] != in_order[:-1])))
     if names[-1] < len(at):
@@ -61,7 +62,7 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     sample = sample[sample < n]
     rest = np.arange(0, n, 3)
     two = t[rest] << U64(21) | rank[rest + 1]
-    rest = rest[np.argsort(two, kind="stable")]
+    rest = rest[np.argsort(two)]
     first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]
     # A remaining suffix compares with the first kind by a symbol and a rank, with the second by two symbols and a rank.
     a = np.searchsorted(t[first] << U64(21) | rank[first + 1], t[rest] << U64(21) | rank[rest + 1])
@@ -303,7 +304,7 @@ def _count_windows(cut: DataFrame, span: int) -> DataFrame:
 
 def repeats(docs: DataFrame, span: int = SPAN, hot: int = HOT, text: str = "text") -> DataFrame:
     """id, sig, start, windows: runs of windows of which each occurs elsewhere too."""
-    workers_import(docs.sparkSession)
+    workers_import(docs.sparkSession, BATCH_ROWS, BATCH_BYTES)
     keyed = _keyed(docs, text)
     segments = materialize(_find_segments(keyed, span))
     by_content = segments.groupBy("mark", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first")).alias("one"))
