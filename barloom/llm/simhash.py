@@ -7,7 +7,8 @@ half of the votes are for it. Terms are summed where their text was read: one sh
 
 `near_counts` finds all fingerprints within a Hamming radius: the bits are cut into blocks of which at least three
 must be whole, so a table for each choice of three blocks, keyed by them, holds every near pair at least once.
-Equal fingerprints are one entry, and the distance is tested inside the join.
+Equal fingerprints are one entry, and the distance is tested inside the join. Joins of more than MOST_BROADCAST rows are by
+sorting: the planner goes by the compressed bytes of files, and would send tables of many times that size through the driver.
 
 The order of documents is found in buckets of neighbouring ids, parted by quantiles of the ids, so that neither ids far off nor an id of very
 many rows makes a bucket large.
@@ -29,6 +30,7 @@ from barloom.llm.common import materialize
 
 LANES = 0x0000000100000001
 ROWS_IN_BUCKET, MOST_BUCKETS = 2048, 10_000
+MOST_BROADCAST = 100_000  # rows
 
 
 def words_of(text: Column) -> Column:
@@ -128,6 +130,11 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.filter("guest = 0").select("doc_id", "n_chars", "edited_sha256", "f0", "f1", "e0", "e1", "x0", "x1")
 
 
+def _sorted_if_many(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that the planner may choose to broadcast only if it has few rows."""
+    return df.hint("merge") if rows > MOST_BROADCAST else df
+
+
 def _blocks(blocks: int) -> list[tuple[int, int, int]]:
     """The blocks' places: (half, shift, bits)."""
     half = blocks // 2
@@ -145,11 +152,11 @@ def near_counts(prints: DataFrame, radius: int = 3, a: str = "f0", b: str = "f1"
         tables.append(F.xxhash64(F.lit(nth), *part))
     placed = kinds.select("f0", "f1", F.explode(F.array(*tables)).alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    placed = materialize(placed.join(shared, "key"))
+    placed = materialize(_sorted_if_many(placed, kinds.count() * len(tables)).join(shared, "key"))
     other = placed.select("key", F.col("f0").alias("g0"), F.col("f1").alias("g1"))
     distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
     differ = (F.col("f0") != F.col("g0")) | (F.col("f1") != F.col("g1"))
-    mine = placed.alias("p").join(other.alias("q"), (F.col("p.key") == F.col("q.key")) & (distance <= radius) & differ)
+    mine = _sorted_if_many(placed, placed.count()).alias("p").join(other.alias("q"), (F.col("p.key") == F.col("q.key")) & (distance <= radius) & differ)
     near = mine.select("f0", "f1", "g0", "g1").distinct().groupBy("f0", "f1").agg(F.count("*").alias("near"))
     return kinds.join(near, ["f0", "f1"], "left").select("f0", "f1", "copies", F.coalesce("near", F.lit(0)).alias("near"))
 
@@ -159,7 +166,7 @@ def edited_likeness(docs: DataFrame, radius: int = 3, text: str = "text") -> Dat
     prints = materialize(fingerprints(docs, text))
     counts = near_counts(prints, radius)
     f, e, x = ((F.col(f"{k}0"), F.col(f"{k}1")) for k in "fex")
-    out = prints.join(counts, ["f0", "f1"])
+    out = _sorted_if_many(prints, prints.count()).join(counts, ["f0", "f1"])
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex128(*f).alias("fingerprint"), hex128(*e).alias("edited_fingerprint"),
         likeness(f, e).alias("near_edited"), likeness(f, x).alias("near_next"), F.col("copies").alias("n_equal"), F.col("near").alias("n_near"),

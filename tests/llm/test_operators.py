@@ -685,6 +685,33 @@ def test_near_counts_are_brute_force(spark):
         assert got[signed(a), signed(b)] == sum(1 for x, y in kinds if (x, y) != (a, b) and (a ^ x).bit_count() + (b ^ y).bit_count() <= 3)
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasts are chosen by the sizes of files only, as Spark does by default up to 10 MB, and fail over 16 MB in memory."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.maxBroadcastTableSize": "16m"}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in kept.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_near_counts_of_many_broadcast_no_large_table(spark, small_broadcasts):
+    # 20 rows of each fingerprint are made of a small file; the first 100 fingerprints have a neighbour at distance 1.
+    far = spark.range(20_000).select(F.xxhash64("id").alias("f0"), F.xxhash64("id", F.lit(1)).alias("f1"), "id")
+    near = far.filter("id < 100").select(F.col("f0").bitwiseXOR(F.lit(4)).alias("f0"), "f1")
+    got = simhash.near_counts(far.select("f0", "f1").unionByName(near)).groupBy("near").count().collect()
+    assert {r.near: r["count"] for r in got} == {0: 19_900, 1: 200}
+
+
+def test_simhash_of_many_copies_broadcasts_no_large_table(spark, small_broadcasts):
+    n = 150_000
+    got = simhash.edited_likeness(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text")))
+    r = got.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.min("n_equal").alias("least"), F.max("n_near").alias("near")).first()
+    assert tuple(r) == (n, n, n, 0)
+
+
 def test_simhash_odd_rows(spark):
     assert simhash.edited_likeness(odd_docs(spark)).count() == odd_docs(spark).count()
     assert simhash.edited_likeness(empty_docs(spark)).count() == 0
