@@ -4,7 +4,8 @@ Vectors are dealt to shards by place: median splits of a bounded sample (`SAMPLE
 vector goes to the cell it lies in. Each shard builds its KD-tree once: medians split the widest dimension down to small leaves, and every
 node keeps the tight box of its points. The most that a query can score in a box is the sum over dimensions of the better of its
 two ends. A query first visits the shard of the highest bound; with the k-th score from there it goes on only to shards whose
-box can reach it. In a shard a best-first traversal opens the node with the highest bound and ends when none can reach the k-th score found.
+box can reach it. In a shard a best-first traversal opens the leaves with the highest bounds and ends when none can reach the k-th score found;
+the queries of a block go together, in rounds, and a leaf is scored against all that open it in one matrix product.
 
 Equal vectors are one point with the ids that can be among the best of any query (the k + 1 smallest, as many times as they
 occur), so copies of one vector, however many, don't weigh on a shard. Queries of a shard are dealt out in blocks of bounded size.
@@ -19,7 +20,6 @@ that shows. Components are floor(scale * x), x as double, cut to the range of a
 
 from __future__ import annotations
 
-import heapq
 import pickle
 
 import numpy as np
@@ -34,6 +34,8 @@ from barloom.llm.common import discard, lean, materialize, workers_import
 SHARD_ROWS, BLOCK_ROWS, LEAF, SAMPLE_ROWS = 8192, 2048, 64, 100_000
 FOUND = "query_id long, vec_id long, score long"
 MOST = float(2**63 - 1024)  # the greatest double below 2**63
+EXACT, EXACT_SINGLE = 2.0**53, 2.0**24  # sums of whole numbers whose absolute values add up to less are exact in doubles, in floats
+PENDING = 1 << 20  # found scores that a search holds beyond the best
 
 
 def best_in_boxes(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -41,67 +43,105 @@ def best_in_boxes(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return np.where(q > 0, high * q, low * q).sum(axis=-1)
 
 
+def best_of_block(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The most that each of q can score in each box: a matrix. Where sums are rounded, a little more."""
+    most = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).max(axis=0)
+    slack = np.where(most < EXACT, 0.0, most * (q.shape[1] * 2.0**-51))
+    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T + slack[:, None]
+
+
+def packed(points: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them."""
+    most = np.abs(points).max(initial=0)
+    return points.astype(next((t for t, end in ((np.int8, 2**7), (np.int16, 2**15), (np.int32, 2**31)) if most < end), np.float64))
+
+
 class Tree:
-    """Nodes in arrays: box, children (or -1) and the rows of a leaf; a point has one id or several."""
+    """Leaves in arrays, points in their order: box and rows of each leaf; a point has one id or several."""
 
     def __init__(self, points: np.ndarray, ids: list[np.ndarray], leaf: int = LEAF):
-        self.points = points
-        self.sizes = np.array([len(i) for i in ids], dtype=np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.ids = np.concatenate(ids) if ids else np.empty(0, dtype=np.int64)
         self.order = np.arange(len(points))
-        self.low, self.high, self.kids, self.rows = [], [], [], []
-        self._build(0, len(points), leaf)
+        self.low, self.high, self.rows = [], [], []
+        self._build(points, 0, len(points), leaf)
         self.low, self.high = np.array(self.low), np.array(self.high)
-
-    def _build(self, a: int, b: int, leaf: int) -> int:
-        at = len(self.kids)
-        mine = self.points[self.order[a:b]]
+        self.points = packed(points[self.order])
+        self.sizes = np.array([len(ids[i]) for i in self.order], dtype=np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.ids = np.concatenate([ids[i] for i in self.order]) if ids else np.empty(0, dtype=np.int64)
+        del self.order
+
+    def _build(self, points: np.ndarray, a: int, b: int, leaf: int) -> None:
+        mine = points[self.order[a:b]]
         low, high = mine.min(axis=0), mine.max(axis=0)
-        self.low.append(low)
-        self.high.append(high)
-        self.kids.append((-1, -1))
-        self.rows.append((a, b))
         wide = int(np.argmax(high - low))
         if b - a > leaf and high[wide] > low[wide]:
             mid = (b - a) // 2
-            part = np.argpartition(mine[:, wide], mid)
-            self.order[a:b] = self.order[a:b][part]
-            self.kids[at] = (self._build(a, a + mid, leaf), self._build(a + mid, b, leaf))
-        return at
-
-    def _named(self, rows: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of points, one for each id."""
+            self.order[a:b] = self.order[a:b][np.argpartition(mine[:, wide], mid)]
+            self._build(points, a, a + mid, leaf)
+            self._build(points, a + mid, b, leaf)
+        else:
+            self.low.append(low)
+            self.high.append(high)
+            self.rows.append((a, b))
+
+    def _named(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the ids of points, one after the other: which of the rows, and the id."""
         n = self.sizes[rows]
         at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(got, n), self.ids[at]
-
-    def search(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best other than `own` that reach `floor`, in any order."""
-        best = best_in_boxes(q, self.low, self.high)
-        agenda = [(-best[0], 0)]
-        scores, who = np.empty(0), np.empty(0, dtype=np.int64)
-        while agenda and -agenda[0][0] >= floor:
-            _, at = heapq.heappop(agenda)
-            left, right = self.kids[at]
-            if left >= 0:
-                for kid in (left, right):
-                    if best[kid] >= floor:
-                        heapq.heappush(agenda, (-best[kid], kid))
-                continue
-            a, b = self.rows[at]
-            rows = self.order[a:b]
-            got = self.points[rows] @ q
-            good = got >= floor
-            if good.any():
-                got, names = self._named(rows[good], got[good])
-                other = names != own
-                scores, who = np.concatenate((scores, got[other])), np.concatenate((who, names[other]))
-                if len(scores) >= k:
-                    keep = np.lexsort((who, -scores))[:k]
-                    scores, who = scores[keep], who[keep]
-                    floor = max(floor, scores[-1])
-        return scores, who
+        return np.repeat(np.arange(len(rows)), n), self.ids[at]
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of q the k best other than its `own` that reach its `floor`: place in q, score and id, in any order.
+
+        In each round a query opens as many leaves as in all rounds before, those of the highest bounds that can reach its k-th score
+        found: at most about twice as many as one by one. Queries that open the same leaf are scored against it in one product.
+        """
+        bound = best_of_block(q, self.low, self.high)
+        turn = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, turn, axis=1)
+        most = (np.abs(q) @ np.abs(self.points).max(axis=0).astype(float)).max(initial=0)
+        kind = np.float32 if most < EXACT_SINGLE else np.float64
+        points, mine = self.points.astype(kind), q.astype(kind)
+        floor = floor.astype(float)
+        found = [(np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64))]
+
+        def keep() -> None:
+            """Drop what isn't among the k best of its query, and lift floors to k-th scores."""
+            asker, scores, who = (np.concatenate(c) for c in zip(*found, strict=True))
+            by = np.lexsort((who, -scores, asker))
+            asker, scores, who = asker[by], scores[by], who[by]
+            nth = np.arange(len(asker)) - np.searchsorted(asker, asker)
+            last = nth == k - 1
+            floor[asker[last]] = np.maximum(floor[asker[last]], scores[last])
+            found[:] = [(asker[nth < k], scores[nth < k], who[nth < k])]
+
+        done, pending = 0, 0
+        while done < len(self.rows):
+            width = max(1, done)
+            asker, nth = np.nonzero(bound[:, done : done + width] >= floor[:, None])
+            if not len(asker):
+                break
+            leaf = turn[asker, done + nth]
+            by = np.argsort(leaf, kind="stable")
+            asker, leaf = asker[by], leaf[by]
+            start = np.flatnonzero(np.diff(leaf, prepend=-1))
+            for at, group in zip(leaf[start], np.split(asker, start[1:]), strict=True):
+                a, b = self.rows[at]
+                step = max(1, PENDING // int(self.first[b] - self.first[a]))
+                for part in (group[s : s + step] for s in range(0, len(group), step)):
+                    got = mine[part] @ points[a:b].T
+                    i, j = np.nonzero(got >= floor[part, None].astype(kind))
+                    n, who = self._named(a + j)
+                    other = who != own[part[i[n]]]
+                    n = n[other]
+                    found.append((part[i[n]], got[i[n], j[n]].astype(float), who[other]))
+                    pending += len(n)
+                    if pending >= PENDING:
+                        keep()
+                        pending = 0
+            keep()
+            done, pending = done + width, 0
+        return found[0]
 
 
 class Cells:
@@ -163,7 +203,7 @@ def _trees(dealt: DataFrame) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(np.stack(rows["v"].to_numpy()), [np.asarray(i, dtype=np.int64) for i in rows["ids"]])
-        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree)], "low": [tree.low[0]], "high": [tree.high[0]]})
+        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree)], "low": [tree.low.min(axis=0)], "high": [tree.high.max(axis=0)]})
 
     return dealt.groupBy("shard").applyInPandas(run, "shard long, tree binary, low array<double>, high array<double>")
 
@@ -201,11 +241,9 @@ def _visit(routes: DataFrame, trees: DataFrame, blocks: int, k: int) -> DataFram
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         tree: Tree = pickle.loads(right["tree"].iloc[0])
-        out = []
-        for q, v, floor in zip(left["query_id"], left["v"], left["floor"], strict=True):
-            scores, who = tree.search(np.asarray(v, dtype=float), q, k, floor)
-            out.append(pd.DataFrame({"query_id": q, "vec_id": who, "score": np.clip(scores, -MOST, MOST).astype(np.int64)}))
-        return pd.concat(out)
+        asked = left["query_id"].to_numpy()
+        asker, scores, who = tree.search(np.stack(left["v"].to_numpy()), asked, k, left["floor"].to_numpy())
+        return pd.DataFrame({"query_id": asked[asker], "vec_id": who, "score": np.clip(scores, -MOST, MOST).astype(np.int64)})
 
     mine = routes.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     there = mine.select(F.col("shard").alias("its_shard"), F.col("block").alias("its_block")).distinct().join(trees.select(F.col("shard").alias("its_shard"), "tree"), "its_shard")

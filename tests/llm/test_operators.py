@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -409,6 +410,39 @@ def test_cells_hold_every_vector():
     assert topk.Cells(np.ones((50, 3)), 8).count == 1 and topk.Cells(np.empty((0, 3)), 4).of(x[:, :3]).max() == 0
 
 
+@pytest.mark.parametrize("size", [40, 3000, 10**6])
+def test_tree_searches_blocks(monkeypatch, size):
+    """A block's results are brute force, in single and double precision; calls go by leaves and rounds, not by queries."""
+    rng = np.random.default_rng(size)
+    x = np.unique(np.floor(size * rng.normal(size=(1000, 8))), axis=0)
+    ids = [np.array([i, i, 5000 + i] if i % 7 == 0 else [i % 990]) for i in range(len(x))]
+    tree = topk.Tree(x, ids, leaf=16)
+    q, own = np.floor(size * rng.normal(size=(800, 8))), rng.integers(0, 1000, 800)
+    exact = (x @ q.T).T
+    floor = np.where(np.arange(800) % 3 == 0, np.sort(exact, axis=1)[:, -4], -np.inf)
+    for pending in (1 << 20, 50):
+        monkeypatch.setattr(topk, "PENDING", pending)
+        asker, scores, who = tree.search(q, own, 5, floor)
+        got = [[] for _ in q]
+        for a, s, w in zip(asker.tolist(), scores.tolist(), who.tolist(), strict=True):
+            got[a].append((-s, w))
+        for n in range(800):
+            every = sorted((-s, int(i)) for s, names in zip(exact[n].tolist(), ids, strict=True) for i in names if i != own[n] and s >= floor[n])
+            assert sorted(got[n]) == every[:5]
+    monkeypatch.setattr(topk, "PENDING", 1 << 20)
+
+    def calls(n: int) -> int:
+        made = [0]
+        sys.setprofile(lambda frame, event, arg: made.__setitem__(0, made[0] + event.endswith("call")))
+        try:
+            tree.search(q[:n], own[:n], 5, floor[:n])
+        finally:
+            sys.setprofile(None)
+        return made[0]
+
+    assert calls(800) < 1.3 * calls(400)
+
+
 # --- personal data ---------------------------------------------------------------------------------
 
 
