@@ -91,13 +91,17 @@ def select_strike(chain: DataFrame, selector: str = "ATM", is_call: bool = True,
 
 
 def smile_metrics(chain: DataFrame, by: str = "chain") -> DataFrame:
-    """atm_iv, risk_reversal_25d, butterfly_25d, skew_slope, convexity of each chain with three strikes or more."""
+    """atm_iv, risk_reversal_25d, butterfly_25d, skew_slope, convexity of each chain with three strikes or more.
+
+    Quotes of one strike follow each other by volatility. Between them the smile is vertical: its slope is infinite, or NaN where the volatilities are the same too.
+    """
     calls = apply_stages(chain.withColumn("is_call", F.lit(1)), greeks()).withColumnRenamed("delta", "_dc").drop("gamma", "vega", "theta", "rho")
     both = apply_stages(calls.withColumn("is_call", F.lit(0)), greeks()).withColumnRenamed("delta", "_dp")
-    w = Window.partitionBy(by).orderBy("strike")
+    w = Window.partitionBy(by).orderBy("strike", "vol")
     x = F.log(F.col("strike") / F.col("spot"))
     rows = both.withColumns({"_n": F.row_number().over(w), "_x": x}).withColumns({f"_{c}{s}": f(c).over(w) for c in ("_x", "vol") for s, f in (("b", F.lag), ("a", F.lead))})
-    left, right = (F.col("vol") - F.col("_volb")) / (F.col("_x") - F.col("__xb")), (F.col("_vola") - F.col("vol")) / (F.col("__xa") - F.col("_x"))
+    slope = lambda dy, dx: F.when(dx == 0, dy * float("inf")).otherwise(F.try_divide(dy, dx))
+    left, right = slope(F.col("vol") - F.col("_volb"), F.col("_x") - F.col("__xb")), slope(F.col("_vola") - F.col("vol"), F.col("__xa") - F.col("_x"))
     rows = rows.withColumn("_bend", right - left)
     near = lambda what, to: F.min_by(what, F.struct(F.abs(to), F.col("_n")))
     atm = F.col("strike") - F.col("spot")

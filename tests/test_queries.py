@@ -74,3 +74,27 @@ def test_strategy_errors(spark):
     for bad in ("close >", "foo(3) > 1", "close > 1 extra", "", "rsi(14) <", "(close > 1", "close # 1", "macd_nope > 1", "and > 1"):
         with pytest.raises(ValueError):
             strategy_language.evaluate(bad, _bars(spark, [1.0]))
+
+
+def _parts(con, path, rows):
+    """A part table of (key, brand, size, price) as the only file of a folder, and a connection that sees it."""
+    listed = ", ".join(f"({k}, '{b}', {n}, {p})" for k, b, n, p in rows)
+    con.sql(f"copy (select k::bigint p_partkey, 'x' p_name, b p_brand, 'x' p_type, n::int p_size, p::double p_retailprice from (values {listed}) v(k, b, n, p)) to '{path}/part.parquet' (format parquet)")
+    con.sql(f"create view part as select * from '{path}/part.parquet'")
+    return str(path)
+
+
+def test_smiles_with_quotes_of_one_strike(spark, tmp_path):
+    """Also where two keys make the same strike: the slope between them must not stop the query."""
+    from barloom.functions.option_strategies import smile_metrics
+
+    con = duckdb.connect()
+    d = _parts(con, tmp_path, [(0, "a", 3, 1000.0), (25000, "a", 2, 1000.0), (1, "a", 2, 1000.0), (2, "a", 1, 1000.0), (3, "a", 5, 1000.0)])
+    a, b = catalog.QUERIES["opt_smile_metrics"](spark, d).toPandas(), con.sql(catalog.SQL["opt_smile_metrics"]).df()
+    assert a.shape == (1, 6) and (a == b[a.columns]).all().all()
+    made = [("far", 90.0, 0.2), ("far", 100.0, 0.3), ("far", 110.0, 0.25), ("far", 120.0, 0.2), ("far", 120.0, 0.4)]
+    made += [("near", 90.0, 0.2), ("near", 100.0, 0.4), ("near", 100.0, 0.3), ("near", 110.0, 0.25), ("same", 90.0, 0.2), ("same", 100.0, 0.3), ("same", 100.0, 0.3)]
+    chain = spark.createDataFrame(made, "chain string, strike double, vol double").selectExpr("*", "100D AS spot", "0.03D AS rate", "0.01D AS carry", "0.25D AS t")
+    got = {r["chain"]: (r["atm_iv"], r["convexity"]) for r in smile_metrics(chain).collect()}
+    assert got["far"] == (0.3, pytest.approx(-0.05 / np.log(1.1) + 0.1 / np.log(0.9)))
+    assert got["near"] == (0.3, np.inf) and got["same"][0] == 0.3 and np.isnan(got["same"][1])
