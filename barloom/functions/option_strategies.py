@@ -129,8 +129,9 @@ def interpolate(points: DataFrame, target: Column, by: str = "chain", x: str = "
 
 
 def calendar_spreads(curve: DataFrame, by: str = "curve", tenor: str = "tenor", price: str = "price") -> DataFrame:
-    """The price of each contract less that of the one before it; the first has none."""
-    w = Window.partitionBy(by).orderBy(tenor)
+    """The price of each contract less that of the one before it; the first has none. Contracts of one tenor follow each other by price, then by their other columns (but maps)."""
+    others = [f.name for f in curve.schema if f.name not in (by, tenor, price) and "map<" not in f.dataType.simpleString()]
+    w = Window.partitionBy(by).orderBy(tenor, price, *others)
     return curve.withColumn("spread", F.col(price) - F.lag(price).over(w)).filter("spread IS NOT NULL")
 
 

@@ -98,3 +98,12 @@ def test_smiles_with_quotes_of_one_strike(spark, tmp_path):
     got = {r["chain"]: (r["atm_iv"], r["convexity"]) for r in smile_metrics(chain).collect()}
     assert got["far"] == (0.3, pytest.approx(-0.05 / np.log(1.1) + 0.1 / np.log(0.9)))
     assert got["near"] == (0.3, np.inf) and got["same"][0] == 0.3 and np.isnan(got["same"][1])
+
+
+def test_spreads_do_not_hang_on_the_order_of_rows(spark):
+    from barloom.functions.option_strategies import calendar_spreads
+
+    rows = [("a", 0.1, 5.0, 1), ("a", 0.2, 9.0, 2), ("a", 0.2, 6.0, 4), ("a", 0.2, 6.0, 3), ("a", 0.3, 7.0, 5)]
+    for made in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = calendar_spreads(spark.createDataFrame(made, "curve string, tenor double, price double, id int").coalesce(1)).collect()
+        assert sorted((r["id"], r["spread"]) for r in got) == [(2, 3.0), (3, 1.0), (4, 0.0), (5, -2.0)]
